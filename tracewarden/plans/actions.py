@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import IP_ACTIONS
 from tracewarden.functions.text import first_ip
-from tracewarden.schema import IP_ACTION_LOG
 
+ACTION_COLUMNS = ("ip", "action", "note", "set_at")
 CLEAR = "clear"
 
 
@@ -22,7 +22,7 @@ def action_rows(spark: SparkSession, changes) -> DataFrame:
 
 
 def append_actions(changes: DataFrame, path: str) -> None:
-    changes.select(*IP_ACTION_LOG.fieldNames()).write.mode("append").parquet(path)
+    changes.select(*ACTION_COLUMNS).write.mode("append").parquet(path)
 
 
 def current_actions(log: DataFrame) -> DataFrame:

@@ -1,16 +1,7 @@
-"""Table schemas."""
+"""Columns of the tables, as DDL where a table is read or made."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-PARSED = T.StructType.fromDDL(
-    "file STRING, lineno BIGINT, timestamp TIMESTAMP, ip STRING, method STRING, url_full STRING, "
-    "status INT, bytes BIGINT, user_agent STRING"
-)
-
-REJECTS = T.StructType.fromDDL("file STRING, lineno BIGINT, value STRING, reason STRING")
-
 REQUEST_COLUMNS = (
     "lineno", "timestamp", "timestamp_local", "ip", "method", "url_full", "url_path", "url_query", "url_decoded",
     "status", "bytes", "user_agent", "is_sensitive", "is_admin", "is_deep_admin", "is_transaction",
@@ -18,16 +9,7 @@ REQUEST_COLUMNS = (
     "hour_local", "is_off_hours", "sqli_match",
 )
 
-SESSIONS = T.StructType.fromDDL(
-    "attack_type STRING, ip STRING, ips ARRAY<STRING>, ip_count BIGINT, start_time TIMESTAMP, end_time TIMESTAMP, "
-    "duration_seconds DOUBLE, request_count BIGINT, total_bytes BIGINT, layer STRING, is_internal BOOLEAN, "
-    "mitre_id STRING, evidence STRING, ip_rotation_detected BOOLEAN, coordinated BOOLEAN, shared_user_agent STRING"
-)
-
-ENDPOINTS = T.StructType.fromDDL("category STRING, path STRING")
-
-COUNTRY_RANGES = T.StructType.fromDDL("ip_from BIGINT, ip_to BIGINT, country STRING")
-
-IP_ACTION_LOG = T.StructType.fromDDL("ip STRING, action STRING, note STRING, set_at TIMESTAMP")
-
-ENDPOINT_CHANGES = T.StructType.fromDDL("category STRING, path STRING, change STRING, set_at TIMESTAMP")
+ENDPOINTS = "category STRING, path STRING"
+COUNTRY_RANGES = "ip_from BIGINT, ip_to BIGINT, country STRING"
+IP_ACTIONS = "ip STRING, action STRING, note STRING, set_at TIMESTAMP"
+ENDPOINT_CHANGES = "category STRING, path STRING, change STRING, set_at TIMESTAMP"
