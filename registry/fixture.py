@@ -6,10 +6,7 @@ only, so any SQL engine derives the same rows.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tracewarden.operators.enrich import enrich
 from tracewarden.schema import COUNTRY_RANGES
@@ -18,128 +15,83 @@ from tracewarden.sources.lists import proxies, tor_exits
 ANDROID = "Mozilla/5.0 (Linux; Android 14)"
 FIREFOX = "Mozilla/5.0 (X11; Linux x86_64; rv:109.0) Gecko/20100101 Firefox/115.0"
 SQLI_URL = "/api/v1/search?q=1%27%20UNION%20SELECT%20pan%20FROM%20cards--"
-HOUR_US = 3_600_000_000
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    day_zero = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return spark.read.parquet(f"{folder}/events.parquet").select(
+# What persona p = 0 … 11 adds; the parts that depend on r = k mod 120 or the
+# user are in _ROW (every remainder the rules take of k divides 120).
+_START_US = "array(32400000000, 41400000000, 46800000000, 28800000000, 0, 36000000000, 0, 0, 0, 0, 0, 0)"
+_SLOWER = "array(360, 720, 360, 720, 10, 1440, 10, 10, 10, 10, 10, 10)"
+_IP = (
+    "array('185.23.44.12', '91.199.12.77', '103.44.55.66', '10.0.0.5', '176.88.14.201', '45.142.0.', '62.122.55.', "
+    "'10.0.3.', '78.140.', '78.140.', '78.140.', '78.140.')"
+)
+_HOSTS = "array(1, 1, 1, 1, 1, 8, 3, 2, 1, 1, 1, 1)"
+_URL = (
+    f"array('/api/v1/login', '{SQLI_URL}', '/api/v1/clients/export', '/admin', '', '/auth/login', '/api/v1/cards', "
+    "'/api/v1/profile', '', '', '', '')"
+)
+_BROWSE = "array('/', '/dashboard', '/api/v1/accounts', '/api/transfer', '/api/payment')"
+_RECON = "array('/admin/users', '/internal/audit', '/admin', '/admin')"
+_AGENT = (
+    f"array('python-requests/2.31.0', 'sqlmap/1.7.2#stable', 'curl/8.0.1', '{ANDROID}', '', 'okhttp/4.9', '{ANDROID}', "
+    f"'{FIREFOX}', '{ANDROID}', '{ANDROID}', '{ANDROID}', '{ANDROID}')"
+)
+_ROW = f"""struct(
+    event_id AS lineno,
+    timestamp_micros(1704067200000000 + if(p = 7, event_id * 7000000 + r % 5 * 1000000,
+        {_START_US}[p] + d div {_SLOWER}[p])) AS timestamp,
+    concat({_IP}[p], if(p > 7, concat(user_id div 256, '.', user_id % 256), if(p > 4, string(r % {_HOSTS}[p]), ''))) AS ip,
+    if(p IN (0, 5), 'POST', 'GET') AS method,
+    CASE WHEN p = 3 THEN {_RECON}[r % 4] WHEN p = 2 AND r % 20 = 0 THEN '/admin/users'
+        WHEN p = 4 OR p > 7 THEN {_BROWSE}[r % 5] ELSE {_URL}[p] END AS url_full,
+    CASE WHEN p IN (0, 5) AND r % 5 <> 0 THEN 401 WHEN p = 3 AND r % 3 = 0 THEN 403 ELSE 200 END AS status,
+    bigint(floor(value * if(p = 2, 10000, 100))) AS bytes,
+    if(p = 4, concat('Client-', r % 6, '/1.0'), {_AGENT}[p]) AS user_agent)"""
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    """Parsed rows of an events table, batch or streaming.
+
+    Filters stop at the generator, so later steps see plain columns, as over a
+    stored table.
+    """
+    shaped = events.selectExpr(
         "event_id",
         "user_id",
         "value",
-        F.timestamp_diff("MICROSECOND", day_zero, F.col("ts")).alias("d"),
-        (F.col("event_id") % 12).alias("p"),
-        F.expr("event_id div 12").alias("k"),
+        "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts) AS d",
+        "int(event_id % 12) AS p",
+        "int(event_id div 12 % 120) AS r",
     )
+    return shaped.selectExpr(f"inline(array({_ROW}))")
 
 
-def _by_persona(cases: dict[int, Column], other: Column) -> Column:
-    return reduce(lambda acc, item: F.when(F.col("p") == item[0], item[1]).otherwise(acc), cases.items(), other)
+def events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/events.parquet")
 
 
 def raw_requests(spark: SparkSession, folder: str) -> DataFrame:
-    k, d = F.col("k"), F.col("d")
-    part = lambda n: F.expr(f"d div {n}")
-    offset = _by_persona(
-        {
-            0: 9 * HOUR_US + part(360),
-            1: 23 * HOUR_US // 2 + part(720),
-            2: 13 * HOUR_US + part(360),
-            3: 8 * HOUR_US + part(720),
-            5: 10 * HOUR_US + part(1440),
-            7: F.col("event_id") * 7_000_000 + (k % 5) * 1_000_000,
-        },
-        part(10),
-    )
-    ip = _by_persona(
-        {
-            0: F.lit("185.23.44.12"),
-            1: F.lit("91.199.12.77"),
-            2: F.lit("103.44.55.66"),
-            3: F.lit("10.0.0.5"),
-            4: F.lit("176.88.14.201"),
-            5: F.concat(F.lit("45.142.0."), (k % 8).cast("string")),
-            6: F.concat(F.lit("62.122.55."), (k % 3).cast("string")),
-            7: F.concat(F.lit("10.0.3."), (k % 2).cast("string")),
-        },
-        F.concat(
-            F.lit("78.140."), F.expr("user_id div 256").cast("string"), F.lit("."), F.expr("user_id % 256").cast("string")
-        ),
-    )
-    browse = F.element_at(
-        F.array(*map(F.lit, ("/", "/dashboard", "/api/v1/accounts", "/api/transfer", "/api/payment"))),
-        (k % 5 + 1).cast("int"),
-    )
-    url = _by_persona(
-        {
-            0: F.lit("/api/v1/login"),
-            1: F.lit(SQLI_URL),
-            2: F.when(k % 20 == 0, "/admin/users").otherwise("/api/v1/clients/export"),
-            3: F.when(k % 4 == 0, "/admin/users").when(k % 4 == 1, "/internal/audit").otherwise("/admin"),
-            5: F.lit("/auth/login"),
-            6: F.lit("/api/v1/cards"),
-            7: F.lit("/api/v1/profile"),
-        },
-        browse,
-    )
-    login_status = F.when(k % 5 == 0, 200).otherwise(401)
-    status = _by_persona(
-        {0: login_status, 3: F.when(k % 3 == 0, 403).otherwise(200), 5: login_status}, F.lit(200)
-    )
-    agent = _by_persona(
-        {
-            0: F.lit("python-requests/2.31.0"),
-            1: F.lit("sqlmap/1.7.2#stable"),
-            2: F.lit("curl/8.0.1"),
-            4: F.concat(F.lit("Client-"), (k % 6).cast("string"), F.lit("/1.0")),
-            5: F.lit("okhttp/4.9"),
-            7: F.lit(FIREFOX),
-        },
-        F.lit(ANDROID),
-    )
-    size = F.floor(F.col("value") * F.when(F.col("p") == 2, 10000).otherwise(100)).cast("bigint")
-    start_us = 1_704_067_200_000_000  # 2024-01-01 UTC
-    row = F.struct(
-        F.col("event_id").alias("lineno"),
-        F.timestamp_micros(offset + start_us).alias("timestamp"),
-        ip.alias("ip"),
-        F.when(F.col("p").isin(0, 5), "POST").otherwise("GET").alias("method"),
-        url.alias("url_full"),
-        status.cast("int").alias("status"),
-        size.alias("bytes"),
-        agent.alias("user_agent"),
-    )
-    # Filters stop at a generator, so later steps see plain columns, as over a stored table.
-    return _events(spark, folder).select(F.inline(F.array(row)))
+    return requests_of(events(spark, folder))
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     return enrich(raw_requests(spark, folder))
 
 
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Text lines of parsed rows: combined format for even k, custom for odd, plus noise lines."""
+    line = """CASE WHEN lineno div 12 % 2 = 0
+        THEN format_string('%s - - [%s +0000] "%s %s HTTP/1.1" %d %d "-" "%s"', ip,
+            date_format(timestamp, 'dd/MMM/yyyy:HH:mm:ss'), method, url_full, status, bytes, user_agent)
+        ELSE concat_ws(' ', date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), ip, method, url_full, status, bytes,
+            user_agent) END"""
+    noise = "if(lineno % 97 = 0, {}, NULL)"
+    extra = [noise.format(x) for x in ("concat('garbage ', lineno)", "concat('# comment ', lineno)", "'   '")]
+    return rows.selectExpr("lineno", f"explode(array_compact(array({line}, {', '.join(extra)}))) AS value")
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Text lines: combined format for even k, custom for odd, plus noise lines."""
-    rows = raw_requests(spark, folder).withColumn("k", F.expr("lineno div 12"))
-    clock = lambda pattern: F.date_format("timestamp", pattern)
-    combined = F.format_string(
-        '%s - - [%s +0000] "%s %s HTTP/1.1" %d %d "-" "%s"',
-        F.col("ip"), clock("dd/MMM/yyyy:HH:mm:ss"), F.col("method"), F.col("url_full"),
-        F.col("status"), F.col("bytes"), F.col("user_agent"),
-    )
-    custom = F.concat_ws(
-        " ", clock("yyyy-MM-dd'T'HH:mm:ss'Z'"), "ip", "method", "url_full", "status", "bytes", "user_agent"
-    )
-    line = F.when(F.col("k") % 2 == 0, combined).otherwise(custom)
-    noise = F.col("lineno") % 97 == 0
-    lines = F.array_compact(
-        F.array(
-            line,
-            F.when(noise, F.concat(F.lit("garbage "), F.col("lineno").cast("string"))),
-            F.when(noise, F.concat(F.lit("# comment "), F.col("lineno").cast("string"))),
-            F.when(noise, F.lit("   ")),
-        )
-    )
-    return rows.select("lineno", F.explode(lines).alias("value"))
+    return lines_of(raw_requests(spark, folder))
 
 
 def tor(spark: SparkSession) -> DataFrame:

@@ -130,36 +130,26 @@ class _Tables:
     @property
     def action_log(self) -> DataFrame:
         """One log row per request: the address, an action by turns, the request's time."""
-        choice = F.element_at(
-            F.array(*map(F.lit, (*DEFAULT_ACTIONS, actions.CLEAR, "shrug"))),
-            (F.expr("lineno div 12") % (len(DEFAULT_ACTIONS) + 2) + 1).cast("int"),
-        )
-        return self.requests.select(
-            "ip", choice.alias("action"), F.concat(F.lit("note "), F.col("lineno").cast("string")).alias("note"),
-            F.col("timestamp").alias("set_at"),
+        return self.requests.selectExpr(
+            "ip",
+            "array('watchlist', 'ignore', 'block', 'clear', 'shrug')[int(lineno div 12 % 5)] AS action",
+            "concat('note ', lineno) AS note",
+            "timestamp AS set_at",
         )
 
     @property
     def endpoint_changes(self) -> DataFrame:
         """One change per event: a path by user, some invalid, added or removed by turns."""
-        day = F.col("d")
-        names = F.array(*map(F.lit, ENDPOINT_CATEGORIES))
-        path = (
-            F.when(F.col("event_id") % 11 == 0, F.lit("/api/export"))
-            .when(F.col("event_id") % 13 == 0, F.concat(F.lit("custom/"), F.col("user_id").cast("string")))
-            .otherwise(F.concat(F.lit(" /custom/"), F.col("user_id").cast("string")))
-        )
-        return fixture._events(self.spark, self.folder).select(
-            F.element_at(names, (F.col("user_id") % len(ENDPOINT_CATEGORIES) + 1).cast("int")).alias("category"),
-            path.alias("path"),
-            F.when(F.col("event_id") % 3 == 0, "remove").otherwise("add").alias("change"),
-            F.timestamp_micros(day + 1_704_067_200_000_000).alias("set_at"),
+        names = ", ".join(f"'{c}'" for c in ENDPOINT_CATEGORIES)
+        return fixture.events(self.spark, self.folder).selectExpr(
+            f"array({names})[int(user_id % {len(ENDPOINT_CATEGORIES)})] AS category",
+            "CASE WHEN event_id % 11 = 0 THEN '/api/export' WHEN event_id % 13 = 0 THEN concat('custom/', user_id) "
+            "ELSE concat(' /custom/', user_id) END AS path",
+            "if(event_id % 3 = 0, 'remove', 'add') AS change",
+            "ts AS set_at",
         )
 
 
-DEFAULT_ACTIONS = ("watchlist", "ignore", "block")
-
-
 # ---------------------------------------------------------------- parsing
 
 def parse_log(t: _Tables) -> DataFrame:
@@ -476,9 +466,9 @@ def format_texts(t: _Tables) -> DataFrame:
     """Sizes and spans of every address in words."""
     return t.profile.select(
         "ip",
-        text.bytes_text(F.col("total_bytes")).alias("volume"),
-        text.duration_text(F.col("span_seconds")).alias("span"),
-        text.duration_hms(F.col("span_seconds")).alias("span_hms"),
+        text.bytes_text("total_bytes").alias("volume"),
+        text.duration_text("span_seconds").alias("span"),
+        text.duration_hms("span_seconds").alias("span_hms"),
         text.severity(F.col("total_requests")).alias("tier"),
         text.severity_rank(text.severity(F.col("total_requests"))).alias("tier_rank"),
     )

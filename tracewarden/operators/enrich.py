@@ -34,13 +34,13 @@ def _constant_endpoints(endpoints) -> Mapping[str, Sequence[str]] | None:
     return paths
 
 
-def _path_flags(method: Column, path: Column, paths: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+def _path_flags(paths: Mapping[str, Sequence[str]]) -> dict[str, Column]:
     return {
-        "is_sensitive": text.has_prefix(path, paths["sensitive_prefixes"]),
-        "is_admin": text.has_prefix(path, paths["admin_endpoints"]),
-        "is_transaction": text.has_prefix(path, paths["transaction"]),
-        "is_exfil_target": text.has_prefix(path, paths["exfil_targets"]),
-        "is_login": text.is_login(method, path, paths["login_paths"]),
+        "is_sensitive": text.has_prefix("url_path", paths["sensitive_prefixes"]),
+        "is_admin": text.has_prefix("url_path", paths["admin_endpoints"]),
+        "is_transaction": text.has_prefix("url_path", paths["transaction"]),
+        "is_exfil_target": text.has_prefix("url_path", paths["exfil_targets"]),
+        "is_login": text.is_login(paths["login_paths"]),
     }
 
 
@@ -91,31 +91,31 @@ def enrich(raw: DataFrame, endpoints=None, cfg: Config = DEFAULT) -> DataFrame:
     ``endpoints`` is a table ``(category, path)``, a mapping of category to paths, or
     None for the defaults. No global sort: order matters only inside windows.
     """
-    url, path = F.col("url_full"), F.col("url_path")
+    url = F.col("url_full")
     rows = raw if "lineno" in raw.columns else raw.withColumn("lineno", F.lit(None).cast("bigint"))
     rows = rows.withColumns(
         {
             "url_path": text.url_path(url),
             "url_query": text.url_query(url),
-            "url_decoded": text.url_decoded(url),
+            "url_decoded": text.percent_decode(url),  # once here, the second time below
             "timestamp_local": F.col("timestamp") + F.expr(f"INTERVAL {cfg.local_offset_hours} HOURS"),
             "hour_local": hour_of(F.col("timestamp"), cfg.local_offset_hours),
         }
     )
+    rows = rows.withColumn("url_decoded", F.lower(text.percent_decode(F.col("url_decoded"))))
     constants = _constant_endpoints(endpoints)
     if constants is None:
         rows = _joined_flags(rows, endpoints)
     else:
-        rows = rows.withColumns(_path_flags(F.col("method"), path, constants))
-    status, hour = F.col("status"), F.col("hour_local")
+        rows = rows.withColumns(_path_flags(constants))
     rows = rows.withColumns(
         {
-            "is_deep_admin": text.has_prefix(path, cfg.deep_admin_prefixes),
-            "is_failed_login": F.col("is_login") & status.isin(*cfg.failed_login_statuses),
-            "is_success_login": F.col("is_login") & (status == 200),
-            "is_bot_ua": text.is_bot_agent(F.col("user_agent"), cfg),
+            "is_deep_admin": text.has_prefix("url_path", cfg.deep_admin_prefixes),
+            "is_failed_login": F.expr(f"is_login AND status IN {tuple(cfg.failed_login_statuses)}"),
+            "is_success_login": F.expr("is_login AND status = 200"),
+            "is_bot_ua": text.is_bot_agent("user_agent", cfg),
             "is_tor_ua": text.is_tor_agent(F.col("user_agent"), cfg),
-            "is_off_hours": (hour >= cfg.off_hours_start) | (hour < cfg.off_hours_end),
+            "is_off_hours": F.expr(f"hour_local >= {cfg.off_hours_start} OR hour_local < {cfg.off_hours_end}"),
             "sqli_match": text.sqli_match(url, F.col("url_decoded"), cfg),
         }
     )

@@ -14,30 +14,30 @@ _SUMS = (
 )
 
 
-def _sum_if(condition: str, value: str) -> Column:
-    return F.sum(F.when(F.col(condition), F.col(value)).otherwise(F.lit(0)))
+_AGENT_TOTALS = """
+    count(*) AS total_requests
+    sum(bytes) AS total_bytes
+    min(bytes) AS min_bytes
+    max(bytes) AS max_bytes
+    min(timestamp) AS first_seen
+    max(timestamp) AS last_seen
+    count_if(is_failed_login) AS failed_logins
+    count_if(is_success_login) AS successful_logins
+    count_if(sqli_match) AS sqli_payloads
+    count_if(is_sensitive AND status = 200) AS sensitive_ok
+    sum(if(is_sensitive, bytes, 0L)) AS sensitive_bytes
+    count_if(is_admin) AS admin_hits
+    count_if(is_deep_admin) AS deep_admin_hits
+    count_if(is_bot_ua) AS bot_requests
+    count_if(is_tor_ua) AS tor_requests
+    count_if(is_off_hours) AS off_hours_requests
+"""
 
 
 def agent_profile(requests: DataFrame) -> DataFrame:
     """Totals per (address, user agent)."""
-    return requests.groupBy("ip", "user_agent").agg(
-        F.count("*").alias("total_requests"),
-        F.sum("bytes").alias("total_bytes"),
-        F.min("bytes").alias("min_bytes"),
-        F.max("bytes").alias("max_bytes"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        F.count_if("is_failed_login").alias("failed_logins"),
-        F.count_if("is_success_login").alias("successful_logins"),
-        F.count_if("sqli_match").alias("sqli_payloads"),
-        F.count_if(F.col("is_sensitive") & (F.col("status") == 200)).alias("sensitive_ok"),
-        _sum_if("is_sensitive", "bytes").alias("sensitive_bytes"),
-        F.count_if("is_admin").alias("admin_hits"),
-        F.count_if("is_deep_admin").alias("deep_admin_hits"),
-        F.count_if("is_bot_ua").alias("bot_requests"),
-        F.count_if("is_tor_ua").alias("tor_requests"),
-        F.count_if("is_off_hours").alias("off_hours_requests"),
-    )
+    totals = [F.expr(line) for line in _AGENT_TOTALS.strip().splitlines()]
+    return requests.groupBy("ip", "user_agent").agg(*totals)
 
 
 def ip_totals(requests: DataFrame) -> DataFrame:
@@ -46,18 +46,15 @@ def ip_totals(requests: DataFrame) -> DataFrame:
     The two steps give the exact number of agents and the most used one without
     holding an address's agents in memory.
     """
-    most_used = F.min(F.struct((-F.col("total_requests")).alias("minus_n"), "user_agent"))["user_agent"]
     return (
         agent_profile(requests)
         .groupBy("ip")
         .agg(
-            most_used.alias("dominant_user_agent"),
-            F.count("user_agent").alias("unique_user_agents"),
-            *[F.sum(c).alias(c) for c in _SUMS],
-            F.min("min_bytes").alias("min_bytes"),
-            F.max("max_bytes").alias("max_bytes"),
-            F.min("first_seen").alias("first_seen"),
-            F.max("last_seen").alias("last_seen"),
+            F.expr("min(struct(-total_requests, user_agent)).user_agent AS dominant_user_agent"),
+            F.expr("count(user_agent) AS unique_user_agents"),
+            *[F.expr(f"sum({c}) AS {c}") for c in _SUMS],
+            *[F.expr(f"min({c}) AS {c}") for c in ("min_bytes", "first_seen")],
+            *[F.expr(f"max({c}) AS {c}") for c in ("max_bytes", "last_seen")],
         )
     )
 
@@ -78,18 +75,17 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .select("ip", "n", us.alias("us"), F.floor(us / slice_us).alias("slice"))
     )
     inside = F.col("us") - F.lag("us").over(Window.partitionBy("ip", "slice").orderBy("us"))
-    square = lambda c: F.pow(F.col(c) / 1e6, F.lit(2.0))
     slices = (
         instants.withColumn("gap", inside)
         .groupBy("ip", "slice")
         .agg(
-            F.sum("n").alias("n"),
-            F.bool_or(F.col("n") > 1).alias("repeats"),
-            F.min("us").alias("first"),
-            F.max("us").alias("last"),
-            F.min("gap").alias("low"),
-            F.max("gap").alias("high"),
-            F.sum(square("gap")).alias("squares"),
+            F.expr("sum(n) AS n"),
+            F.expr("bool_or(n > 1) AS repeats"),
+            F.expr("min(us) AS first"),
+            F.expr("max(us) AS last"),
+            F.expr("min(gap) AS low"),
+            F.expr("max(gap) AS high"),
+            F.expr("sum(power(gap / 1e6D, 2)) AS squares"),
         )
     )
     between = F.col("first") - F.lag("last").over(Window.partitionBy("ip").orderBy("slice"))
@@ -97,20 +93,23 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         slices.withColumn("gap", between)
         .groupBy("ip")
         .agg(
-            F.sum("n").alias("n"),
-            F.bool_or("repeats").alias("repeats"),
-            ((F.max("last") - F.min("first")) / 1e6).alias("span"),
-            F.least(F.min("low"), F.min("gap")).alias("low"),
-            F.greatest(F.max("high"), F.max("gap")).alias("high"),
-            (F.coalesce(F.sum("squares"), F.lit(0.0)) + F.coalesce(F.sum(square("gap")), F.lit(0.0))).alias("squares"),
+            F.expr("sum(n) AS n"),
+            F.expr("bool_or(repeats) AS repeats"),
+            F.expr("(max(last) - min(first)) / 1e6D AS span"),
+            F.expr("least(min(low), min(gap)) AS low"),
+            F.expr("greatest(max(high), max(gap)) AS high"),
+            F.expr("coalesce(sum(squares), 0D) + coalesce(sum(power(gap / 1e6D, 2)), 0D) AS squares"),
         )
     )
-    m = F.col("n") - 1
-    ratio = (F.col("squares") * m * m / (F.col("span") * F.col("span")) - m) / (m - 1)
-    unequal = F.sqrt(F.greatest(ratio, F.lit(1e-24)))  # rounding must not turn unequal gaps into zero
-    cv = F.when(~F.col("repeats") & (F.col("low") == F.col("high")), F.lit(0.0)).otherwise(unequal)
-    usable = (F.col("n") >= cfg.rhythm_min_rows) & (F.col("span") > 0)
-    return per_ip.select("ip", F.when(usable, cv).alias("interval_cv"))
+    # the least value keeps rounding from turning unequal gaps into zero
+    unequal = "sqrt(greatest((squares * (n - 1) * (n - 1) / (span * span) - (n - 1)) / (n - 2), 1e-24D))"
+    return per_ip.select(
+        "ip",
+        F.expr(
+            f"CASE WHEN n >= {cfg.rhythm_min_rows} AND span > 0 THEN "
+            f"CASE WHEN NOT repeats AND low = high THEN 0D ELSE {unequal} END END AS interval_cv"
+        ),
+    )
 
 
 def requests_per_minute(n: Column, first: Column, last: Column, least_minutes: float | None = None) -> Column:

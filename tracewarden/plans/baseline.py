@@ -92,9 +92,9 @@ def ip_vs_normal(profile: DataFrame, requests: DataFrame, cohort: DataFrame) ->
     # shown only when there is a normal profile to compare with
     return beside.where("normal_span_seconds <> 0").withColumns(
         {
-            "span_text": duration_text(F.col("span_seconds")),
-            "normal_span_text": duration_text(F.col("normal_span_seconds")),
-            "bytes_text": bytes_text(F.col("total_bytes")),
-            "normal_bytes_text": bytes_text(F.col("normal_bytes")),
+            "span_text": duration_text("span_seconds"),
+            "normal_span_text": duration_text("normal_span_seconds"),
+            "bytes_text": bytes_text("total_bytes"),
+            "normal_bytes_text": bytes_text("normal_bytes"),
         }
     )

@@ -54,7 +54,7 @@ def top_sessions(sessions: DataFrame, k: int = 15) -> DataFrame:
 def top_ips(profile: DataFrame, k: int = 15) -> DataFrame:
     """Addresses by volume, with the volume in words."""
     top = profile.select("ip", F.col("total_requests").alias("requests"), F.col("total_bytes").alias("bytes"))
-    return top.orderBy(F.desc("bytes"), "ip").limit(k).withColumn("volume", bytes_text(F.col("bytes")))
+    return top.orderBy(F.desc("bytes"), "ip").limit(k).withColumn("volume", bytes_text("bytes"))
 
 
 def headline(profile: DataFrame, sessions: DataFrame, chains: DataFrame, damage: DataFrame) -> DataFrame:
@@ -165,9 +165,9 @@ def attack_table(sessions: DataFrame, actions: DataFrame | None = None) -> DataF
         "severity", "score", "attack_type", "ip", "country",
         F.when(F.col("via_tor"), "TOR").when(F.col("via_proxy"), "Proxy").otherwise("").alias("anonymizer"),
         "ip_rotation_detected", "is_internal", "start_time", "end_time",
-        duration_text(F.col("duration_seconds")).alias("duration"),
+        duration_text("duration_seconds").alias("duration"),
         F.col("request_count").alias("requests"),
-        bytes_text(F.col("total_bytes")).alias("volume"),
+        bytes_text("total_bytes").alias("volume"),
         session_endpoints(F.col("evidence")).alias("endpoints"),
         first_payload(F.col("evidence")).alias("payload"),
         F.coalesce("action", F.lit("")).alias("action"),

@@ -33,7 +33,7 @@ def report_table(sessions: DataFrame) -> DataFrame:
         F.col("start_time").alias("start"),
         F.col("end_time").alias("end"),
         F.col("duration_seconds").cast("bigint").alias("duration_s"),
-        duration_hms(F.col("duration_seconds")).alias("duration"),
+        duration_hms("duration_seconds").alias("duration"),
         F.col("request_count").alias("requests"),
         F.col("total_bytes").alias("bytes"),
         "layer",

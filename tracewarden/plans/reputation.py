@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
+from tracewarden.functions.sql import quoted
 from tracewarden.functions.text import severity
-from tracewarden.operators.profile import bot_rhythm
 
 # --- Fixed values: texts of the reasons ---
 REASON_TEXTS = {
@@ -26,55 +26,49 @@ REASON_TEXTS = {
 # --- end of fixed values ---
 
 
-def signal_units(cfg: Config = DEFAULT) -> dict[str, Column]:
-    """How often each signal counts, in the order the reasons are listed."""
-    once = lambda condition: F.when(condition, 1).otherwise(0).cast("bigint")
+def signal_units(cfg: Config = DEFAULT) -> dict[str, str]:
+    """How often each signal counts, as SQL over the profile, in the order reasons are listed."""
+    rhythm = f"interval_cv < {cfg.rhythm_cv}D AND total_requests >= {cfg.rhythm_min_requests}"
     return {
-        "failed_login": F.col("failed_logins"),
-        "sqli_payload": F.col("sqli_payloads"),
-        "sensitive_api_200": F.col("sensitive_ok"),
-        "admin_endpoint_hit": F.col("admin_hits"),
-        "deep_admin_hit": F.col("deep_admin_hits"),
-        "bot_user_agent": once(F.col("bot_requests") > 0),
-        "per_mb_api_traffic": F.expr("sensitive_bytes div 1000000"),
-        "off_hours_activity": F.col("off_hours_requests"),
-        "high_request_rate": once(F.col("request_rate") > cfg.fast_requests_per_minute),
-        "regular_interval": once(bot_rhythm(cfg)),
-        "ua_rotation": once(F.col("unique_user_agents") >= cfg.anonymizer_min_agents),
+        "failed_login": "failed_logins",
+        "sqli_payload": "sqli_payloads",
+        "sensitive_api_200": "sensitive_ok",
+        "admin_endpoint_hit": "admin_hits",
+        "deep_admin_hit": "deep_admin_hits",
+        "bot_user_agent": "if(bot_requests > 0, 1L, 0L)",
+        "per_mb_api_traffic": "sensitive_bytes div 1000000",
+        "off_hours_activity": "off_hours_requests",
+        "high_request_rate": f"if(request_rate > {cfg.fast_requests_per_minute}D, 1L, 0L)",
+        "regular_interval": f"if({rhythm}, 1L, 0L)",
+        "ua_rotation": f"if(unique_user_agents >= {cfg.anonymizer_min_agents}, 1L, 0L)",
     }
 
 
 def ip_reputation(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Score, severity and the non-zero parts of the score per address."""
-    points = {name: units * cfg.weights[name] for name, units in signal_units(cfg).items()}
-    parts = F.create_map(*[x for name, value in points.items() for x in (F.lit(name), value)])
-    score = sum(points.values(), F.lit(0).cast("bigint"))
-    return profile.withColumn("score", score).select(
+    points = {name: f"({units}) * {cfg.weights[name]}" for name, units in signal_units(cfg).items()}
+    parts = ", ".join(f"{quoted(name)}, {value}" for name, value in points.items())
+    return profile.select(
         "ip",
-        "score",
-        severity(F.col("score"), cfg).alias("severity"),
         "is_internal",
         "total_requests",
-        F.map_filter(parts, lambda _, v: v != 0).alias("breakdown"),
-    )
+        F.expr(f"{' + '.join(points.values())} AS score"),
+        F.expr(f"map_filter(map({parts}), (k, v) -> v <> 0) AS breakdown"),
+    ).select("ip", "score", severity(F.col("score"), cfg).alias("severity"), "is_internal", "total_requests", "breakdown")
 
 
 def score_reasons(profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per address and signal with its text and points."""
-    counts = {**signal_units(cfg), "ua_rotation": F.col("unique_user_agents")}
     rows = []
     for position, (name, units) in enumerate(signal_units(cfg).items()):
         before, _, after = REASON_TEXTS[name].replace("{w}", str(cfg.weights[name])).partition("{count}")
-        shown = F.concat(F.lit(before), counts[name].cast("string"), F.lit(after)) if after else F.lit(before)
+        count = "unique_user_agents" if name == "ua_rotation" else units
+        shown = f"concat({quoted(before)}, {count}, {quoted(after)})" if after else quoted(before)
         rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(name).alias("signal"),
-                shown.alias("text"),
-                (units * cfg.weights[name]).alias("points"),
-            )
+            f"struct({position} AS position, {quoted(name)} AS signal, {shown} AS text, "
+            f"({units}) * {cfg.weights[name]} AS points)"
         )
-    return profile.select("ip", F.inline(F.array(*rows))).where("points <> 0")
+    return profile.select("ip", F.expr(f"inline(array({', '.join(rows)}))")).where("points <> 0")
 
 
 def ranked_reasons(reasons: DataFrame) -> DataFrame:

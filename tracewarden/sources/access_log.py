@@ -11,21 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# White space as text tools see it (more than Java's ASCII ``\s``)
-_WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_S, _N = f"[{_WS}]", f"[^{_WS}]"
+# White space as text tools see it: Unicode's (flag U) and the four separators before the blank
+_S, _N = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
 
-_IS_COMBINED = rf"\A{_N}+{_S}+{_N}+{_S}+{_N}+{_S}+\["
+_IS_COMBINED = rf"(?U)\A{_N}+{_S}+{_N}+{_S}+{_N}+{_S}+\["
 
 # Both patterns swallow the whole line and lay their groups out one per line:
 # a text line holds no newline, so splitting there is safe, and one regex run
 # per line replaces one run per field.
 _COMBINED = (
-    rf"(?d)\A({_N}+){_S}+{_N}+{_S}+{_N}+{_S}+\[([^\]]+)\]{_S}+"
+    rf"(?dU)\A({_N}+){_S}+{_N}+{_S}+{_N}+{_S}+\[([^\]]+)\]{_S}+"
     rf'"({_N}+){_S}+(.*?){_S}+HTTP/{_N}+"{_S}+(\d+){_S}+(\d+){_S}+"[^"]*"{_S}+"([^"]*)".*\z'
 )
 _COMBINED_ORDER = "$2\n$1\n$3\n$4\n$5\n$6\n$7"
-_CUSTOM = rf"(?d)\A({_N}+){_S}+({_N}+){_S}+({_N}+){_S}+({_N}+){_S}+(\d+){_S}+(\d+){_S}+(.+)\z"
+_CUSTOM = rf"(?dU)\A({_N}+){_S}+({_N}+){_S}+({_N}+){_S}+({_N}+){_S}+(\d+){_S}+(\d+){_S}+(.+)\z"
 _CUSTOM_ORDER = "$1\n$2\n$3\n$4\n$5\n$6\n$7"
 
 _HAS_ZONE = r"(?:[Zz]|[+-]\d{2}:?\d{2})\z"
@@ -68,12 +67,12 @@ def custom_time(text: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{_S}+|{_S}+\z", "")
+    return F.regexp_replace(text, rf"(?U)\A{_S}+|{_S}+\z", "")
 
 
 def _typed(lines: DataFrame) -> DataFrame:
     value = F.col("value")
-    content = lines.where(~value.startswith("#") & value.rlike(_N))
+    content = lines.where(~value.startswith("#") & value.rlike(f"(?U){_N}"))
     shaped = content.withColumn("combined", value.rlike(_IS_COMBINED)).withColumn(
         "f", F.when(F.col("combined"), combined_fields(value)).otherwise(custom_fields(value))
     )
