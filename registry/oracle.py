@@ -412,30 +412,26 @@ PARTS["custom"] = """SELECT category, path FROM (SELECT category, path, change,
 PARTS["merged"] = "SELECT category, path, 'default' AS origin FROM defaults UNION ALL SELECT category, path, 'custom' FROM custom"
 
 
-def sql(select: str) -> str:
+def sql(select: str, parts: dict[str, str] = PARTS) -> str:
     """A statement with the parts it names, in order of need."""
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in re.findall(r"(?<![.'\w])([a-z_]+[0-9]?)\b(?!\()", text):
-            if name in PARTS and name not in order and _is_table(name, text):
-                need(PARTS[name])
+            if name in parts and name not in order and _is_table(name, text):
+                need(parts[name])
                 if name not in order:
                     order.append(name)
 
     need(select)
-    parts = ", ".join(f"{name} AS ({PARTS[name]})" for name in order)
-    return f"WITH {parts} {select}" if parts else select
+    stated = ", ".join(f"{name} AS ({parts[name]})" for name in order)
+    return f"WITH {stated} {select}" if stated else select
 
 
 def _is_table(name: str, text: str) -> bool:
     return re.search(rf"(?:FROM|JOIN|,)\s+{name}\b(?!\s*(?:AS\s+\w+\s*)?\()", text) is not None
 
 
-def _rounded(columns: str, table: str, where: str = "") -> str:
-    return f"SELECT {columns} FROM {table} {where}"
-
-
 _FLAT = _SESSION.replace("duration_seconds", "round(duration_seconds, 6) AS duration_seconds")
 
 
@@ -566,5 +562,16 @@ SELECTS = {
 }
 
 
+# Over the rows parsed from text, whose times carry whole seconds
+STREAMS = {
+    "stream_parse": SELECTS["parse_enrich"],
+    "stream_distributed_login": """SELECT ip, ip_count, start_time, end_time, request_count, total_bytes, coordinated, shared_user_agent FROM d2""",
+    "stream_burst": "SELECT ip FROM burst4",
+    "stream_recompute": "SELECT ip, score, severity, is_internal, total_requests FROM rep",
+}
+
+
 def all_oracles() -> dict[str, str]:
-    return {name: sql(select) for name, select in SELECTS.items()}
+    from_text = {**PARTS, "pathed": PARTS["pathed"].replace("FROM raw", "FROM parsed")}
+    batch = {name: sql(select) for name, select in SELECTS.items()}
+    return {**batch, **{name: sql(select, from_text) for name, select in STREAMS.items()}}

@@ -1 +1,78 @@
-QUERIES = ()
+"""Registered streaming queries: the derived log as a stream, worked off to its end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from registry import fixture
+from tracewarden.storage import shared_folder
+from tracewarden.streaming import bursts, logins, recompute, source, tables
+
+DELAY = "31 days"  # the derived times are not in file order, and nothing may be late
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+
+
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Through text lines, so the stream is parsed as an arriving log is."""
+    lines = fixture.lines_of(fixture.requests_of(_event_stream(spark, folder))).select("value")
+    return source.stream_requests(lines)
+
+
+def _new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tracewarden/stream-{uuid.uuid4().hex}"
+
+
+def stream_parse(spark: SparkSession, folder: str) -> DataFrame:
+    out = _new_folder(spark)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch(batch, f"{out}/requests", batch_id)
+
+    tables.start(_requests(spark, folder), f"{out}/checkpoint", store, "append", None).awaitTermination()
+    rows = tables.read_batches(spark, f"{out}/requests")
+    return rows.groupBy("ip").agg(
+        F.count("*").alias("requests"),
+        F.count_if("is_failed_login").alias("failed_logins"),
+        F.count_if("sqli_match").alias("sqli"),
+        F.count_if("is_exfil_target").alias("exfil_hits"),
+        F.sum("bytes").alias("bytes"),
+        F.max("timestamp").alias("last_seen"),
+    )
+
+
+def stream_distributed_login(spark: SparkSession, folder: str) -> DataFrame:
+    out = _new_folder(spark)
+    query = logins.follow(_requests(spark, folder), f"{out}/clients", f"{out}/checkpoint", delay=DELAY, refresh_seconds=None)
+    query.awaitTermination()
+    found = logins.alerts(spark, f"{out}/clients")
+    return found.select(
+        "ip", "ip_count", "start_time", "end_time", "request_count", "total_bytes", "coordinated", "shared_user_agent"
+    )
+
+
+def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
+    out = _new_folder(spark)
+    recompute.follow(_requests(spark, folder), out, f"{out}/checkpoint", refresh_seconds=None).awaitTermination()
+    return recompute.current_scores(spark, out).drop("breakdown")
+
+
+def stream_burst(spark: SparkSession, folder: str) -> DataFrame:
+    out = _new_folder(spark)
+    bursts.use_rocksdb(spark)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        tables.write_batch(batch, f"{out}/alerts", batch_id)
+
+    stream = bursts.download_burst_stream(_requests(spark, folder), delay="0 seconds")
+    tables.start(stream, f"{out}/checkpoint", store, "append", None).awaitTermination()
+    return tables.read_batches(spark, f"{out}/alerts").select("ip").distinct()
+
+
+QUERIES = (stream_parse, stream_distributed_login, stream_burst, stream_recompute)

@@ -17,6 +17,7 @@ from tracewarden.operators.detectors import (
     fingerprint,
     sql_injection,
 )
+from tracewarden.storage import materialize_parts
 
 DETECTORS = {
     module.ATTACK_TYPE: module.detect
@@ -28,21 +29,31 @@ DETECTORS = {
 MEMBER_TABLES = {module.ATTACK_TYPE: module.members for module in (distributed_login, fingerprint)}
 
 
-def detect_all(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None) -> DataFrame:
-    """Findings of all detectors as one table, the evidence as JSON.
+def findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None):
+    """Makers of the chosen detectors' findings, the evidence as JSON.
 
     ``detectors`` is a mapping of name to function; a subset or additional
     functions ``(requests, profile, cfg) -> sessions`` can be passed.
     ``detector_order`` keeps the order the findings are listed in.
     """
+
+    def maker(order: int, detect):
+        return lambda: detect(requests, profile, cfg).withColumns(
+            {"evidence": F.to_json("evidence", {"ignoreNullFields": "false"}), "detector_order": F.lit(order)}
+        )
+
     chosen = DETECTORS if detectors is None else detectors
-    found = [
-        detect(requests, profile, cfg)
-        .withColumn("evidence", F.to_json("evidence", {"ignoreNullFields": "false"}))
-        .withColumn("detector_order", F.lit(i))
-        for i, detect in enumerate(chosen.values())
-    ]
-    return reduce(DataFrame.unionByName, found)
+    return [maker(i, detect) for i, detect in enumerate(chosen.values())]
+
+
+def detect_all(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None) -> DataFrame:
+    """Findings of the chosen detectors as one lazy table."""
+    return reduce(DataFrame.unionByName, [make() for make in findings(requests, profile, cfg, detectors)])
+
+
+def stored_findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None) -> DataFrame:
+    """The same table, each detector run as its own job and stored."""
+    return materialize_parts(requests.sparkSession, findings(requests, profile, cfg, detectors), "findings")
 
 
 def session_members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -32,17 +32,18 @@ def session_key():
     return F.unix_seconds("bucket").cast("string")
 
 
+def client_totals():
+    return [
+        F.count("*").alias("failures"),
+        F.sum("bytes").alias("bytes"),
+        F.min(F.struct("timestamp", "lineno")).alias("seen"),
+    ]
+
+
 def failures_per_client(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Failures per (bucket, address, agent): all later steps start from these sums."""
-    return (
-        failed_logins(requests, cfg)
-        .groupBy(bucket_start(cfg).alias("bucket"), "ip", "user_agent")
-        .agg(
-            F.count("*").alias("failures"),
-            F.sum("bytes").alias("bytes"),
-            F.min(F.struct("timestamp", "lineno")).alias("seen"),
-        )
-    )
+    failed = failed_logins(requests, cfg)
+    return failed.groupBy(bucket_start(cfg).alias("bucket"), "ip", "user_agent").agg(*client_totals())
 
 
 def flagged_buckets(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -68,7 +69,11 @@ def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> D
 
 
 def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    clients = failures_per_client(requests, cfg)
+    return sessions_of(failures_per_client(requests, cfg), cfg)
+
+
+def sessions_of(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One session per flagged bucket."""
     flagged = flagged_buckets(clients, cfg)
     first_ips = ranked(
         clients.groupBy("bucket", "ip").agg(F.min("seen").alias("seen")), ["bucket"], [F.asc("ip")], cfg.listed_members

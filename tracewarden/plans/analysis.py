@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.functions.text import first_ip
-from tracewarden.operators.detectors import detect_all, evidence_counts, session_members
+from tracewarden.operators.detectors import evidence_counts, session_members, stored_findings
 from tracewarden.operators.dims import with_network_dims
 from tracewarden.operators.profile import ip_profile
 from tracewarden.plans import baseline, chains, damage, reputation
@@ -62,7 +62,7 @@ def enriched_sessions(
     spark = requests.sparkSession
     no_ips = spark.createDataFrame([], "ip string")
     return with_network_dims(
-        attach_scores(detect_all(requests, profile, cfg, detectors), scores),
+        attach_scores(stored_findings(requests, profile, cfg, detectors), scores),
         dims.tor if dims.tor is not None else no_ips,
         dims.proxies if dims.proxies is not None else no_ips,
         dims.countries if dims.countries is not None else spark.createDataFrame([], COUNTRY_RANGES),

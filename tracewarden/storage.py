@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tracewarden/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_parts(spark: SparkSession, parts: Sequence[Callable[[], DataFrame]], name: str) -> DataFrame:
+    """Store tables of one schema side by side and return them as one table.
+
+    The parts are independent jobs and are submitted together, so the cluster works
+    on all of them and every plan stays small. One plan holding them all would be
+    optimised anew after each of its many stages.
+    """
+    folder = f"{shared_folder(spark)}/tracewarden/{name}-{uuid.uuid4().hex}"
+
+    def store(numbered) -> tuple[str, object]:
+        number, make = numbered
+        df = make()
+        path = f"{folder}/{number}"
+        df.write.parquet(path)
+        return path, df.schema
+
+    with ThreadPoolExecutor(max(len(parts), 1)) as pool:
+        stored = list(pool.map(store, enumerate(parts)))
+    return spark.read.schema(stored[0][1]).parquet(*[path for path, _ in stored])
