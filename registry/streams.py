@@ -65,13 +65,14 @@ def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_burst(spark: SparkSession, folder: str) -> DataFrame:
     out = _new_folder(spark)
-    bursts.use_rocksdb(spark)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.write_batch(batch, f"{out}/alerts", batch_id)
 
     stream = bursts.download_burst_stream(_requests(spark, folder), delay="0 seconds")
-    tables.start(stream, f"{out}/checkpoint", store, "append", None).awaitTermination()
+    with bursts.rocksdb_state(spark):
+        query = tables.start(stream, f"{out}/checkpoint", store, "append", None)
+    query.awaitTermination()
     return tables.read_batches(spark, f"{out}/alerts").select("ip").distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
@@ -31,8 +31,12 @@ def download_bursts(downloads: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
+def is_download() -> Column:
+    return F.col("is_exfil_target") & (F.col("status") == 200)
+
+
 def downloads_of(requests: DataFrame) -> DataFrame:
-    return requests.where(F.col("is_exfil_target") & (F.col("status") == 200))
+    return requests.where(is_download())
 
 
 def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
@@ -13,8 +13,8 @@ from tracewarden.operators.ranking import ranked
 ATTACK_TYPE = "distributed_credential_stuffing"
 
 
-def failed_logins(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return requests.where(
+def is_failure(cfg: Config = DEFAULT) -> Column:
+    return (
         (F.col("method") == "POST")
         & F.lower("url_path").contains("/login")
         & F.col("status").isin(*cfg.distributed_fail_statuses)
@@ -42,8 +42,7 @@ def client_totals():
 
 def failures_per_client(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Failures per (bucket, address, agent): all later steps start from these sums."""
-    failed = failed_logins(requests, cfg)
-    return failed.groupBy(bucket_start(cfg).alias("bucket"), "ip", "user_agent").agg(*client_totals())
+    return requests.where(is_failure(cfg)).groupBy(bucket_start(cfg).alias("bucket"), "ip", "user_agent").agg(*client_totals())
 
 
 def flagged_buckets(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

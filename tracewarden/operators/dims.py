@@ -30,7 +30,7 @@ def network_flags(ips: DataFrame, tor: DataFrame, proxies: DataFrame) -> DataFra
 def overlapping_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges that start inside an earlier one of their /16; a clean table has none."""
     pieces = _pieces(ranges)
-    before = Window.partitionBy("block").orderBy("n", "upto").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("block").orderBy("n", "ip_from", "upto").rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("reach", F.max("upto").over(before)).where("reach >= n").select("ip_from", "ip_to", "country")
 
 

@@ -9,23 +9,25 @@ an address the first time a test holds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewarden.config import DEFAULT, Config
-from tracewarden.operators.detectors.data_exfiltration import downloads_of
+from tracewarden.operators.detectors.data_exfiltration import is_download
+from tracewarden.streaming.source import watched
 
 ALERT = "ip string, second timestamp, first_sum bigint, second_sum bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def seconds_of(rows: DataFrame, first: Column, second: Column, delay: str) -> DataFrame:
+def seconds_of(requests: DataFrame, condition: Column, first: Column, second: Column, delay: str) -> DataFrame:
     """Two sums per (address, second). Log formats carry whole seconds, so this loses nothing."""
     return (
-        rows.withWatermark("timestamp", delay)
+        watched(requests, delay, condition)
         .groupBy("ip", F.window("timestamp", "1 second").alias("window"))
         .agg(F.sum(first).alias("first_sum"), F.sum(second).alias("second_sum"))
         .select("ip", F.col("window.start").alias("second"), F.window_time("window").alias("at"), "first_sum", "second_sum")
@@ -93,9 +95,8 @@ def login_burst_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str =
     """``first_sum`` are failed, ``second_sum`` other logins."""
     least, ratio = cfg.burst_logins, cfg.burst_failure_ratio
     failed = F.col("is_failed_login").cast("bigint")
-    logins = requests.where("is_login")
     return _alerts(
-        seconds_of(logins, failed, 1 - failed, delay),
+        seconds_of(requests, F.col("is_login"), failed, 1 - failed, delay),
         cfg.burst_seconds,
         lambda f, o: (f + o >= least) & (f >= ratio * (f + o)),
     )
@@ -105,12 +106,19 @@ def download_burst_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str
     """``first_sum`` are bytes, ``second_sum`` downloads."""
     volume, least = cfg.burst_exfil_bytes, cfg.burst_exfil_requests
     return _alerts(
-        seconds_of(downloads_of(requests), F.col("bytes"), F.lit(1).cast("bigint"), delay),
+        seconds_of(requests, is_download(), F.col("bytes"), F.lit(1).cast("bigint"), delay),
         cfg.burst_seconds,
         lambda b, n: (b >= volume) & (n >= least),
     )
 
 
-def use_rocksdb(spark) -> None:
-    """State variables need the RocksDB store; call before starting a burst query."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State variables need the RocksDB store: start burst queries inside this block."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

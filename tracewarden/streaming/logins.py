@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors import distributed_login
 from tracewarden.streaming import tables
+from tracewarden.streaming.source import watched
 
 _KEYS = ("bucket", "ip", "user_agent")
 
@@ -18,7 +19,7 @@ def client_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str = "10 m
     State is keyed finer than any hot bucket or address and is dropped once the
     watermark passes the bucket. Rows later than that are ignored here.
     """
-    failed = distributed_login.failed_logins(requests, cfg).withWatermark("timestamp", delay)
+    failed = watched(requests, delay, distributed_login.is_failure(cfg))
     window = F.window("timestamp", f"{cfg.distributed_window_seconds} seconds")
     return (
         failed.groupBy(window.alias("window"), "ip", "user_agent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
@@ -26,3 +26,15 @@ def stream_requests(lines: DataFrame, endpoints=None, cfg: Config = DEFAULT) ->
     Streams number no lines; ``lineno`` is null and ties in time stay open.
     """
     return enrich(parse_lines(lines), endpoints, cfg)
+
+
+def watched(requests: DataFrame, delay: str, condition: Column) -> DataFrame:
+    """Rows that meet a condition, under a watermark that all rows move forward.
+
+    Spark moves filters below the watermark unless they name the event time; then
+    only matching rows would move time on, and the last alert of an attack would
+    wait for the next attack. No request is older than year one, so the added
+    alternative keeps no row.
+    """
+    never = F.col("timestamp") < F.lit("0001-01-02").cast("timestamp")
+    return requests.withWatermark("timestamp", delay).where(condition | never)
