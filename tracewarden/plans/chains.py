@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
+from tracewarden.functions.sql import quoted
 from tracewarden.functions.text import severity_rank
 from tracewarden.operators.nearest import next_point
 from tracewarden.operators.profile import span_seconds
@@ -108,10 +109,16 @@ def next_stages(sessions: DataFrame, pairs, cfg: Config = DEFAULT) -> DataFrame:
     filtered later.
     """
     single = single_ip_sessions(sessions)
-    spark = sessions.sparkSession
-    follows = spark.createDataFrame(sorted(set(pairs)), "attack_type string, next_type string")
-    probes = single.join(follows, "attack_type").select(
-        F.struct(*_STAGE).alias("stage"), "next_type", F.unix_micros("end_time").alias("at")
+    follows: dict[str, list[str]] = {}
+    for kind, after in sorted(set(pairs)):
+        follows.setdefault(kind, []).append(after)
+    cases = " ".join(
+        f"WHEN {quoted(kind)} THEN array({', '.join(map(quoted, after))})" for kind, after in follows.items()
+    )
+    probes = single.select(
+        F.struct(*_STAGE).alias("stage"),
+        F.unix_micros("end_time").alias("at"),
+        F.explode(F.expr(f"CASE attack_type {cases} END")).alias("next_type"),
     )
     points = (
         single.groupBy(F.col("attack_type").alias("next_type"), F.unix_micros("start_time").alias("at"))
@@ -139,21 +146,17 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     Every first session greedily takes the earliest next stage; incomplete
     sequences are dropped. The addresses may differ or be the same.
     """
-    sequences = list(dict.fromkeys(tuple(s) for s in cfg.campaign_sequences))
+    sequences = list(dict.fromkeys(tuple(s) for s in cfg.campaign_sequences if len(s) > 1))
     pairs = [pair for s in sequences for pair in zip(s, s[1:])]
-    hops = materialize(next_stages(sessions, pairs, cfg), "next-stages") if pairs else None
-    spark = sessions.sparkSession
-    table = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sequences)], "seq int, kinds array<string>")
-    paths = (
-        single_ip_sessions(sessions)
-        .join(table.select("seq", "kinds", F.col("kinds")[0].alias("attack_type")), "attack_type")
-        .select("seq", "kinds", F.array(F.struct(*_STAGE)).alias("stages"))
+    hops = materialize(next_stages(sessions, pairs, cfg), "next-stages")
+    # The few sequences are part of the plan: nothing is joined to lay them out.
+    table = ", ".join(f"array({', '.join(map(quoted, s))})" for s in sequences)
+    starting = F.expr(f"filter(array({table}), kinds -> kinds[0] = attack_type)")
+    paths = single_ip_sessions(sessions).select(
+        F.array(F.struct(*_STAGE)).alias("stages"), F.explode(starting).alias("kinds")
     )
     complete = []
-    for length in range(1, max(map(len, sequences), default=0) + 1):
-        complete.append(paths.where(F.size("kinds") == length))
-        if length == max(map(len, sequences)):
-            break
+    for length in range(1, max(map(len, sequences))):
         last = F.element_at("stages", -1)
         paths = (
             paths.where(F.size("kinds") > length)
@@ -161,8 +164,9 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                 {"from_type": last["attack_type"], "from_ip": last["ip"], "next_type": F.col("kinds")[length]}
             )
             .join(hops, ["from_type", "from_ip", "next_type"])
-            .select("seq", "kinds", F.concat("stages", F.array("next_stage")).alias("stages"))
+            .select("kinds", F.concat("stages", F.array("next_stage")).alias("stages"))
         )
+        complete.append(paths.where(F.size("kinds") == length + 1))
     stages = F.col("stages")
     found = _described(reduce(DataFrame.unionByName, complete), stages)
     return found.withColumns(
@@ -178,7 +182,10 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def attack_chains(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return single_ip_chains(sessions).unionByName(campaigns(sessions, cfg))
+    single = single_ip_chains(sessions)
+    if not any(len(s) > 1 for s in cfg.campaign_sequences):
+        return single
+    return single.unionByName(campaigns(sessions, cfg))
 
 
 def by_importance(chains: DataFrame) -> DataFrame:
