@@ -11,7 +11,7 @@ from tracewarden.config import DEFAULT
 from tracewarden.operators.dims import countries, network_flags, overlapping_ranges
 from tracewarden.operators.nearest import next_point
 from tracewarden.operators.profile import interval_cv, ip_profile
-from tracewarden.operators.ranking import first_distinct, first_values, top_counts
+from tracewarden.operators.ranking import first_distinct, first_values, ranked, top_counts
 from tracewarden.operators.trailing import trailing_hits
 
 
@@ -108,6 +108,15 @@ def test_ranking_is_cut_before_the_shuffle(spark, requests_of):
     assert "WindowGroupLimit" in plan
 
 
+def test_long_listings_are_exact(spark):
+    rows = [("g", f"v{i:05d}", (i * 7919) % 5_000) for i in range(4_000)] + [("h", "x", 1)]
+    df = spark.createDataFrame(rows, "g string, v string, o int")
+    got = ranked(df, ["g"], [F.asc("o"), F.asc("v")], 1_500, spread="v").collect()
+    want = sorted((r for r in rows if r[0] == "g"), key=lambda r: (r[2], r[1]))[:1_500]
+    assert sorted((r.rank, r.v) for r in got if r.g == "g") == [(i + 1, r[1]) for i, r in enumerate(want)]
+    assert [(r.rank, r.v) for r in got if r.g == "h"] == [(1, "x")]
+
+
 def test_next_point_is_the_earliest_at_or_after(spark):
     rng = random.Random(5)
     probes = {(rng.choice("xy"), rng.randrange(2_000)) for _ in range(300)}

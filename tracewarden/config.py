@@ -190,7 +190,7 @@ class Config:
     # Scale: width of the time slices hot addresses are cut into, and how many
     # members one row of a report lists (the member tables hold all of them)
     slice_seconds: int = 60
-    listed_members: int = 1000
+    listed_members: int = 10_000
 
 
 DEFAULT = Config()

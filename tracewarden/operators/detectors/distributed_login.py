@@ -74,9 +74,8 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
 def sessions_of(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One session per flagged bucket."""
     flagged = flagged_buckets(clients, cfg)
-    first_ips = ranked(
-        clients.groupBy("bucket", "ip").agg(F.min("seen").alias("seen")), ["bucket"], [F.asc("ip")], cfg.listed_members
-    )
+    per_ip = clients.groupBy("bucket", "ip").agg(F.min("seen").alias("seen"))
+    first_ips = ranked(per_ip, ["bucket"], [F.asc("ip")], cfg.listed_members, spread="ip")
     lists = first_ips.groupBy("bucket").agg(
         F.array_sort(F.collect_list("ip")).alias("ips"),
         F.transform(F.array_sort(F.collect_list(F.struct("seen", "ip"))), lambda s: s["ip"]).alias("involved_ips"),

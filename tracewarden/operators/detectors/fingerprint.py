@@ -52,7 +52,7 @@ def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> D
 
 def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     prints = fingerprints(requests, profile, cfg)
-    first_ips = ranked(prints.select("session_key", "ip"), ["session_key"], [F.asc("ip")], cfg.listed_members)
+    first_ips = ranked(prints.select("session_key", "ip"), ["session_key"], [F.asc("ip")], cfg.listed_members, spread="ip")
     lists = first_ips.groupBy("session_key").agg(F.array_sort(F.collect_list("ip")).alias("ips"))
     found = join_on("session_key", groups(prints, cfg), lists)
     evidence = F.struct(
