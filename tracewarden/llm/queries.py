@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import chat, exact_dedup, line_dedup, mixing
+from tracewarden.llm import bpe, chat, exact_dedup, line_dedup, mixing, simhash, token_files
 from tracewarden.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The tokenizer of op4 and op10: a file that every executor has.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", simhash.shown("fp").alias("fingerprint"), "component_id")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, folder, "documents"))
 
@@ -45,6 +60,12 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_files.own_folder(spark)
+    token_files.write_tokens(_table(spark, folder, "documents"), path, vocabulary_file())
+    return token_files.read_tokens(spark, path, keep_ids=False)
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,7 +82,13 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: tuple[Query, ...] = (op2_exact_dedup, op3_chat_format, op5_mixing, op7_line_dedup)
+def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, folder, "documents"), vocabulary_file(), keep_ids=False)
+
+
+QUERIES: tuple[Query, ...] = (
+    op1_simhash_dedup, op2_exact_dedup, op3_chat_format, op4_token_files, op5_mixing, op7_line_dedup, op10_bpe,
+)
 
 
 def all_queries() -> dict[str, Query]:
