@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import BLANK_CHARS, ascii_lower, text_of
+from tracewarden.llm.common import BLANK_CHARS, ascii_lower, checkpointed, text_of
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -58,7 +58,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")
     largest = F.col("doc_id").desc_nulls_last()
     ranged = (
-        occurrences(docs, least_chars)
+        checkpointed(occurrences(docs, least_chars))  # read three times: for the range bounds, the runs and the drops
         .select("*", part)
         .repartitionByRange(parts, "hash", "part")
         .sortWithinPartitions("hash", "part", largest, "at")
@@ -70,7 +70,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
         .groupBy("hash", "part")
         .agg(F.sum("opens").alias("docs"), F.max("doc_id").alias("keeper"))
     )
-    repeated = (
+    repeated = checkpointed(
         runs.groupBy("hash")
         .agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
         .where(F.col("docs") >= least_docs)
