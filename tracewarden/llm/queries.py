@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import bpe, chat, exact_dedup, line_dedup, mixing, simhash, token_files
+from tracewarden.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    secrets,
+    simhash,
+    sketches,
+    token_files,
+    toxicity,
+)
 from tracewarden.llm.common import text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +81,24 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.plan(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents"))
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     marked = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -82,12 +111,32 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sketches.with_next(_table(spark, folder, "documents"))
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
+    return sketches.compare_versions(rows.select("doc_id", "text", "next_text", edited.alias("edited")))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    return toxicity.with_score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, folder, "documents"), vocabulary_file(), keep_ids=False)
 
 
 QUERIES: tuple[Query, ...] = (
-    op1_simhash_dedup, op2_exact_dedup, op3_chat_format, op4_token_files, op5_mixing, op7_line_dedup, op10_bpe,
+    op1_simhash_dedup, op2_exact_dedup, op3_chat_format, op4_token_files, op5_mixing, op6_secrets, op7_line_dedup,
+    op8_sketches, op9_toxicity, op10_bpe,
 )
 
 
