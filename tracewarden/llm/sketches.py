@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import text_of
+from tracewarden.llm.common import checkpointed, text_of
 
 PIECE_CHARS = 150
 GROUP_LOAD = 8
 #: Cells in each of a group's three sub-tables: of a fingerprint, and when comparing, from the first attempt on.
 WIDTH = 8
-WIDTHS = (8, 16, 32, 64, 128)
+WIDTHS = (8, 24, 96)
 #: Rounds of peeling; a difference that needs more is retried.
 ROUNDS = 8
 _CHECK_SEED = 77
@@ -241,14 +241,17 @@ def compare_versions(rows: DataFrame) -> DataFrame:
     Defined cases: an empty text has a fingerprint of empty cells; two empty texts have
     likeness 1; repeated paragraphs count once; a text's fingerprint depends on nothing else.
     """
-    staged = rows.select(
+    # Digests are stored before they are compared, so that the long expressions are planned once and not after each shuffle.
+    hashed = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         digests(F.col("text")).alias("own"),
         digests(F.col("edited")).alias("edit"),
         digests(F.col("next_text")).alias("next"),
-    ).withColumn("groups", n_groups(F.greatest(F.size("own"), F.size("edit"), F.size("next"))))
+    )
+    largest = F.greatest(F.size("own"), F.size("edit"), F.size("next"))
+    staged = checkpointed(hashed).withColumn("groups", n_groups(largest))
     own, edit, next_, groups = map(F.col, ("own", "edit", "next", "groups"))
     return staged.select(
         "doc_id",
