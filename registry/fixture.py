@@ -70,17 +70,8 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def _dealt(events: DataFrame) -> DataFrame:
-    """Rows of a small table, which is one task's work, dealt to all cores.
-
-    A large table has more splits than there are cores and stays as it is.
-    """
-    cores = events.sparkSession.sparkContext.defaultParallelism
-    return events if events.rdd.getNumPartitions() >= cores else events.repartition(cores, "event_id")
-
-
 def raw_requests(spark: SparkSession, folder: str) -> DataFrame:
-    return requests_of(_dealt(events(spark, folder).select("event_id", "user_id", "value", "ts")))
+    return requests_of(events(spark, folder).select("event_id", "user_id", "value", "ts"))
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -234,28 +234,26 @@ PARTS["fails"] = f"""SELECT *, time_bucket(INTERVAL 300 SECONDS, timestamp) AS b
   WHERE method = 'POST' AND contains(lower(url_path), '/login') AND status IN (401, 403) AND NOT {_internal('ip')}"""
 PARTS["flagged"] = """SELECT bucket, count(*) AS request_count, sum(bytes)::BIGINT AS total_bytes, count(DISTINCT ip) AS ip_count
   FROM fails GROUP BY bucket HAVING count(DISTINCT ip) >= 2 AND (count(*) >= 15 OR count(DISTINCT ip) >= 4)"""
-PARTS["bucket_ips"] = """SELECT bucket, string_agg(ip, ', ' ORDER BY ip) AS ips, string_agg(ip, ', ' ORDER BY ts, ln) AS involved_ips FROM (
-  SELECT bucket, ip, min(timestamp) AS ts, arg_min(lineno, (timestamp, lineno)) AS ln FROM fails GROUP BY bucket, ip) GROUP BY bucket"""
+PARTS["bucket_ips"] = "SELECT bucket, min(ip) AS ip FROM fails GROUP BY bucket"
 PARTS["bucket_agent"] = """SELECT bucket, user_agent FROM (SELECT bucket, user_agent, row_number() OVER (PARTITION BY bucket
   ORDER BY count(DISTINCT ip) DESC, user_agent) AS r, count(DISTINCT ip) AS c FROM fails GROUP BY bucket, user_agent) WHERE r = 1 AND c >= 2"""
-PARTS["d2"] = """SELECT 'distributed_credential_stuffing' AS attack_type, epoch(f.bucket)::BIGINT::VARCHAR AS session_key, ips AS ip, ip_count,
+PARTS["d2"] = """SELECT 'distributed_credential_stuffing' AS attack_type, epoch(f.bucket)::BIGINT::VARCHAR AS session_key, ip, ip_count,
   f.bucket AS start_time, f.bucket + INTERVAL 300 SECONDS AS end_time, 300.0::DOUBLE AS duration_seconds, request_count, total_bytes,
   'L1_burst' AS layer, FALSE AS is_internal, 'T1110.004' AS mitre_id, TRUE AS ip_rotation_detected,
-  a.user_agent IS NOT NULL AS coordinated, a.user_agent AS shared_user_agent, involved_ips, ip_count AS unique_ip_count
+  a.user_agent IS NOT NULL AS coordinated, a.user_agent AS shared_user_agent, ip_count AS unique_ip_count
   FROM flagged f JOIN bucket_ips i ON f.bucket = i.bucket LEFT JOIN bucket_agent a ON f.bucket = a.bucket"""
 
 PARTS["sqli"] = "SELECT * FROM req WHERE sqli_match"
 PARTS["tot3"] = """SELECT ip, min(timestamp) AS s, max(timestamp) AS e, count(*) AS n, sum(bytes)::BIGINT AS b,
   count(*) FILTER (status = 200) AS successful_responses, bool_or(contains(lower(user_agent), 'sqlmap')) AS uses_sqlmap FROM sqli GROUP BY ip"""
-PARTS["paths3"] = _counted("sqli", "url_path")
 PARTS["samples3"] = _samples("sqli", "url_query", 5)
 PARTS["agents3"] = _seen("sqli", "user_agent", 5)
-PARTS["all3"] = """SELECT tot3.*, paths3.t AS endpoints_targeted, samples3.t AS sample_payloads, agents3.t AS user_agents
-  FROM tot3 JOIN paths3 USING (ip) JOIN samples3 USING (ip) JOIN agents3 USING (ip)"""
+PARTS["all3"] = """SELECT tot3.*, samples3.t AS sample_payloads, agents3.t AS user_agents
+  FROM tot3 JOIN samples3 USING (ip) JOIN agents3 USING (ip)"""
 PARTS["d3"] = _single(
     "sql_injection", "s", "e", "n", "b",
     "CASE WHEN epoch_us(e) - epoch_us(s) < 600000000 THEN 'L1_burst' ELSE 'L3_long_term' END",
-    ", n AS payload_count, successful_responses, endpoints_targeted, sample_payloads, user_agents, uses_sqlmap", "all3",
+    ", n AS payload_count, successful_responses, sample_payloads, user_agents, uses_sqlmap", "all3",
 )
 
 PARTS["downloads"] = "SELECT * FROM req WHERE is_exfil_target AND status = 200"
@@ -265,13 +263,12 @@ PARTS["tot4"] = """SELECT ip, min(timestamp) AS s, max(timestamp) AS e, count(*)
   max(bytes) AS max_single_response_bytes FROM downloads GROUP BY ip"""
 PARTS["lay4"] = """SELECT *, CASE WHEN ip IN (SELECT ip FROM burst4) THEN 'L1_burst' WHEN b >= 10000000 AND n >= 100 THEN 'L2_session'
   WHEN b >= 30000000 THEN 'L3_long_term' END AS layer FROM tot4"""
-PARTS["paths4"] = _counted("downloads", "url_path")
 PARTS["samples4"] = _samples("downloads", "url_full", 5)
-PARTS["all4"] = """SELECT lay4.*, paths4.t AS endpoints_targeted, samples4.t AS sample_payloads FROM lay4 JOIN paths4 USING (ip)
+PARTS["all4"] = """SELECT lay4.*, samples4.t AS sample_payloads FROM lay4
   JOIN samples4 USING (ip) WHERE layer IS NOT NULL"""
 PARTS["d4"] = _single(
     "data_exfiltration", "s", "e", "n", "b", "layer",
-    ", endpoints_targeted, max_single_response_bytes, b // n AS avg_response_bytes, b // 512 AS estimated_records, sample_payloads",
+    ", max_single_response_bytes, b // n AS avg_response_bytes, b // 512 AS estimated_records, sample_payloads",
     "all4",
 )
 
@@ -295,12 +292,11 @@ PARTS["admin"] = "SELECT * FROM req WHERE is_admin"
 PARTS["tot6"] = """SELECT ip, min(timestamp) AS s, max(timestamp) AS e, count(*) AS n, sum(bytes)::BIGINT AS b,
   count(*) FILTER (is_deep_admin) AS deep_admin_hits, count(*) FILTER (status IN (200, 302, 304)) AS successful_admin_access
   FROM admin GROUP BY ip HAVING count(*) >= 5 OR count(*) FILTER (is_deep_admin) >= 1"""
-PARTS["paths6"] = _counted("admin", "url_path")
 PARTS["agents6"] = _seen("admin", "user_agent", 3)
-PARTS["all6"] = "SELECT tot6.*, paths6.t AS admin_endpoints_hit, agents6.t AS user_agents FROM tot6 JOIN paths6 USING (ip) JOIN agents6 USING (ip)"
+PARTS["all6"] = "SELECT tot6.*, agents6.t AS user_agents FROM tot6 JOIN agents6 USING (ip)"
 PARTS["d6"] = _single(
     "admin_recon", "s", "e", "n", "b", "'L2_session'",
-    ", admin_endpoints_hit, deep_admin_hits, successful_admin_access, user_agents", "all6",
+    ", deep_admin_hits, successful_admin_access, user_agents", "all6",
 )
 
 PARTS["top_paths"] = """SELECT ip, string_agg(url_path, ', ' ORDER BY url_path) AS common_endpoints,
@@ -309,16 +305,16 @@ PARTS["top_paths"] = """SELECT ip, string_agg(url_path, ', ' ORDER BY url_path)
 PARTS["prints"] = """SELECT sha256(dominant_user_agent || chr(10) || keyed || chr(10) || rhythm_class) AS session_key, * EXCLUDE (keyed) FROM (
   SELECT ip, dominant_user_agent, common_endpoints, keyed, CASE WHEN interval_cv < 0.3 THEN 'fast' ELSE 'normal' END AS rhythm_class,
     is_internal, first_seen, last_seen, total_requests, total_bytes FROM profile JOIN top_paths USING (ip) WHERE total_requests >= 20)"""
-PARTS["d7"] = """SELECT 'distributed_fingerprint' AS attack_type, session_key, string_agg(ip, ', ' ORDER BY ip) AS ip, count(*) AS ip_count,
+PARTS["d7"] = """SELECT 'distributed_fingerprint' AS attack_type, session_key, min(ip) AS ip, count(*) AS ip_count,
   min(first_seen) AS start_time, max(last_seen) AS end_time, (epoch_us(max(last_seen)) - epoch_us(min(first_seen))) / 1e6 AS duration_seconds,
   sum(total_requests)::BIGINT AS request_count, sum(total_bytes)::BIGINT AS total_bytes, 'L4_fingerprint' AS layer,
   bool_and(is_internal) AS is_internal, 'T1583.003' AS mitre_id, FALSE AS ip_rotation_detected, FALSE AS coordinated,
-  NULL::VARCHAR AS shared_user_agent, string_agg(ip, ', ' ORDER BY ip) AS shared_ips, dominant_user_agent AS dominant_ua,
+  NULL::VARCHAR AS shared_user_agent, dominant_user_agent AS dominant_ua,
   common_endpoints, rhythm_class FROM prints GROUP BY session_key, dominant_user_agent, common_endpoints, rhythm_class HAVING count(*) >= 2"""
 
-PARTS["members"] = """SELECT DISTINCT 'distributed_credential_stuffing' AS attack_type, epoch(bucket)::BIGINT::VARCHAR AS session_key, ip
-    FROM fails WHERE bucket IN (SELECT bucket FROM flagged)
-  UNION ALL SELECT 'distributed_fingerprint', session_key, ip FROM prints WHERE session_key IN (SELECT session_key FROM d7)"""
+PARTS["members"] = """SELECT 'distributed_credential_stuffing' AS attack_type, epoch(bucket)::BIGINT::VARCHAR AS session_key, ip,
+    min(timestamp) AS seen FROM fails WHERE bucket IN (SELECT bucket FROM flagged) GROUP BY bucket, ip
+  UNION ALL SELECT 'distributed_fingerprint', session_key, ip, first_seen FROM prints WHERE session_key IN (SELECT session_key FROM d7)"""
 
 PARTS["found"] = " UNION ALL ".join(f"SELECT {_SESSION}, {i} AS detector_order FROM d{i + 1}" for i in range(7))
 
@@ -329,7 +325,7 @@ PARTS["geo"] = f"""SELECT i.ip, coalesce(g.country, 'Unknown') AS country FROM i
 PARTS["net"] = """SELECT ip, ip = '185.23.44.12' AS via_tor, ip = '103.44.55.66' AS via_proxy FROM (SELECT DISTINCT ip FROM req)"""
 
 PARTS["sess"] = f"""SELECT f.*, coalesce(r.score, 0) AS score, coalesce(r.severity, 'LOW') AS severity, country, via_tor, via_proxy
-  FROM (SELECT *, trim(split_part(ip, ',', 1)) AS first_ip FROM found) f LEFT JOIN (SELECT ip AS rip, score, severity FROM rep) r ON first_ip = rip
+  FROM (SELECT *, ip AS first_ip FROM found) f LEFT JOIN (SELECT ip AS rip, score, severity FROM rep) r ON first_ip = rip
   JOIN (SELECT ip AS gip, country FROM geo) g ON first_ip = gip JOIN (SELECT ip AS nip, via_tor, via_proxy FROM net) n ON first_ip = nip"""
 
 # ---- chains
@@ -465,18 +461,18 @@ SELECTS = {
     "score_reasons": "SELECT * FROM reasons",
     "top_reputation": "SELECT ip, score, severity, is_internal, total_requests FROM rep ORDER BY score DESC, ip LIMIT 15",
     "det_credential_stuffing": _detector(1, "failed_logins, successful_logins, failure_ratio, unique_user_agents, bot_ua_used"),
-    "det_distributed_login": _detector(2, "involved_ips, unique_ip_count"),
+    "det_distributed_login": _detector(2, "unique_ip_count"),
     "det_sql_injection": _detector(
-        3, "payload_count, successful_responses, endpoints_targeted, sample_payloads, user_agents, uses_sqlmap"
+        3, "payload_count, successful_responses, sample_payloads, user_agents, uses_sqlmap"
     ),
     "det_data_exfiltration": _detector(
-        4, "endpoints_targeted, max_single_response_bytes, avg_response_bytes, estimated_records, sample_payloads"
+        4, "max_single_response_bytes, avg_response_bytes, estimated_records, sample_payloads"
     ),
     "det_anonymizer": _detector(
         5, "signals, bot_ua_count, bot_ratio, tor_ua_count, unique_user_agents, interval_cv, user_agents, endpoints_targeted"
     ),
-    "det_admin_recon": _detector(6, "admin_endpoints_hit, deep_admin_hits, successful_admin_access, user_agents"),
-    "det_fingerprint": _detector(7, "shared_ips, dominant_ua, common_endpoints, rhythm_class"),
+    "det_admin_recon": _detector(6, "deep_admin_hits, successful_admin_access, user_agents"),
+    "det_fingerprint": _detector(7, "dominant_ua, common_endpoints, rhythm_class"),
     "login_bursts": "SELECT ip FROM burst1",
     "download_bursts": "SELECT ip FROM burst4",
     "login_buckets": "SELECT bucket, request_count, total_bytes, ip_count FROM flagged",
@@ -532,7 +528,8 @@ SELECTS = {
       FROM part_of JOIN (SELECT attack_type, session_key, layer FROM sess) USING (attack_type, session_key) GROUP BY ip""",
     "mitre_per_ip": """SELECT ip, string_agg(DISTINCT mitre_id, ', ' ORDER BY mitre_id) AS mitre_ids
       FROM part_of JOIN (SELECT attack_type, session_key, mitre_id FROM sess) USING (attack_type, session_key) GROUP BY ip""",
-    "sessions_with_ip": """SELECT attack_type, ip, start_time FROM sess WHERE list_contains(string_split(ip, ', '), '45.142.0.3')""",
+    "sessions_with_ip": """SELECT attack_type, ip, start_time FROM sess WHERE ip = '45.142.0.3' AND ip_count = 1
+      OR (attack_type, session_key) IN (SELECT (attack_type, session_key) FROM members WHERE ip = '45.142.0.3')""",
     "timeline": 'SELECT ip, start_time AS "start", end_time AS finish, attack_type, severity FROM sess',
     "narrative": """SELECT start_time, ip, '  [' || strftime(start_time, '%H:%M:%S') || '] ' || printf('%-40s', attack_type) || ' | ' || printf('%-32s', ip)
       || ' | ' || request_count || ' reqs' || CASE WHEN total_bytes / 1048576 >= 1 THEN printf(' | %.1f MB', total_bytes / 1048576) ELSE '' END

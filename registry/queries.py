@@ -234,7 +234,7 @@ def _flat(name: str, t: _Tables, lists=(), maps=()) -> DataFrame:
     found = DETECTORS[name](t.requests, t.profile, DEFAULT)
     fields = found.schema["evidence"].dataType.fieldNames()
     taken = [f for f in fields if f not in found.columns]
-    flat = found.select(*[c for c in found.columns if c not in ("evidence", "ips")], *[f"evidence.{f}" for f in taken])
+    flat = found.select(*[c for c in found.columns if c != "evidence"], *[f"evidence.{f}" for f in taken])
     return flat.withColumns({**{c: joined(c) for c in lists}, **{c: map_text(c) for c in maps}})
 
 
@@ -243,15 +243,15 @@ def det_credential_stuffing(t: _Tables) -> DataFrame:
 
 
 def det_distributed_login(t: _Tables) -> DataFrame:
-    return _flat("distributed_credential_stuffing", t, lists=["involved_ips"])
+    return _flat("distributed_credential_stuffing", t)
 
 
 def det_sql_injection(t: _Tables) -> DataFrame:
-    return _flat("sql_injection", t, lists=["sample_payloads", "user_agents"], maps=["endpoints_targeted"])
+    return _flat("sql_injection", t, lists=["sample_payloads", "user_agents"])
 
 
 def det_data_exfiltration(t: _Tables) -> DataFrame:
-    return _flat("data_exfiltration", t, lists=["sample_payloads"], maps=["endpoints_targeted"])
+    return _flat("data_exfiltration", t, lists=["sample_payloads"])
 
 
 def det_anonymizer(t: _Tables) -> DataFrame:
@@ -259,11 +259,11 @@ def det_anonymizer(t: _Tables) -> DataFrame:
 
 
 def det_admin_recon(t: _Tables) -> DataFrame:
-    return _flat("admin_recon", t, lists=["user_agents"], maps=["admin_endpoints_hit"])
+    return _flat("admin_recon", t, lists=["user_agents"])
 
 
 def det_fingerprint(t: _Tables) -> DataFrame:
-    return _flat("distributed_fingerprint", t, lists=["shared_ips", "common_endpoints"])
+    return _flat("distributed_fingerprint", t, lists=["common_endpoints"])
 
 
 def login_bursts(t: _Tables) -> DataFrame:
@@ -295,7 +295,7 @@ def evidence_paths(t: _Tables) -> DataFrame:
 # ---------------------------------------------------------------- sessions and dimensions
 
 def _session_columns(df: DataFrame) -> DataFrame:
-    return df.drop("evidence", "ips", "detector_order")
+    return df.drop("evidence", "detector_order")
 
 
 def sessions_enriched(t: _Tables) -> DataFrame:
@@ -445,7 +445,7 @@ def report_table(t: _Tables) -> DataFrame:
 
 def attack_table(t: _Tables) -> DataFrame:
     current = actions.current_actions(t.action_log)
-    shown = explore.attack_table(t.sessions, current)
+    shown = explore.attack_table(t.sessions, evidence_counts(t.requests), current)
     return shown.select("attack_type", "ip", "anonymizer", "duration", "volume", "endpoints", "payload", "action")
 
 

@@ -26,7 +26,11 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tracewarden/stream-{uuid.uuid4().hex}"
+    """A stream writes tables, so it needs a folder: the shared one, or for a local run one of its own."""
+    folder = shared_folder(spark)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder or '/tmp/checkpoints'}/tracewarden/stream-{uuid.uuid4().hex}"
 
 
 def stream_parse(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import ipaddress
 import re
 from urllib.parse import unquote
@@ -7,7 +8,7 @@ from urllib.parse import unquote
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.config import DEFAULT, SENSITIVE_PREFIXES, SQLI_PATTERNS
+from tracewarden.config import DEFAULT, SENSITIVE_PREFIXES, SQLI_PATTERNS, SQLI_PRECHECK
 from tracewarden.functions import net, text
 
 URLS = [
@@ -50,7 +51,7 @@ def test_precheck_is_implied_by_every_pattern(spark):
         "concat(", "load_file(", "into outfile",
     ]
     for pattern, sample in zip(SQLI_PATTERNS, samples, strict=True):
-        assert re.search(pattern, sample) and re.search(DEFAULT.sqli_precheck, sample)
+        assert re.search(pattern, sample) and re.search(SQLI_PRECHECK, sample)
     df = _table(spark, samples)
     assert all(_run(df, text.sqli_match(F.col("v"), F.lower("v"))))
 
@@ -122,3 +123,13 @@ def test_first_ip_and_mitre(spark):
     assert _run(_table(spark, ["1.1.1.1, 2.2.2.2", "3.3.3.3"]), text.first_ip(F.col("v"))) == ["1.1.1.1", "3.3.3.3"]
     kinds = ["distributed_credential_stuffing", "sql_injection", "other"]
     assert _run(_table(spark, kinds), text.mitre_id(F.col("v"))) == ["T1110.004", "T1190", None]
+
+
+def test_sqli_separators_and_own_patterns(spark):
+    urls = [f"/a?q=union%{c}select" for c in ("1c", "1d", "1e", "1f", "20", "09")] + ["/etc/passwd", "/a"]
+    df = _table(spark, urls)
+    hit = lambda cfg: _run(df, text.sqli_match(F.col("v"), text.url_decoded(F.col("v")), cfg))
+    assert hit(DEFAULT) == [True] * 6 + [False] * 2
+    own = dataclasses.replace(DEFAULT, sqli_patterns=(*SQLI_PATTERNS, "etc/passwd"))
+    assert hit(own) == [True] * 7 + [False]
+    assert text.wide_blanks(r"a\s[\s,]\\s") == r"a[\s\x1c-\x1f][\s\x1c-\x1f,]\\s"

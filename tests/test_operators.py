@@ -111,7 +111,7 @@ def test_ranking_is_cut_before_the_shuffle(spark, requests_of):
 def test_long_listings_are_exact(spark):
     rows = [("g", f"v{i:05d}", (i * 7919) % 5_000) for i in range(4_000)] + [("h", "x", 1)]
     df = spark.createDataFrame(rows, "g string, v string, o int")
-    got = ranked(df, ["g"], [F.asc("o"), F.asc("v")], 1_500, spread="v").collect()
+    got = ranked(df, ["g"], [F.asc("o"), F.asc("v")], 1_500).collect()
     want = sorted((r for r in rows if r[0] == "g"), key=lambda r: (r[2], r[1]))[:1_500]
     assert sorted((r.rank, r.v) for r in got if r.g == "g") == [(i + 1, r[1]) for i, r in enumerate(want)]
     assert [(r.rank, r.v) for r in got if r.g == "h"] == [(1, "x")]
@@ -150,19 +150,26 @@ def test_countries_and_flags(spark):
     assert flags["1.2.0.0"] == (True, False) and flags["x"] == (False, True) and flags["::1"] == (False, False)
 
 
-def test_long_endpoint_tables_are_joined(spark, requests_of, monkeypatch):
+def test_endpoint_tables_of_any_size_are_joined(spark, requests_of, tmp_path):
     from tracewarden.operators import enrich as module
 
-    rows = [row(0, url=u, method=m) for u in ("/api/users/1?x", "/admin", "/adminx", "/login", "/login/x", "/c/1/d", "//", "/")
+    rows = [row(0, url=u, method=m) for u in ("/api/users/1?x", "/admin", "/adminx", "/login", "/login/x", "/c/1/d", "//", "/", "/n/1999/x")
             for m in ("GET", "POST")]
-    table = spark.createDataFrame(
-        [(c, p) for c, ps in module.ENDPOINT_CATEGORIES.items() for p in ps] + [("exfil_targets", "/c/1")], "category string, path string"
-    )
-    raw = requests_of(rows).select("lineno", "timestamp", "ip", "method", "url_full", "status", "bytes", "user_agent")
-    constant = module.enrich(raw, table).orderBy("lineno").collect()
-    monkeypatch.setattr(module, "MAX_CONSTANT_ENDPOINTS", 3)
-    assert module.enrich(raw, table).orderBy("lineno").collect() == constant
-    assert sum(r.is_exfil_target for r in constant) == 4 and sum(r.is_login for r in constant) == 1
+    extra = {"exfil_targets": ["/c/1"], "admin_endpoints": [f"/n/{i}" for i in range(2500)]}
+    paths = {c: [*ps, *extra.get(c, [])] for c, ps in module.ENDPOINT_CATEGORIES.items()}
+    table = spark.createDataFrame([(c, p) for c, ps in paths.items() for p in ps], "category string, path string")
+    columns = ("lineno", "timestamp", "ip", "method", "url_full", "status", "bytes", "user_agent")
+    raw = requests_of(rows).select(*columns)
+    raw = raw.unionByName(raw.limit(1).withColumns({"lineno": F.lit(99).cast("bigint"), "url_full": F.lit(None).cast("string")}))
+    joined = module.enrich(raw, table).orderBy("lineno").collect()
+    assert joined == module.enrich(raw, paths).orderBy("lineno").collect()
+    assert sum(r.is_exfil_target for r in joined) == 4 and sum(r.is_login for r in joined) == 1
+    assert sum(r.is_admin for r in joined) == 4 and not joined[-1].is_admin
+    raw.write.parquet(f"{tmp_path}/raw")
+    stream = module.enrich(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/raw"), table)
+    query = stream.writeStream.format("memory").queryName("joined_endpoints").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("joined_endpoints").orderBy("lineno").collect() == joined
 
 
 def test_defaults_are_the_stated_rules():

@@ -59,6 +59,14 @@ def test_campaigns_equal_the_greedy_search(spark):
     assert got == want and len(want) > 20
 
 
+def test_two_sessions_of_one_kind_on_one_address(spark):
+    df = _sessions(spark, [("credential_stuffing", "a", 0, 100), ("credential_stuffing", "a", 200, 300),
+                           ("sql_injection", "a", 400, 500), ("data_exfiltration", "a", 600, 700)])
+    want = sum(1 for s in CAMPAIGN_SEQUENCES for _ in range(2 if s[0] == "credential_stuffing" else 1)
+               if set(s) <= {"credential_stuffing", "sql_injection", "data_exfiltration"})
+    assert chains.campaigns(df).count() == want > 0
+
+
 def test_single_ip_chain(spark):
     rows = [("data_exfiltration", "a", 100, 900, "HIGH"), ("sql_injection", "a", 200, 300, "HIGH"),
             ("admin_recon", "a", 0, 50, "HIGH"), ("sql_injection", "b", 0, 1), ("sql_injection", "a, b", 0, 1)]
@@ -130,7 +138,7 @@ def test_analysis_and_report(spark, result, tmp_path):
     stuffing = sessions["credential_stuffing"]
     assert stuffing.via_tor and not stuffing.via_proxy and stuffing.country == "Nine" and stuffing.severity == "HIGH"
     joint = sessions["distributed_fingerprint"]
-    assert joint.ip == "7.7.7.7, 8.8.8.8" and joint.via_proxy and joint.severity == "LOW"
+    assert (joint.ip, joint.ip_count) == ("7.7.7.7", 2) and joint.via_proxy and joint.severity == "LOW"
     types = {c.chain_type for c in result.chains.collect()}
     assert types == {"single_ip", "multi_ip_campaign"}
 
@@ -154,7 +162,7 @@ def test_analysis_and_report(spark, result, tmp_path):
     assert [s.attack_type for s in shared] == ["distributed_fingerprint"]
     agreement = {r.ip: r.layers for r in explore.layer_agreement(result.sessions, result.members).collect()}
     assert agreement == {"9.9.9.9": 2, "7.7.7.7": 1, "8.8.8.8": 1}
-    shown = {r.attack_type: r for r in explore.attack_table(result.sessions).collect()}
+    shown = {r.attack_type: r for r in explore.attack_table(result.sessions, result.evidence_counts).collect()}
     assert shown["data_exfiltration"].endpoints == "/api/export (40)"
     assert shown["data_exfiltration"].payload == "/api/export?a" and shown["credential_stuffing"].payload == ""
     detail = explore.ip_detail(result, spark.createDataFrame([("8.8.8.8",), ("9.9.9.9",)], "ip string"))

@@ -113,8 +113,8 @@ DETECTOR_ORDER = (
 
 IP_ACTIONS = ("watchlist", "ignore", "block")
 
-# A character (or "--") that every pattern of SQLI_PATTERNS needs. Clean URLs
-# leave after this one cheap scan; see functions.requests.sqli_match.
+# A character (or "--") that every pattern of SQLI_PATTERNS needs. Clean URLs leave after
+# this one cheap scan; functions.text.sqli_match uses it for these patterns only.
 SQLI_PRECHECK = r"[%'(_\s]|--"
 
 
@@ -166,7 +166,6 @@ class Config:
     off_hours_end: int = 7
     deep_admin_prefixes: tuple[str, ...] = DEEP_ADMIN_PREFIXES
     sqli_patterns: tuple[str, ...] = SQLI_PATTERNS
-    sqli_precheck: str | None = SQLI_PRECHECK
     bot_agent_patterns: tuple[str, ...] = BOT_AGENT_PATTERNS
     tor_agent_pattern: str = TOR_AGENT_PATTERN
     # Score
@@ -187,10 +186,8 @@ class Config:
     transfer_usd: int = 250
     payment_usd: int = 80
     uzs_per_usd: int = 12_650
-    # Scale: width of the time slices hot addresses are cut into, and how many
-    # members one row of a report lists (the member tables hold all of them)
+    # Scale: width of the time slices hot addresses are cut into
     slice_seconds: int = 60
-    listed_members: int = 10_000
 
 
 DEFAULT = Config()

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewarden.config import DEFAULT, Config
+from tracewarden.config import DEFAULT, SQLI_PATTERNS, SQLI_PRECHECK, Config
 from tracewarden.functions.sql import one_of, quoted
 
 
@@ -56,6 +56,28 @@ def _any_of(patterns, flags: str) -> str:
     return flags + "|".join(f"(?:{p})" for p in patterns)
 
 
+def wide_blanks(pattern: str) -> str:
+    """``pattern`` with the separators \\x1c to \\x1f among the white space, as text tools see it."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        if part == r"\s":
+            part = r"\s\x1c-\x1f" if inside else r"[\s\x1c-\x1f]"
+            at += 1
+        elif part == r"\S" and not inside:
+            part = r"[^\s\x1c-\x1f]"
+            at += 1
+        elif part[0] == "\\":
+            at += 1
+        elif part == "[":
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+        at += 1
+    return "".join(out)
+
+
 def is_bot_agent(agent: str, cfg: Config = DEFAULT) -> Column:
     """Agent of a script or scanner, in any case.
 
@@ -83,14 +105,16 @@ def sqli_match(url: Column, decoded: Column, cfg: Config = DEFAULT) -> Column:
     """Injection signature in the decoded or the raw URL.
 
     ``U`` gives the Unicode meaning of ``\\s`` and ``\\b``, ``d`` lets only a
-    newline end a line. The cheap precheck is implied by every pattern, and an
-    URL without escapes is searched once: its raw and decoded forms are equal.
+    newline end a line. The built-in patterns all imply a cheap precheck; other
+    patterns are searched for as they are. An URL without escapes is searched
+    once: its raw and decoded forms are equal.
     """
-    signature = _any_of(cfg.sqli_patterns, "(?iUd)")
+    signature = wide_blanks(_any_of(cfg.sqli_patterns, "(?iUd)"))
+    precheck = "(?U)" + wide_blanks(SQLI_PRECHECK) if cfg.sqli_patterns == SQLI_PATTERNS else None
 
     def search(text: Column) -> Column:
         found = text.rlike(signature)
-        return text.rlike("(?U)" + cfg.sqli_precheck) & found if cfg.sqli_precheck else found
+        return text.rlike(precheck) & found if precheck else found
 
     raw_hit = F.when(url.contains("%"), search(F.lower(url))).otherwise(F.lit(False))
     return F.coalesce(search(decoded) | raw_hit, F.lit(False))

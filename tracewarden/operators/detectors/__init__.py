@@ -17,7 +17,7 @@ from tracewarden.operators.detectors import (
     fingerprint,
     sql_injection,
 )
-from tracewarden.storage import materialize_parts
+from tracewarden.storage import Kept, materialize_parts
 
 DETECTORS = {
     module.ATTACK_TYPE: module.detect
@@ -48,24 +48,33 @@ def findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, det
 
 def detect_all(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None) -> DataFrame:
     """Findings of the chosen detectors as one lazy table."""
-    return reduce(DataFrame.unionByName, [make() for make in findings(requests, profile, cfg, detectors)])
+    made = [make() for make in findings(requests, profile, cfg, detectors)]
+    return reduce(DataFrame.unionByName, made) if made else no_findings(requests, profile, cfg)
 
 
-def stored_findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None) -> DataFrame:
+def no_findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """An empty table of findings: what no chosen detector finds."""
+    schema = findings(requests, profile, cfg)[0]().schema
+    return requests.sparkSession.createDataFrame([], schema)
+
+
+def stored_findings(
+    requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None, kept: Kept | None = None
+) -> DataFrame:
     """The same table, each detector run as its own job and stored."""
-    return materialize_parts(requests.sparkSession, findings(requests, profile, cfg, detectors), "findings")
+    makers = findings(requests, profile, cfg, detectors)
+    if not makers:
+        return no_findings(requests, profile, cfg)
+    return materialize_parts(requests.sparkSession, makers, "findings", kept)
 
 
 def session_members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """All addresses of the sessions that tie several together (attack_type, session_key, ip)."""
+    """All addresses of the sessions that tie several together (attack_type, session_key, ip, seen)."""
     return reduce(DataFrame.unionByName, [of(requests, profile, cfg) for of in MEMBER_TABLES.values()])
 
 
 def evidence_counts(requests: DataFrame) -> DataFrame:
-    """All path counts behind the detectors' evidence, one row per path.
-
-    The evidence of a session lists the most frequent paths; this table is whole.
-    """
+    """All path counts behind the detectors' evidence, one row per path."""
     of = {
         sql_injection.ATTACK_TYPE: F.col("sqli_match"),
         data_exfiltration.ATTACK_TYPE: F.col("is_exfil_target") & (F.col("status") == 200),

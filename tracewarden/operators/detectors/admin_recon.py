@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
-from tracewarden.operators.ranking import first_distinct, top_counts
+from tracewarden.operators.ranking import first_distinct
 
 ATTACK_TYPE = "admin_recon"
 
@@ -25,8 +25,7 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     found = join_on(
         "ip",
         totals,
-        top_counts(visits, ["ip"], "url_path", cfg.listed_members, "admin_endpoints_hit"),
         first_distinct(visits, ["ip"], "user_agent", 3, "user_agents"),
     )
-    evidence = F.struct("admin_endpoints_hit", "deep_admin_hits", "successful_admin_access", "user_agents")
+    evidence = F.struct("deep_admin_hits", "successful_admin_access", "user_agents")
     return as_sessions(found.withColumns({"layer": F.lit("L2_session"), "evidence": evidence}), ATTACK_TYPE, cfg)

@@ -2,9 +2,9 @@
 
 A detector is a function ``(requests, profile, cfg) -> DataFrame`` that returns
 sessions with a typed ``evidence`` struct. Single-address detectors return one row
-per address. Detectors that tie several addresses together list up to
-``cfg.listed_members`` of them in the row and give all of them, one per row, in
-their member table.
+per address. A session that ties several addresses together carries its key, its
+smallest address and how many there are; the addresses are rows of the member table.
+Paths behind the evidence are rows of ``evidence_counts``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tracewarden.functions.net import is_internal_ip
 from tracewarden.operators.profile import span_seconds
 
 SESSION_COLUMNS = (
-    "attack_type", "session_key", "ip", "ips", "ip_count", "start_time", "end_time", "duration_seconds",
+    "attack_type", "session_key", "ip", "ip_count", "start_time", "end_time", "duration_seconds",
     "request_count", "total_bytes", "layer", "is_internal", "mitre_id", "evidence", "ip_rotation_detected",
     "coordinated", "shared_user_agent",
 )
@@ -45,7 +45,6 @@ def as_sessions(df: DataFrame, attack_type: str, cfg: Config) -> DataFrame:
     ip = F.col("ip")
     defaults = {
         "session_key": ip,
-        "ips": F.array(ip),
         "ip_count": F.lit(1).cast("bigint"),
         "is_internal": is_internal_ip(ip),
         "duration_seconds": span_seconds(F.col("start_time"), F.col("end_time")),
@@ -57,10 +56,3 @@ def as_sessions(df: DataFrame, attack_type: str, cfg: Config) -> DataFrame:
     return filled.withColumns(
         {"attack_type": F.lit(attack_type), "mitre_id": F.lit(cfg.mitre_ids[attack_type])}
     ).select(*SESSION_COLUMNS)
-
-
-def joined_ips(ips: Column, ip_count: Column) -> Column:
-    """The listed addresses as one text; says how many more the member table holds."""
-    more = ip_count - F.size(ips)
-    text = F.array_join(ips, ", ")
-    return F.when(more > 0, F.concat(text, F.format_string(", (+%d more)", more))).otherwise(text)

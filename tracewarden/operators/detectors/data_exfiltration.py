@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
-from tracewarden.operators.ranking import first_values, top_counts
+from tracewarden.operators.ranking import first_values
 from tracewarden.operators.trailing import trailing_hits
 
 ATTACK_TYPE = "data_exfiltration"
@@ -53,11 +53,9 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     found = join_on(
         "ip",
         flagged,
-        top_counts(downloads, ["ip"], "url_path", cfg.listed_members, "endpoints_targeted"),
         first_values(downloads, ["ip"], "url_full", 5, "sample_payloads"),
     )
     evidence = F.struct(
-        "endpoints_targeted",
         "max_single_response_bytes",
         F.expr("total_bytes div request_count").alias("avg_response_bytes"),
         F.expr(f"total_bytes div {cfg.record_bytes}").alias("estimated_records"),

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.functions.net import is_internal_ip
-from tracewarden.operators.detectors.base import as_sessions, join_on, joined_ips
-from tracewarden.operators.ranking import ranked
+from tracewarden.operators.detectors.base import as_sessions, join_on
 
 ATTACK_TYPE = "distributed_credential_stuffing"
 
@@ -57,13 +56,16 @@ def flagged_buckets(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Every address of every flagged bucket, one per row."""
+    """Every address of every flagged bucket, one per row, with the time it was first seen there."""
     clients = failures_per_client(requests, cfg)
     return (
         clients.join(flagged_buckets(clients, cfg).select("bucket"), "bucket", "left_semi")
         .groupBy("bucket", "ip")
         .agg(F.min("seen").alias("seen"))
-        .select(F.lit(ATTACK_TYPE).alias("attack_type"), session_key().alias("session_key"), "ip")
+        .select(
+            F.lit(ATTACK_TYPE).alias("attack_type"), session_key().alias("session_key"), "ip",
+            F.col("seen.timestamp").alias("seen"),
+        )
     )
 
 
@@ -74,12 +76,7 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
 def sessions_of(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One session per flagged bucket."""
     flagged = flagged_buckets(clients, cfg)
-    per_ip = clients.groupBy("bucket", "ip").agg(F.min("seen").alias("seen"))
-    first_ips = ranked(per_ip, ["bucket"], [F.asc("ip")], cfg.listed_members, spread="ip")
-    lists = first_ips.groupBy("bucket").agg(
-        F.array_sort(F.collect_list("ip")).alias("ips"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seen", "ip"))), lambda s: s["ip"]).alias("involved_ips"),
-    )
+    smallest = clients.groupBy("bucket").agg(F.min("ip").alias("ip"))
     # most addresses first, then the smaller agent
     shared = (
         clients.groupBy("bucket", "user_agent")
@@ -88,19 +85,17 @@ def sessions_of(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .groupBy("bucket")
         .agg(F.min(F.struct((-F.col("n")).alias("minus_n"), "user_agent"))["user_agent"].alias("shared_user_agent"))
     )
-    found = join_on("bucket", flagged, lists, shared)
+    found = join_on("bucket", flagged, smallest, shared)
     seconds = cfg.distributed_window_seconds
     coordinated = F.col("shared_user_agent").isNotNull()
     evidence = F.struct(
-        "involved_ips",
         F.col("ip_count").alias("unique_ip_count"),
         coordinated.alias("coordinated"),
         "shared_user_agent",
     )
     sessions = found.select(
         session_key().alias("session_key"),
-        joined_ips(F.col("ips"), F.col("ip_count")).alias("ip"),
-        "ips",
+        "ip",
         "ip_count",
         F.col("bucket").alias("start_time"),
         (F.col("bucket") + F.expr(f"INTERVAL {seconds} SECONDS")).alias("end_time"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
-from tracewarden.operators.detectors.base import as_sessions, join_on, joined_ips
+from tracewarden.operators.detectors.base import as_sessions
 from tracewarden.operators.ranking import counts, ranked
 
 ATTACK_TYPE = "distributed_fingerprint"
@@ -34,6 +34,7 @@ def groups(prints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Fingerprints shared by several addresses, from the per-address totals."""
     return prints.groupBy("session_key", "dominant_user_agent", "common_endpoints", "rhythm_class").agg(
         F.count("*").alias("ip_count"),
+        F.min("ip").alias("ip"),
         F.min("first_seen").alias("start_time"),
         F.max("last_seen").alias("end_time"),
         F.sum("total_requests").alias("request_count"),
@@ -46,17 +47,14 @@ def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> D
     """Every address of every shared fingerprint, one per row."""
     prints = fingerprints(requests, profile, cfg)
     return prints.join(groups(prints, cfg).select("session_key"), "session_key", "left_semi").select(
-        F.lit(ATTACK_TYPE).alias("attack_type"), "session_key", "ip"
+        F.lit(ATTACK_TYPE).alias("attack_type"), "session_key", "ip", F.col("first_seen").alias("seen")
     )
 
 
 def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     prints = fingerprints(requests, profile, cfg)
-    first_ips = ranked(prints.select("session_key", "ip"), ["session_key"], [F.asc("ip")], cfg.listed_members, spread="ip")
-    lists = first_ips.groupBy("session_key").agg(F.array_sort(F.collect_list("ip")).alias("ips"))
-    found = join_on("session_key", groups(prints, cfg), lists)
+    found = groups(prints, cfg)
     evidence = F.struct(
-        F.col("ips").alias("shared_ips"),
         "ip_count",
         F.col("dominant_user_agent").alias("dominant_ua"),
         "common_endpoints",
@@ -64,7 +62,6 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     )
     sessions = found.withColumns(
         {
-            "ip": joined_ips(F.col("ips"), F.col("ip_count")),
             "layer": F.lit("L4_fingerprint"),
             "evidence": evidence,
         }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
 from tracewarden.operators.profile import span_seconds
-from tracewarden.operators.ranking import first_distinct, first_values, top_counts
+from tracewarden.operators.ranking import first_distinct, first_values
 
 ATTACK_TYPE = "sql_injection"
 
@@ -26,7 +26,6 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     found = join_on(
         "ip",
         totals,
-        top_counts(hits, ["ip"], "url_path", cfg.listed_members, "endpoints_targeted"),
         first_values(hits, ["ip"], "url_query", 5, "sample_payloads"),
         first_distinct(hits, ["ip"], "user_agent", 5, "user_agents"),
     )
@@ -34,7 +33,6 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     evidence = F.struct(
         F.col("request_count").alias("payload_count"),
         "successful_responses",
-        "endpoints_targeted",
         "sample_payloads",
         "user_agents",
         "uses_sqlmap",

@@ -11,85 +11,62 @@ from tracewarden.config import DEFAULT, ENDPOINT_CATEGORIES, Config
 from tracewarden.functions import text
 from tracewarden.schema import REQUEST_COLUMNS
 
-# Up to this many endpoint rows become plan constants; more are joined.
-MAX_CONSTANT_ENDPOINTS = 2000
-
-
 def hour_of(moment: Column, offset_hours: int) -> Column:
     """Hour of day at a fixed offset from UTC, whatever the session time zone is."""
     return F.pmod(F.floor(F.unix_seconds(moment) / 3600) + offset_hours, F.lit(24)).cast("int")
 
 
-def _constant_endpoints(endpoints) -> Mapping[str, Sequence[str]] | None:
-    if endpoints is None:
-        return ENDPOINT_CATEGORIES
-    if isinstance(endpoints, Mapping):
-        return endpoints
-    rows = endpoints.select("category", "path").take(MAX_CONSTANT_ENDPOINTS + 1)
-    if len(rows) > MAX_CONSTANT_ENDPOINTS:
-        return None
-    paths: dict[str, list[str]] = {c: [] for c in ENDPOINT_CATEGORIES}
-    for category, path in rows:
-        paths.setdefault(category, []).append(path)
-    return paths
-
-
 def _path_flags(paths: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    return {
-        "is_sensitive": text.has_prefix("url_path", paths["sensitive_prefixes"]),
-        "is_admin": text.has_prefix("url_path", paths["admin_endpoints"]),
-        "is_transaction": text.has_prefix("url_path", paths["transaction"]),
-        "is_exfil_target": text.has_prefix("url_path", paths["exfil_targets"]),
-        "is_login": text.is_login(paths["login_paths"]),
+    flags = {
+        "is_sensitive": text.has_prefix("url_path", paths.get("sensitive_prefixes", ())),
+        "is_admin": text.has_prefix("url_path", paths.get("admin_endpoints", ())),
+        "is_transaction": text.has_prefix("url_path", paths.get("transaction", ())),
+        "is_exfil_target": text.has_prefix("url_path", paths.get("exfil_targets", ())),
+        "is_login": text.is_login(paths.get("login_paths", ())),
     }
+    return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
-def path_categories(paths: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Categories of each distinct ``url_path`` by an equi-join on its prefixes.
+_CATEGORY_FLAGS = {
+    "is_sensitive": "sensitive_prefixes",
+    "is_admin": "admin_endpoints",
+    "is_transaction": "transaction",
+    "is_exfil_target": "exfil_targets",
+    "is_login_path": "login_paths",
+}
+
+
+def _joined_flags(rows: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Flags from an endpoint table of any size, for tables and streams alike.
 
-    Only prefixes as long as the longest endpoint are laid out, which keeps the
-    work per path small however long an attacker makes it.
+    The endpoint side becomes one row per path. An endpoint with n slashes covers the
+    paths whose text before slash n + 1 equals it, so the table is looked up once for
+    each number of slashes that occurs in it (a handful); ``rows`` are only joined.
     """
-    longest = endpoints.agg(F.coalesce(F.max(F.length("path")), F.lit(0)).alias("n")).scalar()
-    head = F.split(F.expr("left(url_path, longest + 1)"), "/")
-    prefixes = F.transform(
-        F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", F.lit(1), i), "/")
-    )
-    laid_out = (
-        paths.select("url_path")
-        .distinct()
-        .withColumn("longest", longest)
-        .withColumn("parts", head)
-        .select("url_path", F.explode(F.array_distinct(prefixes)).alias("path"))
-    )
     of = lambda c: F.coalesce(F.bool_or(F.col("category") == c), F.lit(False))
-    return (
-        laid_out.join(endpoints.select("category", "path").distinct(), "path")
-        .groupBy("url_path")
-        .agg(
-            of("sensitive_prefixes").alias("is_sensitive"),
-            of("admin_endpoints").alias("is_admin"),
-            of("transaction").alias("is_transaction"),
-            of("exfil_targets").alias("is_exfil_target"),
-            F.coalesce(
-                F.bool_or((F.col("category") == "login_paths") & (F.col("path") == F.col("url_path"))), F.lit(False)
-            ).alias("is_login_path"),
+    slashes = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
+    table = endpoints.where("path IS NOT NULL").groupBy("path").agg(*[of(c).alias(n) for n, c in _CATEGORY_FLAGS.items()])
+    table = table.withColumn("slashes", slashes)
+    flags = {name: F.lit(False) for name in _CATEGORY_FLAGS}
+    for (n,) in sorted(table.select("slashes").distinct().collect()):
+        part = table.where(F.col("slashes") == n).select(
+            F.col("path").alias(f"_path{n}"), *[F.col(f).alias(f"_{f}{n}") for f in _CATEGORY_FLAGS]
         )
-    )
-
-
-def _joined_flags(rows: DataFrame, endpoints: DataFrame) -> DataFrame:
-    flags = path_categories(rows, endpoints)
-    names = [c for c in flags.columns if c != "url_path"]
-    filled = rows.join(flags, "url_path", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in names})
-    return filled.withColumn("is_login", (F.col("method") == "POST") & F.col("is_login_path")).drop("is_login_path")
+        rows = rows.join(part, F.substring_index("url_path", "/", n + 1) == F.col(f"_path{n}"), "left")
+        for name in flags:
+            found = F.col(f"_{name}{n}")
+            found = found & (F.col("url_path") == F.col(f"_path{n}")) if name == "is_login_path" else found
+            flags[name] = flags[name] | F.coalesce(found, F.lit(False))
+    login = F.coalesce((F.col("method") == "POST") & flags.pop("is_login_path"), F.lit(False))
+    return rows.withColumns({**flags, "is_login": login})
 
 
 def enrich(raw: DataFrame, endpoints=None, cfg: Config = DEFAULT) -> DataFrame:
-    """Add the derived request columns. Narrow unless a very long endpoint table is given.
+    """Add the derived request columns.
 
-    ``endpoints`` is a table ``(category, path)``, a mapping of category to paths, or
-    None for the defaults. No global sort: order matters only inside windows.
+    ``endpoints`` is a table ``(category, path)``, which is joined whatever its size, or a
+    mapping of category to paths or None for the defaults, which become constants of the
+    plan. No global sort: order matters only inside windows.
     """
     url = F.col("url_full")
     rows = raw if "lineno" in raw.columns else raw.withColumn("lineno", F.lit(None).cast("bigint"))
@@ -103,14 +80,13 @@ def enrich(raw: DataFrame, endpoints=None, cfg: Config = DEFAULT) -> DataFrame:
         }
     )
     rows = rows.withColumn("url_decoded", F.lower(text.percent_decode(F.col("url_decoded"))))
-    constants = _constant_endpoints(endpoints)
-    if constants is None:
+    if isinstance(endpoints, DataFrame):
         rows = _joined_flags(rows, endpoints)
     else:
-        rows = rows.withColumns(_path_flags(constants))
+        rows = rows.withColumns(_path_flags(ENDPOINT_CATEGORIES if endpoints is None else endpoints))
     rows = rows.withColumns(
         {
-            "is_deep_admin": text.has_prefix("url_path", cfg.deep_admin_prefixes),
+            "is_deep_admin": F.coalesce(text.has_prefix("url_path", cfg.deep_admin_prefixes), F.lit(False)),
             "is_failed_login": F.expr(f"is_login AND status IN {tuple(cfg.failed_login_statuses)}"),
             "is_success_login": F.expr("is_login AND status = 200"),
             "is_bot_ua": text.is_bot_agent("user_agent", cfg),

@@ -1,9 +1,9 @@
-"""Top-k, samples and listings per group.
+"""Top-k and samples per group.
 
-A small k sits directly above the window as ``row_number() <= k``, so Spark cuts
-every map task's share to k rows per group before the shuffle. Spark does so only
-up to a limit; a larger k first ranks within salted parts of each group. Either way
-a hot group never moves into one task as a whole.
+The k sits directly above the window as ``row_number() <= k``, so Spark cuts every map
+task's share to k rows per group before the shuffle (up to its limit of a thousand) and a
+hot group never moves into one task as a whole. All callers pass a handful; what may be
+long, such as the members of a session, is a table of rows.
 """
 
 from __future__ import annotations
@@ -11,32 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CUT_BEFORE_SHUFFLE = 1000  # Spark's default for spark.sql.optimizer.windowGroupLimitThreshold
-_SALTS = 64
 
-
-def _first_rows(df: DataFrame, keys, order, k: int, rank: str) -> DataFrame:
+def ranked(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group in a total order."""
     numbered = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return numbered.where(F.col(rank) <= k)
 
 
-def ranked(df: DataFrame, keys, order, k: int, rank: str = "rank", spread: str | None = None) -> DataFrame:
-    """The first ``k`` rows of every group in a total order.
-
-    ``spread`` names a column that differs within a group. It is needed above the
-    limit: the first k rows of a group are among the first k of its salted parts.
-    """
-    if k > _CUT_BEFORE_SHUFFLE:
-        salted = df.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(_SALTS)))
-        df = _first_rows(salted, [*keys, "salt"], order, k, rank).drop("salt", rank)
-    return _first_rows(df, keys, order, k, rank)
-
-
 def listed(df: DataFrame, keys, order, k: int, value, name: str) -> DataFrame:
     """The first ``k`` values of every group as an array in that order."""
     items = F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("value"))))
     return (
-        ranked(df.withColumn("value", value), keys, order, k, spread="value")
+        ranked(df.withColumn("value", value), keys, order, k)
         .groupBy(*keys)
         .agg(F.transform(items, lambda s: s["value"]).alias(name))
     )

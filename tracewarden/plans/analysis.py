@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tracewarden.operators.dims import with_network_dims
 from tracewarden.operators.profile import ip_profile
 from tracewarden.plans import baseline, chains, damage, reputation
 from tracewarden.schema import COUNTRY_RANGES
-from tracewarden.storage import materialize
+from tracewarden.storage import Kept, materialize
 
 
 @dataclass
@@ -41,6 +41,11 @@ class Result:
     damage: DataFrame
     cohorts: DataFrame
     baseline: DataFrame
+    kept: Kept = field(default_factory=Kept)
+
+    def close(self) -> None:
+        """Drop the tables kept for this result; its tables can't be read afterwards."""
+        self.kept.close()
 
 
 def attach_scores(sessions: DataFrame, scores: DataFrame) -> DataFrame:
@@ -56,13 +61,14 @@ def attach_scores(sessions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def enriched_sessions(
-    requests: DataFrame, profile: DataFrame, scores: DataFrame, dims: Dims, cfg: Config = DEFAULT, detectors=None
+    requests: DataFrame, profile: DataFrame, scores: DataFrame, dims: Dims, cfg: Config = DEFAULT, detectors=None,
+    kept: Kept | None = None,
 ) -> DataFrame:
     """Findings of all detectors with score, severity, country, Tor and proxy."""
     spark = requests.sparkSession
     no_ips = spark.createDataFrame([], "ip string")
     return with_network_dims(
-        attach_scores(stored_findings(requests, profile, cfg, detectors), scores),
+        attach_scores(stored_findings(requests, profile, cfg, detectors, kept), scores),
         dims.tor if dims.tor is not None else no_ips,
         dims.proxies if dims.proxies is not None else no_ips,
         dims.countries if dims.countries is not None else spark.createDataFrame([], COUNTRY_RANGES),
@@ -76,10 +82,11 @@ def analyze(requests: DataFrame, dims: Dims | None = None, cfg: Config = DEFAULT
     ``sources.tables``), not a text scan. The per-address profile and the sessions
     are stored once; everything behind them works on those two.
     """
-    profile = materialize(ip_profile(requests, cfg), "profile")
+    kept = Kept()
+    profile = materialize(ip_profile(requests, cfg), "profile", kept)
     scores = reputation.ip_reputation(profile, cfg)
     sessions = materialize(
-        enriched_sessions(requests, profile, scores, dims or Dims(), cfg, detectors), "sessions"
+        enriched_sessions(requests, profile, scores, dims or Dims(), cfg, detectors, kept), "sessions", kept
     )
     cohort = baseline.cohorts(scores)
     return Result(
@@ -90,8 +97,9 @@ def analyze(requests: DataFrame, dims: Dims | None = None, cfg: Config = DEFAULT
         evidence_counts=evidence_counts(requests),
         reputation=scores,
         reasons=reputation.score_reasons(profile, cfg),
-        chains=chains.attack_chains(sessions, cfg),
+        chains=chains.attack_chains(sessions, cfg, kept),
         damage=damage.damage(sessions, requests, cfg),
         cohorts=cohort,
         baseline=baseline.cohort_profiles(profile, cohort),
+        kept=kept,
     )

@@ -12,7 +12,7 @@ from tracewarden.functions.sql import quoted
 from tracewarden.functions.text import severity_rank
 from tracewarden.operators.nearest import next_point
 from tracewarden.operators.profile import span_seconds
-from tracewarden.storage import materialize
+from tracewarden.storage import Kept, materialize
 
 CHAIN_COLUMNS = (
     "chain_type", "ip", "stages_count", "stage_types", "is_internal", "first_seen", "last_seen", "total_duration",
@@ -115,7 +115,7 @@ def next_stages(sessions: DataFrame, pairs, cfg: Config = DEFAULT) -> DataFrame:
     cases = " ".join(
         f"WHEN {quoted(kind)} THEN array({', '.join(map(quoted, after))})" for kind, after in follows.items()
     )
-    probes = single.select(
+    probes = single.select(*_STAGE).distinct().select(
         F.struct(*_STAGE).alias("stage"),
         F.unix_micros("end_time").alias("at"),
         F.explode(F.expr(f"CASE attack_type {cases} END")).alias("next_type"),
@@ -133,14 +133,13 @@ def next_stages(sessions: DataFrame, pairs, cfg: Config = DEFAULT) -> DataFrame:
         cfg.slice_seconds * 1_000_000,
     )
     return probes.join(found, ["next_type", "at"]).select(
-        F.col("stage.attack_type").alias("from_type"),
-        F.col("stage.ip").alias("from_ip"),
+        F.col("stage").alias("from_stage"),
         "next_type",
         F.col("payload").alias("next_stage"),
     )
 
 
-def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def campaigns(sessions: DataFrame, cfg: Config = DEFAULT, kept: Kept | None = None) -> DataFrame:
     """Sequences of attacks, each starting within the gap after the previous one ended.
 
     Every first session greedily takes the earliest next stage; incomplete
@@ -148,7 +147,7 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """
     sequences = list(dict.fromkeys(tuple(s) for s in cfg.campaign_sequences if len(s) > 1))
     pairs = [pair for s in sequences for pair in zip(s, s[1:])]
-    hops = materialize(next_stages(sessions, pairs, cfg), "next-stages")
+    hops = materialize(next_stages(sessions, pairs, cfg), "next-stages", kept)
     # The few sequences are part of the plan: nothing is joined to lay them out.
     table = ", ".join(f"array({', '.join(map(quoted, s))})" for s in sequences)
     starting = F.expr(f"filter(array({table}), kinds -> kinds[0] = attack_type)")
@@ -161,9 +160,9 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         paths = (
             paths.where(F.size("kinds") > length)
             .withColumns(
-                {"from_type": last["attack_type"], "from_ip": last["ip"], "next_type": F.col("kinds")[length]}
+                {"from_stage": last, "next_type": F.col("kinds")[length]}
             )
-            .join(hops, ["from_type", "from_ip", "next_type"])
+            .join(hops, ["from_stage", "next_type"])
             .select("kinds", F.concat("stages", F.array("next_stage")).alias("stages"))
         )
         complete.append(paths.where(F.size("kinds") == length + 1))
@@ -181,11 +180,11 @@ def campaigns(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     ).select(*CHAIN_COLUMNS)
 
 
-def attack_chains(sessions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def attack_chains(sessions: DataFrame, cfg: Config = DEFAULT, kept: Kept | None = None) -> DataFrame:
     single = single_ip_chains(sessions)
     if not any(len(s) > 1 for s in cfg.campaign_sequences):
         return single
-    return single.unionByName(campaigns(sessions, cfg))
+    return single.unionByName(campaigns(sessions, cfg, kept))
 
 
 def by_importance(chains: DataFrame) -> DataFrame:

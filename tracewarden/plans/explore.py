@@ -139,14 +139,25 @@ def layer_agreement(sessions: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def _paths_text(pairs: Column) -> Column:
+    return F.array_join(F.transform(pairs, lambda s: F.format_string("%s (%d)", s["path"], -s["minus_n"])), "  |  ")
+
+
+def top_evidence(evidence: DataFrame) -> DataFrame:
+    """The three most hit paths of every (attack_type, ip) as text, from ``evidence_counts``."""
+    shown = evidence.where(F.col("attack_type").isin("sql_injection", "data_exfiltration"))
+    top = ranked(shown, ["attack_type", "ip"], [F.desc("n"), F.asc("url_path")], 3)
+    pairs = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus_n"), F.col("url_path").alias("path"))))
+    return top.groupBy("attack_type", "ip").agg(_paths_text(pairs).alias("top_paths"))
+
+
 def session_endpoints(evidence: Column) -> Column:
-    """The three most hit paths of a session as text, from its evidence."""
+    """The three most hit paths of a session whose evidence lists its top paths, as text."""
     hits = F.from_json(F.get_json_object(evidence, "$.endpoints_targeted"), "map<string,bigint>")
     ordered = F.array_sort(
         F.transform(F.map_entries(hits), lambda e: F.struct((-e["value"]).alias("minus_n"), e["key"].alias("path")))
     )
-    shown = F.transform(F.slice(ordered, 1, 3), lambda s: F.format_string("%s (%d)", s["path"], -s["minus_n"]))
-    return F.coalesce(F.array_join(shown, "  |  "), F.lit(""))
+    return F.coalesce(_paths_text(F.slice(ordered, 1, 3)), F.lit(""))
 
 
 def first_payload(evidence: Column, length: int = 80) -> Column:
@@ -155,12 +166,16 @@ def first_payload(evidence: Column, length: int = 80) -> Column:
     return F.coalesce(F.substring(F.get(samples, F.lit(0)), 1, length), F.lit(""))
 
 
-def attack_table(sessions: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """Sessions as an analyst reads them, with the action set on the first address."""
+def attack_table(sessions: DataFrame, evidence: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """Sessions as an analyst reads them, with the action set on the first address.
+
+    ``evidence`` are the path counts behind the sessions.
+    """
     spark = sessions.sparkSession
     known = actions if actions is not None else spark.createDataFrame([], "ip string, action string")
     keyed = known.select(F.col("ip").alias("first_ip"), "action")
     shown = sessions.withColumn("first_ip", first_ip(F.col("ip"))).join(keyed, "first_ip", "left")
+    shown = shown.join(top_evidence(evidence), ["attack_type", "ip"], "left")
     return shown.select(
         "severity", "score", "attack_type", "ip", "country",
         F.when(F.col("via_tor"), "TOR").when(F.col("via_proxy"), "Proxy").otherwise("").alias("anonymizer"),
@@ -168,7 +183,7 @@ def attack_table(sessions: DataFrame, actions: DataFrame | None = None) -> DataF
         duration_text("duration_seconds").alias("duration"),
         F.col("request_count").alias("requests"),
         bytes_text("total_bytes").alias("volume"),
-        session_endpoints(F.col("evidence")).alias("endpoints"),
+        F.coalesce("top_paths", session_endpoints(F.col("evidence"))).alias("endpoints"),
         first_payload(F.col("evidence")).alias("payload"),
         F.coalesce("action", F.lit("")).alias("action"),
     )

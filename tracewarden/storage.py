@@ -1,53 +1,85 @@
 """Shared intermediate tables.
 
-A table that several later steps read is written once to the shared folder the
-cluster names in ``spark.checkpoint.dir`` and read back. This cuts the lineage,
-survives lost executors, and gives later joins true file sizes to plan with.
+A table that several later steps read is kept. Where the cluster names a shared folder in
+``spark.checkpoint.dir``, it is written there once and read back, which cuts the lineage,
+survives lost executors, and gives later joins true file sizes to plan with. Without such
+a folder it is persisted, with its lineage, so lost parts are computed again.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:  # only local runs and tests come without one
-        folder = tempfile.mkdtemp(prefix="tracewarden-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, if one is configured."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the stored table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tracewarden/{name}-{uuid.uuid4().hex}"
+class Kept:
+    """What was kept for a result, so that it can be dropped with it."""
+
+    def __init__(self) -> None:
+        self._drops: list[Callable[[], object]] = []
+
+    def add(self, drop: Callable[[], object]) -> None:
+        self._drops.append(drop)
+
+    def close(self) -> None:
+        while self._drops:
+            self._drops.pop()()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _store(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, name: str, kept: Kept | None = None) -> DataFrame:
+    """Keep ``df`` and return the kept table. ``kept`` can drop it later."""
+    spark, kept = df.sparkSession, kept or Kept()
+    folder = shared_folder(spark)
+    if folder is None:
+        stored = df.persist()
+        kept.add(stored.unpersist)
+        return stored
+    path = f"{folder}/tracewarden/{name}-{uuid.uuid4().hex}"
+    kept.add(lambda: delete_folder(spark, path))
+    return _store(df, path)
 
 
-def materialize_parts(spark: SparkSession, parts: Sequence[Callable[[], DataFrame]], name: str) -> DataFrame:
-    """Store tables of one schema side by side and return them as one table.
+def materialize_parts(
+    spark: SparkSession, parts: Sequence[Callable[[], DataFrame]], name: str, kept: Kept | None = None
+) -> DataFrame:
+    """Keep tables of one schema and return them as one table.
 
     The parts are independent jobs and are submitted together, so the cluster works
     on all of them and every plan stays small. One plan holding them all would be
     optimised anew after each of its many stages.
     """
-    folder = f"{shared_folder(spark)}/tracewarden/{name}-{uuid.uuid4().hex}"
-
-    def store(numbered) -> tuple[str, object]:
-        number, make = numbered
-        df = make()
-        path = f"{folder}/{number}"
-        df.write.parquet(path)
-        return path, df.schema
-
-    with ThreadPoolExecutor(max(len(parts), 1)) as pool:
-        stored = list(pool.map(store, enumerate(parts)))
-    return spark.read.schema(stored[0][1]).parquet(*[path for path, _ in stored])
+    folder, kept = shared_folder(spark), kept or Kept()
+    if folder is None:
+
+        def persist(make: Callable[[], DataFrame]) -> DataFrame:
+            stored = make().persist()
+            kept.add(stored.unpersist)
+            stored.count()
+            return stored
+
+        with ThreadPoolExecutor(len(parts)) as pool:
+            return reduce(DataFrame.unionByName, pool.map(persist, parts))
+    root = f"{folder}/tracewarden/{name}-{uuid.uuid4().hex}"
+    kept.add(lambda: delete_folder(spark, root))
+    with ThreadPoolExecutor(len(parts)) as pool:
+        stored = list(pool.map(lambda part: _store(part[1](), f"{root}/{part[0]}"), enumerate(parts)))
+    return spark.read.schema(stored[0].schema).parquet(*[f"{root}/{i}" for i in range(len(parts))])
