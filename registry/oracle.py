@@ -154,6 +154,7 @@ PARTS["lines"] = """SELECT lineno, CASE WHEN (lineno // 12) % 2 = 0
   UNION ALL SELECT lineno, '# comment ' || lineno FROM raw WHERE lineno % 97 = 0
   UNION ALL SELECT lineno, '   ' FROM raw WHERE lineno % 97 = 0"""
 
+# The two line formats.
 _COMBINED = r'^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(.*?)\s+HTTP/\S+"\s+(\d+)\s+(\d+)\s+"[^"]*"\s+"([^"]*)"'
 _CUSTOM = r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\d+)\s+(\d+)\s+(.+)$"
 
@@ -559,11 +560,46 @@ SELECTS = {
 }
 
 
+def _count(name: str, select: str, where: str = "") -> str:
+    return f"SELECT '{name}' AS name, count(*) AS n FROM ({select}) {where} HAVING count(*) > 0"
+
+
+_SUSPECT = "WHERE ip = '103.44.55.66'"
+SELECTS |= {
+    "text_scan": """SELECT ip AS what, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM raw GROUP BY ip
+      UNION ALL SELECT 'no match', count(*), NULL FROM raw WHERE lineno % 97 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'bad time', sum(1 + 3 * (lineno % 97 = 0)::INTEGER)::BIGINT, NULL FROM raw WHERE lineno % 89 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'bad number', sum(1 + 3 * (lineno % 97 = 0)::INTEGER)::BIGINT, NULL FROM raw WHERE lineno % 83 = 0 HAVING count(*) > 0""",
+    "source_lists": f"""SELECT 'proxy' AS kind, ip AS value FROM (SELECT DISTINCT ip FROM req) UNION ALL SELECT 'tor', ip FROM (SELECT DISTINCT ip FROM req)
+      UNION ALL SELECT 'country', country FROM (VALUES {_GEO}) g(a, b, country)
+      UNION ALL SELECT 'endpoint', unnest(['exfil_targets=/dump', 'exfil_targets=/dump2', 'admin_endpoints=/root'])""",
+    "analysis_tables": " UNION ALL ".join(
+        _count(name, SELECTS[query])
+        for name, query in (
+            ("profile", "ip_profile"), ("sessions", "sessions_enriched"), ("members", "members"),
+            ("evidence_counts", "evidence_paths"), ("reputation", "ip_reputation"), ("reasons", "score_reasons"),
+            ("damage", "damage_estimate"),
+        )
+    ) + " UNION ALL " + _count("chains", "SELECT * FROM chains"),
+    "ip_detail": " UNION ALL ".join(
+        _count(name, SELECTS[query], _SUSPECT)
+        for name, query in (
+            ("totals", "ip_profile"), ("reputation", "ip_reputation"), ("sessions", "sessions_enriched"), ("reasons", "score_reasons"),
+            ("paths", "top_paths_per_ip"), ("agents", "top_agents_per_ip"), ("hours", "hourly_per_ip"), ("mitre", "mitre_per_ip"),
+        )
+    ),
+    "report_files": """SELECT 'attacks_csv' AS file, attack_type AS kind, ip, request_count::BIGINT AS n FROM sess
+      UNION ALL SELECT 'attacks_json', attack_type, ip, request_count::BIGINT FROM sess
+      UNION ALL SELECT 'ip_reputation_csv', severity, ip, score::BIGINT FROM rep""",
+}
+
+
 # Over the rows parsed from text, whose times carry whole seconds
 STREAMS = {
     "stream_parse": SELECTS["parse_enrich"],
     "stream_distributed_login": """SELECT ip, ip_count, start_time, end_time, request_count, total_bytes, coordinated, shared_user_agent FROM d2""",
     "stream_burst": "SELECT ip FROM burst4",
+    "stream_login_burst": "SELECT ip FROM burst1",
     "stream_recompute": "SELECT ip, score, severity, is_internal, total_requests FROM rep",
 }
 

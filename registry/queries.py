@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from registry import fixture, streams
+from registry import files, fixture, streams
 from tracewarden.config import DEFAULT, ENDPOINT_CATEGORIES
 from tracewarden.functions import net, text
 from tracewarden.operators import dims, profile
@@ -24,6 +24,7 @@ from tracewarden.operators.detectors import (
     fingerprint,
     session_members,
 )
+from tracewarden.operators.enrich import path_flags
 from tracewarden.plans import actions, analysis, baseline, chains, damage, explore, report, reputation
 from tracewarden.sources import access_log, endpoints
 from tracewarden.storage import materialize
@@ -188,12 +189,10 @@ def url_decode_flags(t: _Tables) -> DataFrame:
 
 
 def endpoint_join_flags(t: _Tables) -> DataFrame:
-    """The way for endpoint tables too long for plan constants: categories by prefix join."""
-    from tracewarden.operators.enrich import path_categories
-
+    """Flags of paths from an endpoint table: a join, whatever its size."""
     custom = endpoints.custom_from_changes(t.endpoint_changes, endpoints.default_endpoints(t.spark))
     table = endpoints.merged_endpoints(endpoints.default_endpoints(t.spark), custom)
-    return path_categories(t.requests, table)
+    return path_flags(t.requests, table)
 
 
 def ip_flags(t: _Tables) -> DataFrame:
@@ -494,4 +493,4 @@ def _over_tables(query: Callable[[_Tables], DataFrame]) -> Query:
 
 def all_queries() -> dict[str, Query]:
     batch = {q.__name__: _over_tables(q) for q in QUERIES}
-    return {**batch, **{q.__name__: _utc(q) for q in streams.QUERIES}}
+    return {**batch, **{q.__name__: _utc(q) for q in (*files.QUERIES, *streams.QUERIES)}}

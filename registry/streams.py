@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import fixture
-from tracewarden.storage import shared_folder
+from registry.files import new_folder
 from tracewarden.streaming import bursts, logins, recompute, source, tables
 
 DELAY = "31 days"  # the derived times are not in file order, and nothing may be late
@@ -26,11 +26,7 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _new_folder(spark: SparkSession) -> str:
-    """A stream writes tables, so it needs a folder: the shared one, or for a local run one of its own."""
-    folder = shared_folder(spark)
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder or '/tmp/checkpoints'}/tracewarden/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def stream_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,17 +63,36 @@ def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
     return recompute.current_scores(spark, out).drop("breakdown")
 
 
-def stream_burst(spark: SparkSession, folder: str) -> DataFrame:
+def _log_folder(spark: SparkSession, folder: str, out: str) -> str:
+    """The derived log as text in six files that mix all times, then a file with the end of the log."""
+    lines = fixture.log_lines(spark, folder)
+    for part in range(6):
+        lines.where(F.col("lineno") % 6 == part).select("value").write.mode("append").text(f"{out}/log")
+    end = bursts.END_OF_LOG.format(dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc))
+    spark.createDataFrame([(end,)], "value string").coalesce(1).write.mode("append").text(f"{out}/log")
+    return f"{out}/log"
+
+
+def _alerted(spark: SparkSession, folder: str, alerts_of) -> DataFrame:
+    """Addresses that alert while the log arrives file by file."""
     out = _new_folder(spark)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.write_batch(batch, f"{out}/alerts", batch_id)
 
-    stream = bursts.download_burst_stream(_requests(spark, folder), delay="0 seconds")
+    lines = source.stream_lines(spark, _log_folder(spark, folder, out), files_per_batch=1).select("value")
     with bursts.rocksdb_state(spark):
-        query = tables.start(stream, f"{out}/checkpoint", store, "append", None)
+        query = tables.start(alerts_of(source.stream_requests(lines), delay=DELAY), f"{out}/checkpoint", store, "append", None)
     query.awaitTermination()
     return tables.read_batches(spark, f"{out}/alerts").select("ip").distinct()
 
 
-QUERIES = (stream_parse, stream_distributed_login, stream_burst, stream_recompute)
+def stream_burst(spark: SparkSession, folder: str) -> DataFrame:
+    return _alerted(spark, folder, bursts.download_burst_stream)
+
+
+def stream_login_burst(spark: SparkSession, folder: str) -> DataFrame:
+    return _alerted(spark, folder, bursts.login_burst_stream)
+
+
+QUERIES = (stream_parse, stream_distributed_login, stream_burst, stream_login_burst, stream_recompute)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tests.conftest import START, login, row
@@ -25,6 +27,7 @@ def log_folder(tmp_path):
     for i, rows in enumerate(parts):
         lines = [f"{t:%Y-%m-%dT%H:%M:%SZ} {ip} {m} {url} {st} {size} {agent}" for t, ip, m, url, st, size, agent in rows]
         (folder / f"{i}.log").write_text("\n".join(["# part", *lines, "garbage"]) + "\n")
+        os.utime(folder / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))  # files arrive in this order
     return str(folder)
 
 
@@ -48,9 +51,23 @@ def test_live_logins_equal_batch(spark, log_folder, tmp_path):
     assert got == sorted(wanted.select(*columns).collect(), key=key) and got
 
 
+def test_updates_are_folded(spark, tmp_path):
+    folder, schema = str(tmp_path / "updates"), "k string, v long"
+    for i in range(6):
+        tables.write_updates(spark.createDataFrame([("a", i), (f"k{i}", i)], schema), folder, i, ("k",), every=4)
+    stored = tables.read_batches(spark, folder)
+    assert {r.batch_id for r in stored.select("batch_id").distinct().collect()} == {3, 4, 5}
+    tables.write_updates(spark.createDataFrame([("a", 4), ("k4", 4)], schema), folder, 4, ("k",), every=4)  # runs again
+    newest = {r.k: r.v for r in tables.latest(tables.read_batches(spark, folder), ("k",)).collect()}
+    assert newest == {"a": 5, **{f"k{i}": i for i in range(6)}}
+
+
 def test_live_scores_equal_batch(spark, log_folder, tmp_path):
     out = str(tmp_path / "live")
-    recompute.follow(_stream(spark, log_folder), out, str(tmp_path / "ck"), refresh_seconds=None).awaitTermination()
+    query = recompute.follow(_stream(spark, log_folder), out, str(tmp_path / "ck"), refresh_seconds=None)
+    query.awaitTermination()
+    # stored requests are written and never read for scores
+    assert "requests" not in {p.split("/")[-2] for p in tables.read_batches(spark, f"{out}/scores").inputFiles()}
     want = {r.ip: (r.score, r.breakdown) for r in ip_reputation(ip_profile(_batch(spark, log_folder))).collect()}
     assert {r.ip: (r.score, r.breakdown) for r in recompute.current_scores(spark, out).collect()} == want
 
@@ -73,6 +90,46 @@ def test_live_bursts_equal_batch(spark, log_folder, tmp_path):
     assert alert.second.timestamp() - START.replace(tzinfo=None).timestamp() == 900 + 4 * 30
 
 
+def _alerts(spark, folder, tmp_path, delay="10 minutes"):
+    out = str(tmp_path / "alerts")
+
+    def store(batch, batch_id):
+        tables.write_batch(batch, out, batch_id)
+
+    stream = bursts.login_burst_stream(_stream(spark, folder), delay=delay)
+    with bursts.rocksdb_state(spark):
+        tables.start(stream, str(tmp_path / "ck"), store, "append", None).awaitTermination()
+    return tables.read_batches(spark, out)
+
+
+def _write_log(folder, parts):
+    folder.mkdir()
+    for i, rows in enumerate(parts):
+        lines = [f"{t:%Y-%m-%dT%H:%M:%SZ} {ip} {m} {url} {st} {size} {agent}" for t, ip, m, url, st, size, agent in rows]
+        (folder / f"{i}.log").write_text("\n".join(lines) + "\n")
+        os.utime(folder / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(folder)
+
+
+def test_late_rows_count_and_the_end_comes_out(spark, tmp_path):
+    even, odd = ([login(i * 10, "1.1.1.1") for i in range(20) if i % 2 == k] for k in (0, 1))
+    end = [row(3_600, "0.0.0.0")]
+    (alert,) = _alerts(spark, _write_log(tmp_path / "log", [odd, even, end]), tmp_path).collect()
+    assert alert.second.timestamp() - START.replace(tzinfo=None).timestamp() == 140 and alert.first_sum == 15
+
+
+def test_an_address_alerts_again_after_a_quiet_window_and_leaves_the_state(spark, tmp_path):
+    day = 86_400
+    bursts_of = lambda at: [login(at + i, "1.1.1.1") for i in range(20)]
+    idle = [login(i, f"2.2.2.{i}") for i in range(20)]
+    parts = [bursts_of(0) + idle, bursts_of(600), bursts_of(day), [row(3 * day, "0.0.0.0")], [row(4 * day, "0.0.0.0")]]
+    got = _alerts(spark, _write_log(tmp_path / "log", parts), tmp_path).collect()
+    starts = sorted(int(a.second.timestamp() - START.replace(tzinfo=None).timestamp()) for a in got)
+    assert starts == [14, day + 14] and {a.ip for a in got} == {"1.1.1.1"}
+    state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("operatorId", 0)
+    assert state.option("stateVarName", "recent").load().count() == 0
+
+
 def test_refresh_is_one_to_thirty_seconds(spark, log_folder, tmp_path):
     with pytest.raises(ValueError):
         recompute.follow(_stream(spark, log_folder), str(tmp_path), str(tmp_path / "ck"), refresh_seconds=31)

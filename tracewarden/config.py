@@ -118,6 +118,9 @@ IP_ACTIONS = ("watchlist", "ignore", "block")
 SQLI_PRECHECK = r"[%'(_\s]|--"
 
 
+# The numbers below are fixed values, too: results must equal the published rules'.
+
+
 @dataclass(frozen=True)
 class Config:
     # Layer 1: trailing three hours

@@ -61,6 +61,15 @@ def _joined_flags(rows: DataFrame, endpoints: DataFrame) -> DataFrame:
     return rows.withColumns({**flags, "is_login": login})
 
 
+def path_flags(paths: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Flags of each distinct ``url_path`` that an endpoint table covers."""
+    rows = paths.select("url_path").distinct().withColumn("method", F.lit("POST"))
+    found = _joined_flags(rows, endpoints).select(
+        "url_path", "is_sensitive", "is_admin", "is_transaction", "is_exfil_target", F.col("is_login").alias("is_login_path")
+    )
+    return found.where("is_sensitive OR is_admin OR is_transaction OR is_exfil_target OR is_login_path")
+
+
 def enrich(raw: DataFrame, endpoints=None, cfg: Config = DEFAULT) -> DataFrame:
     """Add the derived request columns.
 

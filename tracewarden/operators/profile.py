@@ -40,15 +40,28 @@ def agent_profile(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ip", "user_agent").agg(*totals)
 
 
+def merged_agents(parts: DataFrame) -> DataFrame:
+    """Totals per (address, user agent) from totals of parts of the log."""
+    return parts.groupBy("ip", "user_agent").agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in _SUMS],
+        *[F.expr(f"min({c}) AS {c}") for c in ("min_bytes", "first_seen")],
+        *[F.expr(f"max({c}) AS {c}") for c in ("max_bytes", "last_seen")],
+    )
+
+
 def ip_totals(requests: DataFrame) -> DataFrame:
+    """Totals per address."""
+    return totals_of_agents(agent_profile(requests))
+
+
+def totals_of_agents(agents: DataFrame) -> DataFrame:
     """Totals per address, folded from the (address, agent) totals.
 
     The two steps give the exact number of agents and the most used one without
     holding an address's agents in memory.
     """
     return (
-        agent_profile(requests)
-        .groupBy("ip")
+        agents.groupBy("ip")
         .agg(
             F.expr("min(struct(-total_requests, user_agent)).user_agent AS dominant_user_agent"),
             F.expr("count(user_agent) AS unique_user_agents"),
@@ -63,24 +76,28 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Coefficient of variation of the gaps between an address's requests.
 
     Null below five requests or when all share one instant. A hot address is cut
-    into (address, slice) groups: gaps inside a slice come from a window over the
-    slice's distinct instants, gaps between slices from a second window over one
-    row per slice. Mean gap is the span over the number of gaps, so only the
-    squares have to be summed. Equal gaps give exactly zero.
+    into (address, slice) groups: rows are shuffled once, gaps inside a slice come
+    from a window over them, gaps between slices from a second window over one row
+    per slice. Mean gap is the span over the number of gaps, so only the squares
+    have to be summed. Equal gaps give exactly zero.
     """
-    slice_us = cfg.slice_seconds * 1_000_000
+    return rhythm_of_slices(slice_rhythm(requests, cfg), cfg)
+
+
+def instants(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     us = F.unix_micros("timestamp")
-    instants = (
-        requests.groupBy("ip", "timestamp").agg(F.count("*").alias("n"))
-        .select("ip", "n", us.alias("us"), F.floor(us / slice_us).alias("slice"))
-    )
+    return requests.select("ip", us.alias("us"), F.floor(us / (cfg.slice_seconds * 1_000_000)).alias("slice"))
+
+
+def slice_rhythm(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Number, ends and gaps of the requests of every (address, slice)."""
     inside = F.col("us") - F.lag("us").over(Window.partitionBy("ip", "slice").orderBy("us"))
-    slices = (
-        instants.withColumn("gap", inside)
+    return (
+        instants(requests, cfg)
+        .withColumn("gap", inside)
         .groupBy("ip", "slice")
         .agg(
-            F.expr("sum(n) AS n"),
-            F.expr("bool_or(n > 1) AS repeats"),
+            F.expr("count(*) AS n"),
             F.expr("min(us) AS first"),
             F.expr("max(us) AS last"),
             F.expr("min(gap) AS low"),
@@ -88,13 +105,16 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             F.expr("sum(power(gap / 1e6D, 2)) AS squares"),
         )
     )
+
+
+def rhythm_of_slices(slices: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The coefficient per address from its slices."""
     between = F.col("first") - F.lag("last").over(Window.partitionBy("ip").orderBy("slice"))
     per_ip = (
         slices.withColumn("gap", between)
         .groupBy("ip")
         .agg(
             F.expr("sum(n) AS n"),
-            F.expr("bool_or(repeats) AS repeats"),
             F.expr("(max(last) - min(first)) / 1e6D AS span"),
             F.expr("least(min(low), min(gap)) AS low"),
             F.expr("greatest(max(high), max(gap)) AS high"),
@@ -107,7 +127,7 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "ip",
         F.expr(
             f"CASE WHEN n >= {cfg.rhythm_min_rows} AND span > 0 THEN "
-            f"CASE WHEN NOT repeats AND low = high THEN 0D ELSE {unequal} END END AS interval_cv"
+            f"CASE WHEN low = high THEN 0D ELSE {unequal} END END AS interval_cv"
         ),
     )
 
@@ -126,7 +146,10 @@ def span_seconds(first: Column, last: Column) -> Column:
 
 def ip_profile(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per address: totals, rhythm, request rate and internal flag."""
-    totals, rhythm = ip_totals(requests), interval_cv(requests, cfg)
+    return profile_of(ip_totals(requests), interval_cv(requests, cfg))
+
+
+def profile_of(totals: DataFrame, rhythm: DataFrame) -> DataFrame:
     rate = requests_per_minute(F.col("total_requests"), F.col("first_seen"), F.col("last_seen"))
     return totals.join(rhythm, "ip", "left").withColumns(
         {

@@ -73,7 +73,9 @@ def trailing_hits(
         (F.col("slice") + width).alias("slice"), (F.col("us") + seconds * 1_000_000).alias("at"),
         F.lit(False).alias("enters"),
     )
-    steps = narrow.select(key, *names, F.inline(F.array(enter, leave)))
+    # Only rows of open slices, and of those one window before, are laid out at all.
+    needed = unsettled.select(key, F.explode(F.array(F.col("slice"), F.col("slice") - width)).alias("slice")).distinct()
+    steps = narrow.join(needed, [key, "slice"], "left_semi").select(key, *names, F.inline(F.array(enter, leave)))
     gain = {n: F.when(F.col("enters"), F.col(n)).otherwise(-F.col(n)) for n in names}
     tail = {n: F.when(~F.col("enters"), F.col(n)).otherwise(F.lit(0)) for n in names}
     moments = (

@@ -51,6 +51,7 @@ def narrative(sessions: DataFrame) -> DataFrame:
     mb = F.col("total_bytes") / (1024 * 1024)
     volume = F.when(mb >= 1, F.format_string(" | %.1f MB", F.bround(mb, 1))).otherwise("")
     country = F.when(F.col("country").isin("Unknown", ""), "").otherwise(F.format_string(" [%s]", "country"))
+    # Fixed output format of a narrative line.
     line = F.concat(
         F.format_string(
             "  [%s] %-40s | %-32s | %d reqs", clock("HH:mm:ss"), F.col("attack_type"), F.col("ip"), "request_count"

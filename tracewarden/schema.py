@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Column names of the request table.
 REQUEST_COLUMNS = (
     "lineno", "timestamp", "timestamp_local", "ip", "method", "url_full", "url_path", "url_query", "url_decoded",
     "status", "bytes", "user_agent", "is_sensitive", "is_admin", "is_deep_admin", "is_transaction",

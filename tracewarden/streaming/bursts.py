@@ -3,7 +3,11 @@
 Two stateful steps. The first sums rows per (address, second), which combines
 before the shuffle and leaves a hot address one row per second. The second keeps
 the last window of seconds per address, never more than the window has, and reports
-an address the first time a test holds.
+an address when a test first holds and whenever it holds again after a quiet window.
+
+The first step gives a second away when the watermark has passed it. So the last seconds
+of a log, as many as the delay, come out once later lines move time on; a log that has
+ended needs one such line (``END_OF_LOG``).
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +25,8 @@ from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.data_exfiltration import is_download
 from tracewarden.streaming.source import watched
 
+#: A line, to be dated after the log's end by more than the delay, that no test counts.
+END_OF_LOG = "{:%Y-%m-%dT%H:%M:%SZ} 0.0.0.0 GET / 200 0 end-of-log"
 ALERT = "ip string, second timestamp, first_sum bigint, second_sum bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,49 +44,74 @@ def seconds_of(requests: DataFrame, condition: Column, first: Column, second: Co
 class TrailingBurst(StatefulProcessor):
     """Sums over ``(t - seconds, t]`` per address, in order of time.
 
-    ``test`` sees the two window sums as numpy arrays and answers with booleans.
+    ``test`` sees the two window sums as numpy arrays and answers with booleans. A second
+    arrives once, after the watermark has passed it, so seconds of later batches are later.
+    An address alerts at its first hit, and again after a whole window without one. Only new
+    seconds are written; a timer one window after the last one clears an idle address.
     """
 
     def __init__(self, seconds: int, test):
         self._seconds, self._test = seconds, test
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._recent = handle.getMapState("recent", "second bigint", "first_sum bigint, second_sum bigint")
-        self._reported = handle.getValueState("reported", "at bigint")
+        self._last_hit = handle.getValueState("last_hit", "at bigint")
+        self._timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self._reported.exists():
-            for _ in rows:
-                pass
-            return
-        new = pd.concat(list(rows))
-        new["second"] = new["second"].astype("datetime64[s]").astype("int64")
-        new = new[["second", "first_sum", "second_sum"]]
-        old = [(k[0], v[0], v[1]) for k, v in self._recent.iterator()]
-        line = pd.concat([pd.DataFrame(old, columns=new.columns), new]).groupby("second").sum().sort_index()
-        sums = line.set_index(pd.to_datetime(line.index, unit="s")).rolling(f"{self._seconds}s").sum()
-        hits = self._test(sums["first_sum"].to_numpy(), sums["second_sum"].to_numpy())
-        if hits.any():
-            at = int(hits.argmax())
-            self._reported.update((int(line.index[at]),))
-            self._recent.clear()
-            yield pd.DataFrame(
-                {
-                    "ip": [key[0]],
-                    "second": [pd.Timestamp(int(line.index[at]), unit="s")],
-                    "first_sum": [int(sums["first_sum"].iloc[at])],
-                    "second_sum": [int(sums["second_sum"].iloc[at])],
-                }
-            )
+        new: dict[int, tuple[int, int]] = {}
+        for chunk in rows:
+            seconds = chunk["second"].astype("datetime64[s]").astype("int64")
+            for at, first, second in zip(seconds, chunk["first_sum"], chunk["second_sum"]):
+                a, b = new.get(at, (0, 0))
+                new[int(at)] = (a + int(first), b + int(second))
+        if not new:
             return
-        # What the watermark has not passed can still be joined by older seconds.
-        mark = timerValues.getCurrentWatermarkInMs() // 1000
-        keep_from = min(int(line.index[-1]), mark) - self._seconds
-        for second, _, _ in old:
-            if second <= keep_from:
-                self._recent.removeKey((second,))
-        for row in line.loc[line.index > keep_from].itertuples():
-            self._recent.updateValue((int(row.Index),), (int(row.first_sum), int(row.second_sum)))
+        first_new, last = min(new), max(new)
+        line, gone = dict(new), []
+        for (at,), (a, b) in self._recent.iterator():
+            if at > first_new - self._seconds:
+                x, y = line.get(at, (0, 0))
+                line[at] = (a + x, b + y)
+            if at <= last - self._seconds:
+                gone.append(at)
+        times = np.array(sorted(line), np.int64)
+        sums = np.cumsum([(0, 0), *(line[t] for t in times.tolist())], axis=0)
+        begin = np.searchsorted(times, times - self._seconds, "right")
+        windows = sums[1:] - sums[begin]
+        hits = np.flatnonzero(self._test(windows[:, 0], windows[:, 1]) & (times >= first_new))
+        last_hit = self._last_hit.get()[0] if self._last_hit.exists() else None
+        alerts = []
+        for i in hits.tolist():
+            at = int(times[i])
+            if last_hit is None or at - last_hit > self._seconds:
+                alerts.append((key[0], pd.Timestamp(at, unit="s"), int(windows[i, 0]), int(windows[i, 1])))
+            last_hit = at
+        if len(hits):
+            self._last_hit.update((last_hit,))
+        for at in gone:
+            self._recent.removeKey((at,))
+        for at in new:
+            if at > last - self._seconds:
+                self._recent.updateValue((at,), line[at])
+        self._wake(last)
+        if alerts:
+            yield pd.DataFrame(alerts, columns=["ip", "second", "first_sum", "second_sum"])
+
+    def _wake(self, last: int) -> None:
+        """Have the state cleared once the watermark is a window past ``last``."""
+        at = (last + self._seconds + 1) * 1000
+        if self._timer.exists():
+            self._handle.deleteTimer(self._timer.get()[0])
+        self._handle.registerTimer(at)
+        self._timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._recent.clear()
+        self._last_hit.clear()
+        self._timer.clear()
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -36,7 +36,7 @@ def follow(
     so a bucket raises its alert as soon as it is over the limit."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        tables.write_batch(batch, folder, batch_id)
+        tables.write_updates(batch, folder, batch_id, _KEYS)
 
     return tables.start(client_stream(requests, cfg, delay), checkpoint, store, "update", refresh_seconds)
 

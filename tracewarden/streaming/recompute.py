@@ -1,32 +1,84 @@
-"""Live reputation: every batch is stored, and the addresses it touches are scored anew.
+"""Live reputation: running state per address, and the addresses of a batch scored anew.
 
-Any order of arrival gives the same scores, however late a row is, because the
-stored rows of an address are scored as a whole.
+State is two tables of newest rows: totals per (address, agent), and for every (address,
+slice of a minute) its requests' instants with their number, ends and gaps. A batch merges
+its own totals and instants into the rows it touches, whatever the order of arrival, and
+scores its addresses from totals and slices. It reads state of touched keys, never the
+requests of earlier batches; those are stored for the analysis of the whole log.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
-from tracewarden.operators.profile import ip_profile
+from tracewarden.operators import profile
 from tracewarden.plans.analysis import Dims, Result, analyze
 from tracewarden.plans.reputation import ip_reputation
 from tracewarden.streaming import tables
 
 
+_AGENT, _SLICE = ("ip", "user_agent"), ("ip", "slice")
+
+
+def _merged_slices(old: DataFrame | None, batch: DataFrame, cfg: Config) -> DataFrame:
+    """Touched (address, slice) rows: old and new instants together, and their gaps."""
+    new = profile.instants(batch, cfg).groupBy("ip", "slice").agg(F.collect_list("us").alias("instants"))
+    if old is not None:
+        touched = old.join(new.select("ip", "slice"), list(_SLICE), "left_semi").select("ip", "slice", "instants")
+        parts = new.unionByName(touched)
+        new = parts.groupBy("ip", "slice").agg(F.flatten(F.collect_list("instants")).alias("instants"))
+    gaps = F.expr("transform(sequence(1, n - 1), i -> instants[i] - instants[i - 1])")
+    return (
+        new.withColumn("instants", F.array_sort("instants"))
+        .withColumn("n", F.size("instants").cast("bigint"))
+        .withColumn("gaps", F.when(F.col("n") > 1, gaps.cast("array<bigint>")).otherwise(F.array().cast("array<bigint>")))
+        .select(
+            "ip", "slice", "instants", "n",
+            F.array_min("instants").alias("first"),
+            F.array_max("instants").alias("last"),
+            F.array_min("gaps").alias("low"),
+            F.array_max("gaps").alias("high"),
+            F.expr("aggregate(gaps, 0D, (total, g) -> total + power(g / 1e6D, 2))").alias("squares"),
+        )
+    )
+
+
+def _with(old: DataFrame | None, changed: DataFrame, keys, ips: DataFrame) -> DataFrame:
+    """All rows of some addresses: the changed ones, and the old ones that did not change."""
+    if old is None:
+        return changed
+    same = old.join(ips, "ip", "left_semi").join(changed.select(*keys), list(keys), "left_anti")
+    return changed.unionByName(same.select(*changed.columns))
+
+
 def follow(
     requests: DataFrame, folder: str, checkpoint: str, cfg: Config = DEFAULT, refresh_seconds: int | None = 5
 ):
-    """Store requests under ``folder/requests`` and scores under ``folder/scores``."""
+    """Store requests under ``folder/requests``, state under ``agents`` and ``slices``, and scores under ``scores``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tables.write_batch(batch, f"{folder}/requests", batch_id)
-        stored = tables.read_batches(spark, f"{folder}/requests")
-        touched = stored.where(stored.batch_id == batch_id).select("ip").distinct()
-        rows = stored.where(stored.batch_id <= batch_id).join(touched, "ip", "left_semi")
-        tables.write_batch(ip_reputation(ip_profile(rows, cfg), cfg), f"{folder}/scores", batch_id)
+        batch = spark.read.parquet(f"{folder}/requests/batch_id={batch_id}")
+        ips = batch.select("ip").distinct()
+        old_agents = tables.before(spark, f"{folder}/agents", batch_id, _AGENT)
+        agents = profile.agent_profile(batch)
+        if old_agents is not None:
+            touched = old_agents.join(agents.select(*_AGENT), list(_AGENT), "left_semi")
+            agents = profile.merged_agents(agents.unionByName(touched.select(*agents.columns)))
+        old_slices = tables.before(spark, f"{folder}/slices", batch_id, _SLICE)
+        tables.write_updates(agents, f"{folder}/agents", batch_id, _AGENT)
+        tables.write_updates(_merged_slices(old_slices, batch, cfg), f"{folder}/slices", batch_id, _SLICE)
+        changed = (spark.read.parquet(f"{folder}/{name}/batch_id={batch_id}") for name in ("agents", "slices"))
+        agents, slices = next(changed), next(changed).drop("instants")
+        old_agents = tables.before(spark, f"{folder}/agents", batch_id, _AGENT)
+        old_slices = tables.before(spark, f"{folder}/slices", batch_id, _SLICE)
+        totals = profile.totals_of_agents(_with(old_agents, agents, _AGENT, ips))
+        rhythm = profile.rhythm_of_slices(_with(old_slices, slices, _SLICE, ips), cfg)
+        scores = ip_reputation(profile.profile_of(totals, rhythm), cfg)
+        tables.write_updates(scores, f"{folder}/scores", batch_id, ("ip",))
 
     return tables.start(requests, checkpoint, handle, "append", refresh_seconds)
 
