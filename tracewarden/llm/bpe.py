@@ -25,7 +25,7 @@ from tracewarden.llm.chunks import ChunkEncoder, load_vocabulary, slices, table_
 #: Added to the code of a word's last letter, so that it is a letter of its own.
 _LAST = 0x1000
 #: Answers of the pair test remembered by one Python worker.
-_REMEMBERED_PAIRS = 500_000
+_REMEMBERED_PAIRS = 200_000
 _NEVER = 1 << 40
 
 
@@ -60,7 +60,7 @@ class PrefixEncoder(ChunkEncoder):
                 if letters:
                     self.automaton.add_word(self._word(letters) if ends else letters, (number, len(letters)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.stable = lru_cache(maxsize=None)(self._stable)  # at most one answer for each token
 
     @staticmethod
@@ -88,11 +88,11 @@ class PrefixEncoder(ChunkEncoder):
                 return True
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left << 32 | right)
         if known is None:
             if len(self.pairs) >= _REMEMBERED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._pair_stands(left, right)
+            known = self.pairs[left << 32 | right] = self._pair_stands(left, right)
         return known
 
     def _stable(self, token: int) -> bool:

@@ -9,15 +9,18 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once, and chunks remembered, by one Python worker.
+#: What one Python worker handles at once (bytes of text) and remembers (chunks; pre-tokens in
+#: each of two generations). About 150 MB, so two workers fit beside a small executor's heap.
 SLICE_BYTES = 4_000_000
-REMEMBERED = 600_000
+REMEMBERED_CHUNKS = 300_000
+REMEMBERED_PIECES = 250_000
 
 #: A chunk of Latin-1 letters with ASCII marks around: its pre-tokens are the marks, the word and the marks.
 _MARKS = "[!-&(-/:-@\\[-`{-~]*"
@@ -38,11 +41,17 @@ def letters_of(piece: str) -> str:
     return "".join(BYTE_LETTERS[b] for b in piece.encode())
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class ChunkEncoder:
     """Encodes chunks; a subclass says how a pre-token and how any other chunk is encoded."""
 
     def __init__(self) -> None:
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        #: Ids of pre-tokens as bytes, which are smaller than lists; the older half goes first.
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pre_token(self, letters: str) -> Sequence[int]:
         raise NotImplementedError
@@ -50,20 +59,26 @@ class ChunkEncoder:
     def any_chunk(self, chunk: str) -> Sequence[int]:
         raise NotImplementedError
 
-    def __call__(self, chunk: str) -> Sequence[int]:
+    def _piece(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is None:
+            known = packed(self.pre_token(piece if piece.isascii() else letters_of(piece)))
+        if len(self.pieces) >= REMEMBERED_PIECES:
+            self.pieces, self.older = {}, self.pieces
+        self.pieces[piece] = known
+        return known
+
+    def __call__(self, chunk: str) -> bytes:
+        """The chunk's ids, four bytes each."""
         found = SIMPLE.fullmatch(chunk)
         if found is None or "<|" in chunk:
-            return self.any_chunk(chunk)
-        ids: tuple[int, ...] = ()
+            return packed(self.any_chunk(chunk))
+        ids = b""
         for piece in found.groups():
             if piece:
                 piece = piece.lower()
                 known = self.pieces.get(piece)
-                if known is None:
-                    if len(self.pieces) >= REMEMBERED:
-                        self.pieces.clear()
-                    known = self.pieces[piece] = tuple(self.pre_token(piece if piece.isascii() else letters_of(piece)))
-                ids += known
+                ids += self._piece(piece) if known is None else known
         return ids
 
 
@@ -89,7 +104,7 @@ class LibraryEncoder(ChunkEncoder):
 class ChunkTable:
     """Ids of the chunks met so far, one after the other in one array."""
 
-    def __init__(self, encode: Callable[[str], Sequence[int]]) -> None:
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
         self.encode = encode
         self._clear()
 
@@ -99,7 +114,7 @@ class ChunkTable:
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
     def _place(self, chunk: str) -> int:
-        ids, place = self.encode(chunk), len(self.places)
+        ids, place = np.frombuffer(self.encode(chunk), np.uint32), len(self.places)
         if place == len(self.starts):
             self.starts, self.sizes = np.resize(self.starts, 2 * place), np.resize(self.sizes, 2 * place)
         while self.used + len(ids) > len(self.ids):
@@ -112,7 +127,7 @@ class ChunkTable:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""
-        if len(self.places) > REMEMBERED:
+        if len(self.places) > REMEMBERED_CHUNKS:
             self._clear()
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets)

@@ -54,7 +54,7 @@ _HEAD, _TAIL = "\"'([{<*#%&.,;:!?-_|+=/\\~`^", "\"')]}>*#%&.,;:!?-_|+=/\\~`^$@"
 _RUN = re.compile(r"(\w)\1\1")
 #: Blank-separated single characters from which on they may spell a word.
 LEAST_SPACED = 4
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
