@@ -9,6 +9,8 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
+from registry.oracle import all_oracles  # noqa: E402
+from registry.queries import all_queries  # noqa: E402
 from tools.check_queries import rows_of  # noqa: E402
 
 FOLDER = Path("/root/testdata/sf0.001")
@@ -27,4 +29,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(entry.queries()) and set(all_oracles()) <= set(entry.oracle_sql())
