@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import ipaddress
 import random
 import statistics
 
@@ -150,6 +151,26 @@ def test_countries_and_flags(spark):
     assert flags["1.2.0.0"] == (True, False) and flags["x"] == (False, True) and flags["::1"] == (False, False)
 
 
+def test_ipv6_countries(spark):
+    networks = [("2001:db8::/32", "A"), ("2001:db8:1::/48", "B"), ("::/3", "C"), ("fe80::/10", "D"), ("2001:db8:1:2:8000::/67", "E")]
+    ips = ["2001:db8::1", "2001:DB8:1::7", "2001:db8:1:2:3::9", "fe80::1%eth0", "::ffff:1.2.3.4", "ff00::1", "4000::", "::1", "::",
+           "1:2:3:4:5:6:7:8", "1.2.3.4", "x", "2001:db8:1:2:9000::5"]
+    want = {}
+    for ip in ips:
+        try:
+            address = ipaddress.IPv6Address(ip.partition("%")[0])
+        except ValueError:
+            continue
+        held = [(ipaddress.IPv6Network(n), c) for n, c in networks if address in ipaddress.IPv6Network(n)]
+        want[ip] = max(held, key=lambda h: h[0].prefixlen)[1] if held else "Unknown"
+    df = spark.createDataFrame([(i,) for i in ips], "ip string")
+    v4 = spark.createDataFrame([(0x01000000, 0x01FFFFFF, "V4")], "ip_from bigint, ip_to bigint, country string")
+    table = spark.createDataFrame(networks, "network string, country string")
+    got = {r.ip: r.country for r in countries(df, v4, table).collect()}
+    assert got == {**want, "1.2.3.4": "V4", "x": "Unknown"}
+    assert set(r.country for r in countries(df, v4, table.limit(0)).collect()) == {"V4", "Unknown"}
+
+
 def test_endpoint_tables_of_any_size_are_joined(spark, requests_of, tmp_path):
     from tracewarden.operators import enrich as module
 

@@ -27,6 +27,25 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(is_ipv4(ip), value)
 
 
+def ipv6_bits(ip: Column) -> Column:
+    """The 128 bits of an IPv6 address as text of 0 and 1, null for anything else.
+
+    A zone is dropped, an IPv4 tail counts as its two groups, ``::`` fills up with zeros.
+    """
+    text = F.regexp_replace(ip, r"%[^%]+\z", "")
+    tail = F.regexp_extract(text, rf"(?<=:)({_V4})\z", 1)
+    number = ipv4_number(tail)
+    groups = F.concat_ws(":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
+    text = F.when(tail != "", F.concat(F.expr("''"), F.substr(text, F.lit(1), F.length(text) - F.length(tail)), groups)).otherwise(text)
+    sides = F.split(text, "::")
+    groups_of = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups_of(sides[0]), F.coalesce(groups_of(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    missing = F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+    bits = F.array_join(F.transform(whole, lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return F.when(is_valid_ip(ip) & ~is_ipv4(ip), bits)
+
+
 def is_internal_ip(ip: Column) -> Column:
     """Private or loopback IPv4; documentation networks, IPv6 and garbage are external."""
     return F.coalesce(ip.rlike(_INTERNAL), F.lit(False))

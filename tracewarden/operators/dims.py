@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.net import ipv4_number
+from tracewarden.functions.net import ipv4_number, ipv6_bits
 from tracewarden.functions.text import first_ip
 
 _BLOCK = 65536  # addresses of one /16
@@ -44,9 +44,31 @@ def _pieces(ranges: DataFrame) -> DataFrame:
     )
 
 
-def countries(ips: DataFrame, ranges: DataFrame) -> DataFrame:
+def ipv6_countries(ips: DataFrame, networks: DataFrame) -> DataFrame:
+    """Country of IPv6 addresses by the longest of ``networks`` (``2001:db8::/32``, country) that holds them.
+
+    An address is looked up once for each prefix length that occurs (at most 128) by
+    equality, so a wide network is one row and no range is laid out.
+    """
+    parts = F.split("network", "/")
+    bits = F.substr(ipv6_bits(parts[0]), F.lit(1), parts[1].cast("int"))
+    table = networks.select(bits.alias("prefix"), "country").where("prefix IS NOT NULL").groupBy("prefix").agg(F.min("country").alias("country"))
+    lengths = [r[0] for r in table.select(F.length("prefix")).distinct().collect()]
+    probes = ips.select("ip", ipv6_bits(F.col("ip")).alias("bits")).where("bits IS NOT NULL")
+    cut = F.explode(F.array(*[F.substr("bits", F.lit(1), F.lit(n)) for n in sorted(lengths)] or [F.lit(None).cast("string")]))
+    return (
+        probes.select("ip", cut.alias("prefix"))
+        .join(table, "prefix")
+        .groupBy("ip")
+        .agg(F.max_by("country", F.length("prefix")).alias("country"))
+    )
+
+
+def countries(ips: DataFrame, ranges: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """Country of every distinct address, ``Unknown`` outside all ranges.
 
+    ``ranges`` are of IPv4 numbers, ``networks`` of IPv6 in prefix notation.
+
     Ranges are cut at /16 borders; addresses and range starts of one /16 share a
     time-line-like window where the last start at or below an address is its
     range. A /16 holds at most 65,536 of either, so groups stay small, and no
@@ -61,13 +83,19 @@ def countries(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     upto_here = Window.partitionBy("block").orderBy("n").rangeBetween(Window.unboundedPreceding, 0)
     hit = line.withColumn("last", F.last("piece", ignorenulls=True).over(upto_here)).where("ip IS NOT NULL")
     known = hit.select("ip", F.when(F.col("last.upto") >= F.col("n"), F.col("last.country")).alias("country"))
-    unplaced = distinct.where("n IS NULL").select("ip", F.lit(None).cast("string").alias("country"))
+    unplaced = distinct.where("n IS NULL").select("ip")
+    if networks is None:
+        unplaced = unplaced.withColumn("country", F.lit(None).cast("string"))
+    else:
+        unplaced = unplaced.join(ipv6_countries(unplaced, networks), "ip", "left")
     return known.unionByName(unplaced).select("ip", F.coalesce("country", F.lit("Unknown")).alias("country"))
 
 
-def with_network_dims(sessions: DataFrame, tor: DataFrame, proxies: DataFrame, ranges: DataFrame) -> DataFrame:
+def with_network_dims(
+    sessions: DataFrame, tor: DataFrame, proxies: DataFrame, ranges: DataFrame, networks: DataFrame | None = None
+) -> DataFrame:
     """Country, Tor and proxy of the first address of every session."""
     keyed = sessions.withColumn("first_ip", first_ip(F.col("ip")))
     ips = keyed.select(F.col("first_ip").alias("ip")).distinct()
-    known = network_flags(countries(ips, ranges), tor, proxies).withColumnRenamed("ip", "first_ip")
+    known = network_flags(countries(ips, ranges, networks), tor, proxies).withColumnRenamed("ip", "first_ip")
     return keyed.join(known, "first_ip", "left").drop("first_ip")

@@ -24,6 +24,7 @@ class Dims:
     tor: DataFrame | None = None
     proxies: DataFrame | None = None
     countries: DataFrame | None = None
+    networks: DataFrame | None = None
 
 
 @dataclass
@@ -72,6 +73,7 @@ def enriched_sessions(
         dims.tor if dims.tor is not None else no_ips,
         dims.proxies if dims.proxies is not None else no_ips,
         dims.countries if dims.countries is not None else spark.createDataFrame([], COUNTRY_RANGES),
+        dims.networks,
     )
 
 

@@ -11,6 +11,7 @@ REQUEST_COLUMNS = (
 )
 
 ENDPOINTS = "category STRING, path STRING"
+COUNTRY_NETWORKS = "network STRING, country STRING"
 COUNTRY_RANGES = "ip_from BIGINT, ip_to BIGINT, country STRING"
 IP_ACTIONS = "ip STRING, action STRING, note STRING, set_at TIMESTAMP"
 ENDPOINT_CHANGES = "category STRING, path STRING, change STRING, set_at TIMESTAMP"
