@@ -198,8 +198,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, next_text``: the text of the next document by descending id, after the last the first.
 
     Ids are cut into ranges by quantiles and these evenly into runs of about ``RUN_ROWS``
-    rows, so texts are shuffled once, by run. A run also gets the first row of the run
-    below. Null ids come after all others; equal ids go by a hash of their texts.
+    rows, so texts are shuffled once, by run; only one row of each run meets another's.
+    Null ids come after all others; equal ids go by a hash of their texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
     inner = [i / RANGES for i in range(1, RANGES)]
@@ -214,24 +214,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     begin, end = F.element_at(starts, F.greatest("range", F.lit(1))), F.element_at(ends, F.greatest("range", F.lit(1)))
     part = F.floor((F.col("doc_id") - begin) / (end - begin) * parts)
     rows = rows.withColumn("run", F.col("range") * (parts + 1) + F.coalesce(part, F.lit(0))).drop("range")
-    # One row for each run: the first by descending id. Its text also goes to the run above.
-    heads = rows.groupBy("run").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
-    down = Window.orderBy(F.desc("run"))
-    below = heads.select(
-        "run",
-        F.coalesce(F.lead("head").over(down), F.first("head").over(down.rowsBetween(Window.unboundedPreceding, 0))).alias("head"),
-    ).select("run", F.col("head.doc_id").alias("head_id"), F.col("head.hash").alias("head_hash"))
-    edges = (
-        rows.select("doc_id", "text", "hash")
-        .join(below, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")))
-        .select("run", "doc_id", "text", "hash", F.lit(True).alias("edge"))
-        .dropDuplicates(["run"])
-    )
-    own = rows.select("run", "doc_id", "text", "hash", F.lit(False).alias("edge"))
-    order = Window.partitionBy("run").orderBy("edge", F.col("doc_id").desc_nulls_last(), F.desc("hash"))
-    return own.unionByName(edges).withColumn("next_text", F.lead("text").over(order)).where(~F.col("edge")).select(
-        "doc_id", "text", "next_text"
-    )
+    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), F.desc("hash"))
+    inner = rows.select("doc_id", "text", F.lead("text").over(order).alias("next_text")).where("next_text IS NOT NULL")
+    # The last row of a run goes on with the first row of the run below; the lowest run with the
+    # highest. Firsts and lasts are picked before the shuffle, so a few rows of each task move.
+    upward = Window.partitionBy("run").orderBy(F.col("doc_id").asc_nulls_first(), F.asc("hash"))
+    picked = rows.select("run", "doc_id", "text", "hash")
+    heads = picked.withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    lasts = picked.withColumn("nth", F.row_number().over(upward)).where("nth = 1")
+    down = Window.orderBy(F.desc("run"))  # one row for each run
+    first = F.first("run").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    below = rows.select("run").distinct().select("run", F.coalesce(F.lead("run").over(down), first).alias("below"))
+    heads = heads.select(F.col("run").alias("below"), F.col("text").alias("next_text"))
+    ends = lasts.join(below, "run").join(heads, "below").select("doc_id", "text", "next_text")
+    return inner.unionByName(ends)
 
 
 def compare_versions(rows: DataFrame) -> DataFrame:
