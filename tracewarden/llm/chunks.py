@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 #: What one Python worker handles at once (bytes of text) and remembers (chunks; pre-tokens in
 #: each of two generations). About 150 MB, so two workers fit beside a small executor's heap.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 REMEMBERED_CHUNKS = 300_000
 REMEMBERED_PIECES = 250_000
 
