@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewarden.llm.chunks import ChunkEncoder, load_vocabulary, slices, table_of
+from tracewarden.llm.chunks import SLICE_BYTES, ChunkEncoder, load_vocabulary, slices, table_of
 
 #: Added to the code of a word's last letter, so that it is a letter of its own.
 _LAST = 0x1000
@@ -32,6 +32,8 @@ _NEVER = 1 << 40
 class PrefixEncoder(ChunkEncoder):
     """Encodes as the merge rules of a vocabulary file with word ends do."""
 
+    remembered_chunks = 300_000  # the vocabulary's own tables take more room than the library's
+
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
@@ -169,7 +171,7 @@ def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataF
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(PrefixEncoder, file)
         for batch in batches:
-            for begin, texts in slices(batch.column(1)):
+            for begin, texts in slices(batch.column(1), SLICE_BYTES // 2):
                 sizes, ids = table.encode_texts(texts)
                 ends = np.cumsum(sizes)
                 split = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]

@@ -10,17 +10,16 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: What one Python worker handles at once (bytes of text) and remembers (chunks; pre-tokens in
-#: each of two generations). About 150 MB, so two workers fit beside a small executor's heap.
-SLICE_BYTES = 2_000_000
-REMEMBERED_CHUNKS = 300_000
-REMEMBERED_PIECES = 250_000
+#: What one Python worker handles at once (bytes of text) and remembers (pre-tokens in each of
+#: two generations, chunks by encoder). About 200 MB, so two workers fit beside a small executor's heap.
+SLICE_BYTES = 4_000_000
+REMEMBERED_PIECES = 300_000
 
 #: A chunk of Latin-1 letters with ASCII marks around: its pre-tokens are the marks, the word and the marks.
 _MARKS = "[!-&(-/:-@\\[-`{-~]*"
@@ -48,6 +47,9 @@ def packed(ids: Sequence[int]) -> bytes:
 class ChunkEncoder:
     """Encodes chunks; a subclass says how a pre-token and how any other chunk is encoded."""
 
+    #: Chunks a table remembers; a text file's worth of distinct chunks should fit.
+    remembered_chunks = 600_000
+
     def __init__(self) -> None:
         #: Ids of pre-tokens as bytes, which are smaller than lists; the older half goes first.
         self.pieces: dict[str, bytes] = {}
@@ -104,7 +106,7 @@ class LibraryEncoder(ChunkEncoder):
 class ChunkTable:
     """Ids of the chunks met so far, one after the other in one array."""
 
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
+    def __init__(self, encode: ChunkEncoder) -> None:
         self.encode = encode
         self._clear()
 
@@ -127,7 +129,7 @@ class ChunkTable:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""
-        if len(self.places) > REMEMBERED_CHUNKS:
+        if len(self.places) > self.encode.remembered_chunks:
             self._clear()
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets)
