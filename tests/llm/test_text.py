@@ -138,6 +138,29 @@ def test_sketches_equal_brute_force(spark, tmp_path):
     assert len(got) == len(docs)
 
 
+def test_passages_survive_insertions_and_short_texts(spark):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    line = " ".join(rng.choice(words) for _ in range(600))
+    short, solid = " ".join(words[:40]), "".join(words[:300])
+    han = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(900))
+    pairs = [
+        (0, line, "X" + line), (1, line, line[:1500] + "inserted words " + line[1500:]), (2, solid, "X" + solid), (3, han, "字" + han),
+        (4, short, short[:150] + "another end of this text"), (5, "", ""), (6, short, ""),
+    ]
+    assert len(short) < 300
+    df = spark.createDataFrame([(*p, line[::-1]) for p in pairs], "doc_id long, text string, edited string, next_text string")
+    cut = df.select("doc_id", sketches.passages(F.col("text")).alias("a"), sketches.passages(F.col("edited")).alias("b")).collect()
+    got = {r.doc_id: r for r in sketches.compare_versions(df).collect()}
+    for r in cut:
+        a, b = set(r.a), set(r.b)
+        assert "".join(r.a) == pairs[r.doc_id][1]
+        assert got[r.doc_id].passages_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    assert all(got[i].passages_edited > 0.8 for i in range(4)) and 0.2 < got[4].passages_edited < 1
+    assert [got[i].passages_edited for i in (5, 6)] == [1.0, 0.0] and got[0].passages_next == 0.0
+    assert len(cut[4].a) > 3 and 25 < len(line) / len(cut[0].a) < 60
+
+
 def test_sketches_of_hostile_rows_without_python(spark):
     rows = sketches.with_next(hostile.docs(spark))
     assert rows.count() == len(hostile.TEXTS)

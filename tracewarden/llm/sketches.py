@@ -1,6 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text's paragraphs (lines, long ones cut every ``PIECE_CHARS`` code points) are hashed; the
+A text is cut into passages: lines, cut further before words that a hash of the word and the one
+before it picks, about every 40 characters. So a cut depends on the words next to it alone, an
+insertion moves no other cut, and short texts have several passages. Passages are hashed; the
 distinct digests are dealt by their lowest bits into groups of about ``GROUP_LOAD``, and each
 group is a small table of cells with three places for a digest. A cell holds the number of
 its digests and the XOR of them and of their check hashes. Tables of two versions subtract
@@ -19,6 +21,14 @@ from pyspark.sql import functions as F
 from tracewarden.llm.common import checkpointed, text_of
 
 PIECE_CHARS = 150
+#: One word in so many starts a passage. Tokens of more bytes than ``LONG_TOKEN`` (texts without blanks) are
+#: cut at one character in ``CHARS_A_CUT``, by a hash of four characters. Without any cut, as in a text that
+#: repeats one word, a passage ends at the last blank within ``PASSAGE_CHARS`` code points.
+WORDS_A_CUT = 6
+LONG_TOKEN = 60
+CHARS_A_CUT = 40
+PASSAGE_CHARS = 300
+_PASSAGE = "[^\\n]{1,%d}(?:(?<= )|(?=\\n)|\\z)|[^\\n]{1,%d}" % (PASSAGE_CHARS, PASSAGE_CHARS)
 GROUP_LOAD = 8
 #: Cells in each of a group's three sub-tables: of a fingerprint, and when comparing, from the first attempt on.
 WIDTH = 8
@@ -35,11 +45,42 @@ def _let(value: Column, body) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct paragraph digests of a text, in no order."""
+    """The distinct digests of a text's lines, cut every ``PIECE_CHARS`` code points, in no order. An insertion moves all later cuts of its line."""
     pieces = F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % PIECE_CHARS), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
+def passages(text: Column) -> Column:
+    """The passages of a text in order: lines, cut further where the neighbouring words say so."""
+
+    def inside(token: Column) -> Column:
+        """A long token, cut by its characters."""
+
+        def cut(chars: Column) -> Column:
+            def char(c: Column, i: Column) -> Column:
+                near = F.slice(chars, F.greatest(i - 2, F.lit(1)), F.lit(4))
+                return F.when((i > 2) & (F.pmod(F.xxhash64(near), F.lit(CHARS_A_CUT)) == 0), F.concat(F.lit("\n"), c)).otherwise(c)
+
+            return F.array_join(F.transform(chars, char), "")
+
+        return _let(F.split(token, ""), cut)
+
+    def marked(tokens: Column) -> Column:
+        def token(w: Column, i: Column) -> Column:
+            whole = F.when(F.octet_length(w) > LONG_TOKEN, inside(w)).otherwise(w)
+            starts = F.pmod(F.xxhash64(F.get(tokens, i - 1), w), F.lit(WORDS_A_CUT)) == 0
+            return F.when(starts, F.concat(F.lit("\n"), whole)).otherwise(whole)
+
+        return F.array_join(F.transform(tokens, token), " ")
+
+    return F.regexp_extract_all(_let(F.split(text, " "), marked), F.lit(_PASSAGE), F.lit(0))
+
+
+def passage_digests(text: Column) -> Column:
+    """The distinct digests of a text's passages, in no order."""
+    return F.array_distinct(F.transform(passages(text), lambda p: F.xxhash64(p)))
+
+
 def n_groups(n: Column) -> Column:
     """The power of two that brings ``n`` digests down to the load of a group."""
     return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(GROUP_LOAD)) / GROUP_LOAD))).cast("int")
@@ -231,11 +272,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compare_versions(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``
-    from ``doc_id, text, edited, next_text``.
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, passages_edited, passages_next,
+    near_edited, near_next`` from ``doc_id, text, edited, next_text``.
+
+    Fingerprints and ``passages_…`` are over passages. ``near_…`` are over lines with fixed cuts,
+    which lose the likeness of short texts and of everything in a line behind an insertion.
 
     Defined cases: an empty text has a fingerprint of empty cells; two empty texts have
-    likeness 1; repeated paragraphs count once; a text's fingerprint depends on nothing else.
+    likeness 1; repeated passages count once; a text's fingerprint depends on nothing else.
     """
     # Digests are stored before they are compared, so that the long expressions are planned once and not after each shuffle.
     hashed = rows.select(
@@ -245,16 +289,31 @@ def compare_versions(rows: DataFrame) -> DataFrame:
         digests(F.col("text")).alias("own"),
         digests(F.col("edited")).alias("edit"),
         digests(F.col("next_text")).alias("next"),
+        passage_digests(F.col("text")).alias("own_p"),
+        passage_digests(F.col("edited")).alias("edit_p"),
+        passage_digests(F.col("next_text")).alias("next_p"),
+    )
+
+    def groups_of(*names: str) -> Column:
+        return n_groups(F.greatest(*map(F.size, names)))
+
+    staged = checkpointed(hashed).withColumns(
+        {
+            "groups": groups_of("own", "edit", "next"),
+            "groups_e": groups_of("own_p", "edit_p"),
+            "groups_n": groups_of("own_p", "next_p"),
+        }
     )
-    largest = F.greatest(F.size("own"), F.size("edit"), F.size("next"))
-    staged = checkpointed(hashed).withColumn("groups", n_groups(largest))
     own, edit, next_, groups = map(F.col, ("own", "edit", "next", "groups"))
+    own_p, edit_p, next_p = map(F.col, ("own_p", "edit_p", "next_p"))
     return staged.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(own).alias("fingerprint"),
-        fingerprint(edit).alias("edited_fingerprint"),
+        fingerprint(own_p).alias("fingerprint"),
+        fingerprint(edit_p).alias("edited_fingerprint"),
+        likeness(own_p, edit_p, F.col("groups_e")).alias("passages_edited"),
+        likeness(own_p, next_p, F.col("groups_n")).alias("passages_next"),
         likeness(own, edit, groups).alias("near_edited"),
         likeness(own, next_, groups).alias("near_next"),
     )
