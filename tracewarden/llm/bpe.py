@@ -32,12 +32,9 @@ _NEVER = 1 << 40
 class PrefixEncoder(ChunkEncoder):
     """Encodes as the merge rules of a vocabulary file with word ends do."""
 
-    remembered_chunks = 300_000  # the vocabulary's own tables take more room than the library's
-
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         told, library = load_vocabulary(file), Tokenizer.from_file(file)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model = told["model"]
@@ -158,7 +155,21 @@ def decode(ids: np.ndarray, shown: list[str]) -> str:
     return " ".join(map(shown.__getitem__, ids.tolist()))
 
 
-def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataFrame:
+#: Ids whose decoded text is held at once.
+DECODE_IDS = 1_000_000
+
+
+def decoded_sha256(ids: np.ndarray, shown: list[str]) -> str:
+    """Digest of the decoded text, made from runs of it."""
+    digest = hashlib.sha256()
+    for begin in range(0, len(ids), DECODE_IDS):
+        if begin:
+            digest.update(b" ")
+        digest.update(decode(ids[begin : begin + DECODE_IDS], shown).encode())
+    return digest.hexdigest()
+
+
+def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True, keep_decoded: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if wanted, ``ids`` and ``decoded``.
 
     One row per input row, whatever its other columns. Digests are of the ids as
@@ -166,24 +177,26 @@ def encode_documents(docs: DataFrame, file: str, keep_ids: bool = True) -> DataF
     a null or empty text has no ids and an empty decoded text, a null id stays null.
     ``file`` is a path that every executor has.
     """
-    wanted = ", ids array<int>, decoded string" if keep_ids else ""
+    wanted = ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(PrefixEncoder, file)
+        shown = table.encode.shown
         for batch in batches:
             for begin, texts in slices(batch.column(1), SLICE_BYTES // 2):
                 sizes, ids = table.encode_texts(texts)
-                ends = np.cumsum(sizes)
-                split = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
-                decoded = [decode(x, table.encode.shown) for x in split]
+                split = np.split(ids, np.cumsum(sizes)[:-1])
                 out = {
                     "doc_id": batch.column(0).slice(begin, len(texts)),
                     "n_tokens": pa.array(sizes, pa.int64()),
                     "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in split],
-                    "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in decoded],
+                    "decoded_sha256": [decoded_sha256(x, shown) for x in split],
                 }
                 if keep_ids:
-                    out |= {"ids": pa.array([x.astype(np.int32) for x in split], pa.list_(pa.int32())), "decoded": decoded}
+                    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                    out["ids"] = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+                if keep_decoded:
+                    out["decoded"] = [decode(x, shown) for x in split]
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").mapInArrow(

@@ -1,29 +1,35 @@
 """Token ids of texts by way of their distinct words.
 
 A text is cut at ASCII blanks, which no pre-token of the tokenizer crosses, so the ids of
-a text are the ids of its chunks in order. Most chunks repeat, so each distinct chunk is
-encoded once for each Python worker; texts are then put together by array operations.
+a text are the ids of its chunks in order. The distinct chunks of a slice of texts are cut
+into marks, a word and marks, each a pre-token, by one regular expression over all of them.
+A worker encodes each pre-token it meets once and remembers those that come again; texts
+are put together by array operations.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: What one Python worker handles at once (bytes of text) and remembers (pre-tokens in each of
-#: two generations, chunks by encoder). About 200 MB, so two workers fit beside a small executor's heap.
+from tracewarden.llm.common import remembered
+
+#: What one Python worker handles at once and how much it remembers between slices, in bytes of text and
+#: ids. A remembered pre-token takes some 200 bytes beside them, hence the bound on their number.
 SLICE_BYTES = 4_000_000
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 250_000
+REMEMBERED_BYTES = 32_000_000
 
 #: A chunk of Latin-1 letters with ASCII marks around: its pre-tokens are the marks, the word and the marks.
-_MARKS = "[!-&(-/:-@\\[-`{-~]*"
-SIMPLE = re.compile(f"({_MARKS})([A-Za-zÀ-ÖØ-öø-ÿ]*)({_MARKS})")
+_MARKS = r"[!-&(-/:-@\[-`{-~]*"
+SIMPLE = f"^(?P<before>{_MARKS})(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<after>{_MARKS})$"
+#: Begins the key of a chunk that is no such chunk; no chunk has a blank.
+_ODD = "\n"
 
 
 def byte_letters() -> list[str]:
@@ -37,23 +43,11 @@ BYTE_LETTERS = byte_letters()
 
 
 def letters_of(piece: str) -> str:
-    return "".join(BYTE_LETTERS[b] for b in piece.encode())
-
-
-def packed(ids: Sequence[int]) -> bytes:
-    return array("I", ids).tobytes()
+    return piece if piece.isascii() else "".join(BYTE_LETTERS[b] for b in piece.encode())
 
 
 class ChunkEncoder:
-    """Encodes chunks; a subclass says how a pre-token and how any other chunk is encoded."""
-
-    #: Chunks a table remembers; a text file's worth of distinct chunks should fit.
-    remembered_chunks = 600_000
-
-    def __init__(self) -> None:
-        #: Ids of pre-tokens as bytes, which are smaller than lists; the older half goes first.
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    """Encodes pre-tokens; a subclass says how a pre-token and how any other chunk is encoded."""
 
     def pre_token(self, letters: str) -> Sequence[int]:
         raise NotImplementedError
@@ -61,27 +55,14 @@ class ChunkEncoder:
     def any_chunk(self, chunk: str) -> Sequence[int]:
         raise NotImplementedError
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.older.get(piece)
-        if known is None:
-            known = packed(self.pre_token(piece if piece.isascii() else letters_of(piece)))
-        if len(self.pieces) >= REMEMBERED_PIECES:
-            self.pieces, self.older = {}, self.pieces
-        self.pieces[piece] = known
-        return known
-
-    def __call__(self, chunk: str) -> bytes:
-        """The chunk's ids, four bytes each."""
-        found = SIMPLE.fullmatch(chunk)
-        if found is None or "<|" in chunk:
-            return packed(self.any_chunk(chunk))
-        ids = b""
-        for piece in found.groups():
-            if piece:
-                piece = piece.lower()
-                known = self.pieces.get(piece)
-                ids += self._piece(piece) if known is None else known
-        return ids
+    def pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each key of a table (a pre-token or an odd chunk), and all ids."""
+        return joined([self.any_chunk(k[1:]) if k[0] == _ODD else self.pre_token(letters_of(k)) for k in keys])
+
+
+def joined(lists: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
 
 
 class LibraryEncoder(ChunkEncoder):
@@ -90,7 +71,6 @@ class LibraryEncoder(ChunkEncoder):
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.whole = Tokenizer.from_file(file)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -103,48 +83,84 @@ class LibraryEncoder(ChunkEncoder):
         return self.whole.encode(chunk, add_special_tokens=False).ids
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` one after the other, and where each begins (with the total at the end)."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class ChunkTable:
-    """Ids of the chunks met so far, one after the other in one array."""
+    """Ids of the pre-tokens met so far, one after the other in one array."""
 
     def __init__(self, encode: ChunkEncoder) -> None:
         self.encode = encode
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
-
-    def _place(self, chunk: str) -> int:
-        ids, place = np.frombuffer(self.encode(chunk), np.uint32), len(self.places)
-        if place == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * place), np.resize(self.sizes, 2 * place)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.starts[place], self.sizes[place] = self.used, len(ids)
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.places[chunk] = place
-        return place
+        self._keep([])
+
+    def _keep(self, places: list[int]) -> None:
+        """Forget all but the pre-tokens at ``places``; place 0 is the empty one."""
+        places = [0, *places]
+        if len(places) == 1:
+            keys, sizes, ids = [""], np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        else:
+            keys = list(self.places)
+            keys = [keys[p] for p in places]
+            ids, ends = gathered(self.ids, self.starts[places], self.sizes[places])
+            sizes = np.diff(ends)
+        self.places: dict[str, int] = {k: i for i, k in enumerate(keys)}
+        self.ids, self.sizes, self.starts = ids, sizes, np.cumsum(sizes) - sizes
+        self.met_again = np.zeros(len(keys), bool)
+        self.letters = sum(map(len, keys))
+
+    def _trim(self) -> None:
+        """Pre-tokens that came again since the last time stay; where these are many, only half of the bound."""
+        if len(self.places) > REMEMBERED_PIECES or self.letters + self.ids.nbytes > REMEMBERED_BYTES:
+            again = np.flatnonzero(self.met_again)
+            again = again[again > 0][: REMEMBERED_PIECES // 2]
+            sizes = self.sizes[again].cumsum() * self.ids.itemsize
+            self._keep(again[: np.searchsorted(sizes, REMEMBERED_BYTES // 2)].tolist())
+
+    def _learn(self, keys: list[str]) -> None:
+        sizes, ids = self.encode.pieces(keys)
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes, self.ids = np.concatenate((self.sizes, sizes)), np.concatenate((self.ids, ids))
+        self.met_again = np.concatenate((self.met_again, np.zeros(len(keys), bool)))
+        self.places.update(zip(keys, range(len(self.places), len(self.places) + len(keys))))
+        self.letters += sum(map(len, keys))
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """The place of every key; unknown ones get theirs."""
+        listed = keys.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.places.get, listed, repeat(-1)), np.int64, len(listed))
+        self.met_again[places[places >= 0]] = True
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            places[unknown] = np.arange(len(self.places), len(self.places) + len(unknown))
+            self._learn([listed[i] for i in unknown.tolist()])
+        return places
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids."""
-        if len(self.places) > self.encode.remembered_chunks:
-            self._clear()
+        self._trim()
         lists = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(lists.offsets)
         words = lists.values[bounds[0] : bounds[-1]].dictionary_encode()
-        bounds = bounds - bounds[0]
-        known = self.places.get
-        places = np.fromiter(
-            (self._place(w) if (p := known(w)) is None else p for w in words.dictionary.to_pylist()),
-            np.int64, len(words.dictionary),
-        )
-        at = places[np.asarray(words.indices)] if len(words) else np.zeros(0, np.int64)
-        sizes = self.sizes[at]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return np.diff(ends[bounds]), ids
+        if not len(words):
+            return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
+        chunks = words.dictionary
+        parts = pc.extract_regex(chunks, SIMPLE)
+        simple = pc.and_(parts.is_valid(), pc.invert(pc.match_substring(chunks, "<|")))
+        before, word, after = (parts.field(i) for i in range(3))
+        keys = pa.concat_arrays([
+            pc.if_else(simple, before, ""),
+            pc.if_else(simple, pc.utf8_lower(word), pc.binary_join_element_wise(pa.scalar(_ODD), chunks, "")),
+            pc.if_else(simple, after, ""),
+        ]).dictionary_encode()
+        places = self._places(keys.dictionary)[np.asarray(keys.indices)].reshape(3, -1).T.ravel()
+        chunk_ids, chunk_ends = gathered(self.ids, self.starts[places], self.sizes[places])
+        chunk_starts = chunk_ends[::3]
+        at = np.asarray(words.indices)
+        ids, ends = gathered(chunk_ids, chunk_starts[at], np.diff(chunk_starts)[at])
+        return np.diff(ends[bounds - bounds[0]]), ids
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
@@ -164,12 +180,6 @@ def load_vocabulary(file: str) -> dict:
         return json.load(f)
 
 
-_TABLES: dict[tuple[str, str], ChunkTable] = {}
-
-
 def table_of(kind: type[ChunkEncoder], file: str) -> ChunkTable:
     """One table for each Python worker, kept from task to task."""
-    key = (kind.__name__, file)
-    if key not in _TABLES:
-        _TABLES[key] = ChunkTable(kind(file))
-    return _TABLES[key]
+    return remembered((kind.__name__, file), lambda: ChunkTable(kind(file)))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Regular expression of the blanks that separate words.
 BLANKS = "[\\x20\\x09-\\x0D]"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -34,6 +38,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_REMEMBERED: dict[object, object] = {}
+
+
+def remembered(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` makes, kept in this Python worker until another key is asked for.
+
+    Workers are used again by later stages, so a worker holds the tables of one operator, not of all.
+    """
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

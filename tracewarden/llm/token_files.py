@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.chunks import LibraryEncoder, slices, table_of
+from tracewarden.llm.chunks import SLICE_BYTES, LibraryEncoder, slices, table_of
 from tracewarden.llm.common import checkpoint_folder, text_of
 
 END_ID = 2
@@ -36,18 +36,19 @@ LENGTHS = np.array([[(b >> s & 3) + 1 for s in (0, 2, 4, 6)] for b in range(256)
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Rank table, control bytes and data bytes of some ids."""
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
     order = np.argsort(-counts, kind="stable")
-    rank_of = np.empty(len(order), np.uint32)
+    distinct = order[: np.count_nonzero(counts)]
+    rank_of = np.empty(len(counts), np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    ranks = rank_of[ids]
     lengths = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = lengths - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
     data = raw[np.arange(4, dtype=np.uint8) < lengths[:, None]]
-    return distinct[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
+    return distinct.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def unpack(n: int, ranks: bytes, control: bytes, data: bytes) -> np.ndarray:
@@ -64,31 +65,40 @@ def unpack(n: int, ranks: bytes, control: bytes, data: bytes) -> np.ndarray:
 def _blocks(file: str, end_id: int, block_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, number, part = table_of(LibraryEncoder, file), 0, -1
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        docs, counts = [], []
+        ids, size = np.empty(block_ids + SLICE_BYTES, np.uint32), 0
 
         def block() -> pa.RecordBatch:
-            counts = np.concatenate([c for _, c, _ in held])
-            ranks, control, data = pack(np.concatenate([i for *_, i in held]))
-            row = [part], [number], [[d for docs, *_ in held for d in docs]], [counts], [ranks], [control], [data]
+            ranks, control, data = pack(ids[:size])
+            row = [part], [number], [pa.concat_arrays(docs)], [np.concatenate(counts)], [ranks], [control], [data]
             types = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, types)],
                 names=["part", "block", "doc_ids", "counts", "ranks", "control", "data"],
             )
 
-        size = 0
         for batch in batches:
             if batch.num_rows:
                 part = batch.column(2)[0].as_py()
             for begin, texts in slices(batch.column(1)):
-                sizes, ids = table.encode_texts(texts)
-                ids = np.insert(ids, np.cumsum(sizes), end_id)
-                held.append((batch.column(0).slice(begin, len(texts)).to_pylist(), sizes + 1, ids))
-                size += len(ids)
+                sizes, new = table.encode_texts(texts)
+                total = len(new) + len(sizes)
+                if size + total > len(ids):  # a text longer than a slice
+                    ids = np.concatenate((ids[:size], np.empty(total, np.uint32)))
+                # every id moves by the number of end ids before it
+                ends = np.cumsum(sizes + 1)
+                room = ids[size : size + total]
+                room[ends - 1] = end_id
+                taken = np.ones(total, bool)
+                taken[ends - 1] = False
+                room[taken] = new
+                docs.append(batch.column(0).slice(begin, len(texts)))
+                counts.append(sizes + 1)
+                size += total
                 if size >= block_ids:
                     yield block()
-                    held, size, number = [], 0, number + 1
-        if held:
+                    docs, counts, size, number = [], [], 0, number + 1
+        if docs:
             yield block()
 
     return write

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.llm.chunks import slices
-from tracewarden.llm.common import checkpointed
+from tracewarden.llm.common import checkpointed, remembered
 
 #: Labelled rows that lexicon and regression are fitted on, and entries of the lexicon, at most.
 TRAIN_ROWS = 10_000
@@ -350,10 +350,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-#: The reader of the model at hand, kept within a Python worker from task to task.
-_READERS: dict[int, Reader] = {}
-
-
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the score of ``text`` (0 to 1) as last column.
 
@@ -365,10 +361,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _READERS:
-            _READERS.clear()
-            _READERS[number] = Reader(shared.value)
-        reader = _READERS[number]
+        reader = remembered(("reader", number), lambda: Reader(shared.value))
         for batch in batches:
             for begin, texts in slices(batch.column(at)):
                 part = batch.slice(begin, len(texts))
