@@ -11,8 +11,11 @@ from tracewarden.llm import (
     bpe,
     chat,
     exact_dedup,
+    fill_middle,
+    hard_negatives,
     line_dedup,
     mixing,
+    packing,
     secrets,
     simhash,
     sketches,
@@ -28,7 +31,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: The tokenizer of op4 and op10: a file that every executor has.
+#: The tokenizer of op4, op10 and op12: a file that every executor has.
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -131,12 +134,27 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, folder, "documents"), vocabulary_file(), keep_ids=False)
+    return bpe.encode_documents(_table(spark, folder, "documents"), vocabulary_file(), keep_ids=False, keep_decoded=False)
+
+
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    framed = fill_middle.store_frames(_table(spark, folder, "documents"))
+    return fill_middle.with_digests(fill_middle.fill_middle(framed))
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), vocabulary_file(), keep_ids=False)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.usable(_table(spark, folder, "embeddings"), scale=256)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), is_anchor=F.col("vec_id") % 50 == 0)
 
 
 QUERIES: tuple[Query, ...] = (
     op1_simhash_dedup, op2_exact_dedup, op3_chat_format, op4_token_files, op5_mixing, op6_secrets, op7_line_dedup,
-    op8_sketches, op9_toxicity, op10_bpe,
+    op8_sketches, op9_toxicity, op10_bpe, op11_fill_middle, op12_packing, op13_hard_negatives,
 )
 
 
