@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row: ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``."""
-    return bpe.encode_documents(docs, vocabulary_file()).drop("decoded")
+    return bpe.encode_documents(docs, vocabulary_file(), keep_decoded=False)
 
 
 STAGES = [
