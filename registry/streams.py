@@ -59,7 +59,9 @@ def stream_distributed_login(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
     out = _new_folder(spark)
-    recompute.follow(_requests(spark, folder), out, f"{out}/checkpoint", refresh_seconds=None).awaitTermination()
+    delay = int(dt.timedelta(days=31).total_seconds())
+    query = recompute.follow(_requests(spark, folder), out, f"{out}/checkpoint", refresh_seconds=None, delay_seconds=delay)
+    query.awaitTermination()
     return recompute.current_scores(spark, out).drop("breakdown")
 
 

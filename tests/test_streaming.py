@@ -1,16 +1,21 @@
 from __future__ import annotations
 
+import datetime as dt
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import START, login, row
 from tracewarden.operators.detectors import data_exfiltration, distributed_login
-from tracewarden.operators.profile import ip_profile
+from tracewarden.config import DEFAULT
+from tracewarden.operators.profile import interval_cv, ip_profile, rhythm_of_slices
 from tracewarden.plans.reputation import ip_reputation
 from tracewarden.sources.access_log import parse_lines, read_lines
 from tracewarden.operators.enrich import enrich
 from tracewarden.streaming import bursts, logins, recompute, tables
+from tracewarden.streaming.state import BucketedState
 from tracewarden.streaming.source import stream_lines, stream_requests
 
 
@@ -72,6 +77,54 @@ def test_live_scores_equal_batch(spark, log_folder, tmp_path):
     assert {r.ip: (r.score, r.breakdown) for r in recompute.current_scores(spark, out).collect()} == want
 
 
+def test_state_is_read_by_bucket_and_folded(spark, tmp_path):
+    state = BucketedState(spark, str(tmp_path / "state"), ("ip",), buckets=8, fold_every=4)
+    rows = lambda pairs: spark.createDataFrame(pairs, "ip string, v long")
+    want = {}
+    for batch in range(10):
+        changed = [(f"10.0.0.{i}", 100 * batch + i) for i in range(batch, batch + 5)]
+        for _ in range(2 if batch % 3 == 0 else 1):  # some batches run twice
+            state.fold(batch)
+            state.write(rows(changed + changed[:1]), batch)  # an address may have several rows
+        want |= dict(changed)
+        if batch == 6:
+            before = state.read(list(range(8)), below=6)
+            assert {r.v // 100 for r in before.collect()} <= set(range(6))
+    one = state.touched(rows([("10.0.0.7", 0)]))
+    read = state.read(one)
+    assert len(one) == 1 and all(f"/bucket={one[0]}/" in f for f in read.inputFiles())
+    whole = state.read(list(range(8)))
+    assert {r.ip: r.v for r in whole.collect()} == want and whole.count() == len(want) + 10
+    versions = [len(list(b.glob("version=*"))) for b in (tmp_path / "state").glob("bucket=*")]
+    assert max(versions) <= 5 + 1
+    assert state.read([99]) is None
+
+
+def test_closed_slices_are_one_row_and_keep_the_rhythm(spark):
+    rng = random.Random(5)
+    seconds = sorted(rng.choice([rng.randint(0, 4000), 60 * rng.randint(0, 60)]) for _ in range(300))
+    rows = [(START + dt.timedelta(seconds=s), f"1.1.1.{s % 3}") for s in seconds]
+    batch = spark.createDataFrame(rows, "timestamp timestamp, ip string")
+    want = {r.ip: r.interval_cv for r in interval_cv(batch).collect()}
+    rhythm, first = recompute.with_instants(None, batch, -(1 << 62), DEFAULT), int(START.timestamp()) // DEFAULT.slice_seconds
+    for border in (first - 5, first + 20, first + 41, first + 500):  # closed bit by bit
+        rhythm = recompute.closed_before(rhythm, border)
+        assert rhythm.where((F.col("slice") < border) & F.col("us").isNotNull()).isEmpty()
+        got = {r.ip: r.interval_cv for r in rhythm_of_slices(recompute.segments(rhythm)).collect()}
+        assert got == pytest.approx(want)
+    assert rhythm.count() == 3
+
+
+def test_late_rows_leave_the_rhythm_alone(spark, tmp_path):
+    parts = [[row(i * 60, "1.1.1.1") for i in range(10)], [row(7_200, "2.2.2.2")], [row(30, "1.1.1.1"), row(7_210, "1.1.1.1")]]
+    folder, out = _write_log(tmp_path / "log", parts), str(tmp_path / "live")
+    recompute.follow(_stream(spark, folder), out, str(tmp_path / "ck"), refresh_seconds=None, delay_seconds=600, fold_every=2).awaitTermination()
+    agents, rhythm = recompute.states(spark, out)
+    assert {r.ip: r.total_requests for r in agents.read(range(64)).collect()} == {"1.1.1.1": 12, "2.2.2.2": 1}
+    rows = sorted((r.ip, r.us is None, r.n) for r in rhythm.read(range(64)).collect())
+    assert rows == [("1.1.1.1", False, 1), ("1.1.1.1", True, 10), ("2.2.2.2", False, 1)]
+
+
 def test_live_bursts_equal_batch(spark, log_folder, tmp_path):
     out = str(tmp_path / "alerts")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
+from tracewarden.operators import failed_logins
 from tracewarden.operators.detectors import distributed_login
 from tracewarden.streaming import tables
 from tracewarden.streaming.source import watched
@@ -19,11 +20,11 @@ def client_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str = "10 m
     State is keyed finer than any hot bucket or address and is dropped once the
     watermark passes the bucket. Rows later than that are ignored here.
     """
-    failed = watched(requests, delay, distributed_login.is_failure(cfg))
+    failed = watched(requests, delay, failed_logins.is_failure(cfg))
     window = F.window("timestamp", f"{cfg.distributed_window_seconds} seconds")
     return (
         failed.groupBy(window.alias("window"), "ip", "user_agent")
-        .agg(*distributed_login.client_totals())
+        .agg(*failed_logins.client_totals())
         .select(F.col("window.start").alias("bucket"), "ip", "user_agent", "failures", "bytes", "seen")
     )
 

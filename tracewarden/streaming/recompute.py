@@ -1,15 +1,18 @@
 """Live reputation: running state per address, and the addresses of a batch scored anew.
 
-State is two tables of newest rows: totals per (address, agent), and for every (address,
-slice of a minute) its requests' instants with their number, ends and gaps. A batch merges
-its own totals and instants into the rows it touches, whatever the order of arrival, and
-scores its addresses from totals and slices. It reads state of touched keys, never the
-requests of earlier batches; those are stored for the analysis of the whole log.
+State is two tables in hash buckets of the address: totals per (address, agent), and the rhythm
+of requests. Of the rhythm, time slices that the watermark has passed are one row per address;
+open slices have a row for each instant, with the number of requests at it. A batch
+reads the buckets of its addresses, merges its own totals and instants into them, closes
+what the watermark has passed, and scores its addresses. It never reads the requests of earlier
+batches; those are stored for the analysis of the whole log.
+
+Rows that come later than the delay count in all totals, but no longer in the rhythm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
@@ -17,72 +20,144 @@ from tracewarden.operators import profile
 from tracewarden.plans.analysis import Dims, Result, analyze
 from tracewarden.plans.reputation import ip_reputation
 from tracewarden.streaming import tables
+from tracewarden.streaming.state import BucketedState
 
+_PARTS = ("first", "last", "low", "high", "squares")
+_RHYTHM = ("ip", "slice", "us", "n", *_PARTS)
 
-_AGENT, _SLICE = ("ip", "user_agent"), ("ip", "slice")
 
+def slices_of_instants(instants: DataFrame) -> DataFrame:
+    """Rhythm per (address, slice) from its instants (``us``) and how many requests (``n``) each has."""
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("ip", "slice").orderBy("us"))
+    repeated = "if(max(n) > 1, 0L, NULL)"  # requests at one instant are no time apart
+    return (
+        instants.withColumn("gap", gap)
+        .groupBy("ip", "slice")
+        .agg(
+            F.expr("sum(n) AS n"),
+            F.expr("min(us) AS first"),
+            F.expr("max(us) AS last"),
+            F.expr(f"least(min(gap), {repeated}) AS low"),
+            F.expr(f"greatest(max(gap), {repeated}) AS high"),
+            F.expr("coalesce(sum(power(gap / 1e6D, 2)), 0D) AS squares"),
+        )
+    )
 
-def _merged_slices(old: DataFrame | None, batch: DataFrame, cfg: Config) -> DataFrame:
-    """Touched (address, slice) rows: old and new instants together, and their gaps."""
-    new = profile.instants(batch, cfg).groupBy("ip", "slice").agg(F.collect_list("us").alias("instants"))
-    if old is not None:
-        touched = old.join(new.select("ip", "slice"), list(_SLICE), "left_semi").select("ip", "slice", "instants")
-        parts = new.unionByName(touched)
-        new = parts.groupBy("ip", "slice").agg(F.flatten(F.collect_list("instants")).alias("instants"))
-    gaps = F.expr("transform(sequence(1, n - 1), i -> instants[i] - instants[i - 1])")
+
+def joined_slices(slices: DataFrame) -> DataFrame:
+    """All slices of an address as one: its number is that of the last, gaps between them count."""
+    between = F.col("first") - F.lag("last").over(Window.partitionBy("ip").orderBy("slice"))
     return (
-        new.withColumn("instants", F.array_sort("instants"))
-        .withColumn("n", F.size("instants").cast("bigint"))
-        .withColumn("gaps", F.when(F.col("n") > 1, gaps.cast("array<bigint>")).otherwise(F.array().cast("array<bigint>")))
-        .select(
-            "ip", "slice", "instants", "n",
-            F.array_min("instants").alias("first"),
-            F.array_max("instants").alias("last"),
-            F.array_min("gaps").alias("low"),
-            F.array_max("gaps").alias("high"),
-            F.expr("aggregate(gaps, 0D, (total, g) -> total + power(g / 1e6D, 2))").alias("squares"),
+        slices.withColumn("gap", between)
+        .groupBy("ip")
+        .agg(
+            F.expr("max(slice) AS slice"),
+            F.expr("sum(n) AS n"),
+            F.expr("min(first) AS first"),
+            F.expr("max(last) AS last"),
+            F.expr("least(min(low), min(gap)) AS low"),
+            F.expr("greatest(max(high), max(gap)) AS high"),
+            F.expr("sum(squares) + coalesce(sum(power(gap / 1e6D, 2)), 0D) AS squares"),
         )
     )
 
 
-def _with(old: DataFrame | None, changed: DataFrame, keys, ips: DataFrame) -> DataFrame:
-    """All rows of some addresses: the changed ones, and the old ones that did not change."""
+def segments(rhythm: DataFrame) -> DataFrame:
+    """The rows of a rhythm as slices: the closed one of each address, and its open ones."""
+    closed = rhythm.where("us IS NULL").select("ip", "slice", "n", *_PARTS)
+    return closed.unionByName(slices_of_instants(rhythm.where("us IS NOT NULL").select("ip", "slice", "us", "n")))
+
+
+def closed_before(rhythm: DataFrame, border: int) -> DataFrame:
+    """The same rhythm with all slices before ``border`` in one row per address."""
+    old = joined_slices(segments(rhythm.where(F.col("slice") < border)))
+    old = old.withColumn("us", F.lit(None).cast("bigint")).select(*_RHYTHM)
+    return old.unionByName(rhythm.where(F.col("slice") >= border).select(*_RHYTHM))
+
+
+def with_instants(old: DataFrame | None, batch: DataFrame, border: int, cfg: Config) -> DataFrame:
+    """The rhythm of a batch's addresses after it. Its rows before ``border`` come too late."""
+    nothing = {name: F.lit(None).cast("double" if name == "squares" else "bigint") for name in _PARTS}
+    new = profile.instants(batch, cfg).where(F.col("slice") >= border).groupBy("ip", "slice", "us").agg(F.count("*").alias("n"))
+    new = new.withColumns(nothing).select(*_RHYTHM)
     if old is None:
-        return changed
-    same = old.join(ips, "ip", "left_semi").join(changed.select(*keys), list(keys), "left_anti")
-    return changed.unionByName(same.select(*changed.columns))
+        return new
+    open_ = new.unionByName(old.where("us IS NOT NULL").select(*_RHYTHM))
+    open_ = open_.groupBy("ip", "slice", "us").agg(F.sum("n").alias("n")).withColumns(nothing).select(*_RHYTHM)
+    return open_.unionByName(old.where("us IS NULL").select(*_RHYTHM))
+
+
+class _Clock:
+    """The latest time seen, and the border that it sets: the first slice that is still open."""
+
+    def __init__(self, spark: SparkSession, folder: str, delay_seconds: int, cfg: Config) -> None:
+        self._spark, self._folder, self._delay, self._cfg = spark, f"{folder}/clock", delay_seconds, cfg
+
+    def _border(self, us: int | None) -> int:
+        if us is None:
+            return -(1 << 62)
+        return (us - self._delay * 1_000_000) // (self._cfg.slice_seconds * 1_000_000)
+
+    def borders(self, batch: DataFrame, batch_id: int) -> tuple[int, int]:
+        """Before and after a batch."""
+        (last,) = batch.agg(F.max(F.unix_micros("timestamp"))).first()
+        old = tables.before(self._spark, self._folder, batch_id, ("name",))
+        before = old.agg(F.max("us")).first()[0] if old is not None else None
+        after = max(t for t in (before, last) if t is not None)
+        now = self._spark.createDataFrame([("latest", after)], "name string, us bigint").coalesce(1)
+        tables.write_updates(now, self._folder, batch_id, ("name",))
+        return self._border(before), self._border(after)
+
+
+def states(spark: SparkSession, folder: str, buckets: int = 64, fold_every: int = 64) -> tuple[BucketedState, BucketedState]:
+    """Totals per (address, agent), and rhythms per address."""
+    return (
+        BucketedState(spark, f"{folder}/agents", ("ip", "user_agent"), buckets, fold_every),
+        BucketedState(spark, f"{folder}/rhythm", ("ip",), buckets, fold_every),
+    )
 
 
 def follow(
-    requests: DataFrame, folder: str, checkpoint: str, cfg: Config = DEFAULT, refresh_seconds: int | None = 5
+    requests: DataFrame, folder: str, checkpoint: str, cfg: Config = DEFAULT, refresh_seconds: int | None = 5,
+    delay_seconds: int = 3600, buckets: int = 64, fold_every: int = 64,
 ):
-    """Store requests under ``folder/requests``, state under ``agents`` and ``slices``, and scores under ``scores``."""
+    """Store requests under ``folder/requests``, state under ``agents`` and ``rhythm``, and scores under ``scores``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tables.write_batch(batch, f"{folder}/requests", batch_id)
-        batch = spark.read.parquet(f"{folder}/requests/batch_id={batch_id}")
-        ips = batch.select("ip").distinct()
-        old_agents = tables.before(spark, f"{folder}/agents", batch_id, _AGENT)
-        agents = profile.agent_profile(batch)
-        if old_agents is not None:
-            touched = old_agents.join(agents.select(*_AGENT), list(_AGENT), "left_semi")
-            agents = profile.merged_agents(agents.unionByName(touched.select(*agents.columns)))
-        old_slices = tables.before(spark, f"{folder}/slices", batch_id, _SLICE)
-        tables.write_updates(agents, f"{folder}/agents", batch_id, _AGENT)
-        tables.write_updates(_merged_slices(old_slices, batch, cfg), f"{folder}/slices", batch_id, _SLICE)
-        changed = (spark.read.parquet(f"{folder}/{name}/batch_id={batch_id}") for name in ("agents", "slices"))
-        agents, slices = next(changed), next(changed).drop("instants")
-        old_agents = tables.before(spark, f"{folder}/agents", batch_id, _AGENT)
-        old_slices = tables.before(spark, f"{folder}/slices", batch_id, _SLICE)
-        totals = profile.totals_of_agents(_with(old_agents, agents, _AGENT, ips))
-        rhythm = profile.rhythm_of_slices(_with(old_slices, slices, _SLICE, ips), cfg)
-        scores = ip_reputation(profile.profile_of(totals, rhythm), cfg)
+        batch = spark.read.schema(batch.schema).parquet(f"{folder}/requests/batch_id={batch_id}")
+        if batch.isEmpty():
+            return
+        agents, rhythm = states(spark, folder, buckets, fold_every)
+        late, border = _Clock(spark, folder, delay_seconds, cfg).borders(batch, batch_id)
+        agents.fold(batch_id)
+        rhythm.fold(batch_id, lambda rows: closed_before(rows, border))
+        touched, ips = agents.touched(batch), batch.select("ip").distinct()
+
+        def theirs(state: BucketedState) -> DataFrame | None:
+            rows = state.read(touched, below=batch_id)
+            return None if rows is None else rows.join(ips, "ip", "left_semi")
+
+        old, new = theirs(agents), profile.agent_profile(batch)
+        if old is not None:
+            changed = old.join(new.select("ip", "user_agent"), ["ip", "user_agent"], "left_semi")
+            new = profile.merged_agents(new.unionByName(changed.select(*new.columns)))
+        agents.write(new, batch_id)
+        rhythm.write(closed_before(with_instants(theirs(rhythm), batch, late, cfg), border), batch_id)
+        totals = profile.totals_of_agents(theirs_now(agents, touched, batch_id, ips))
+        gaps = profile.rhythm_of_slices(segments(theirs_now(rhythm, touched, batch_id, ips)), cfg)
+        scores = ip_reputation(profile.profile_of(totals, gaps), cfg)
         tables.write_updates(scores, f"{folder}/scores", batch_id, ("ip",))
 
     return tables.start(requests, checkpoint, handle, "append", refresh_seconds)
 
 
+def theirs_now(state: BucketedState, touched: list[int], batch_id: int, ips: DataFrame) -> DataFrame:
+    """The rows of a batch's addresses with the batch in them."""
+    return state.read(touched, below=batch_id + 1).join(ips, "ip", "left_semi")
+
+
 def current_scores(spark: SparkSession, folder: str) -> DataFrame:
     return tables.latest(tables.read_batches(spark, f"{folder}/scores"), ("ip",))
 
