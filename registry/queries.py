@@ -25,9 +25,11 @@ from tracewarden.operators.detectors import (
     session_members,
 )
 from tracewarden.operators.enrich import path_flags
+from tracewarden.operators.failed_logins import failures_per_client
+from tracewarden.operators.facts import Facts, stored_facts
 from tracewarden.plans import actions, analysis, baseline, chains, damage, explore, report, reputation
 from tracewarden.sources import access_log, endpoints
-from tracewarden.storage import materialize
+from tracewarden.storage import materialize, materialize_by
 
 Query = Callable[[SparkSession, str], DataFrame]
 SUSPECT = "103.44.55.66"
@@ -97,9 +99,13 @@ class _Tables:
     def cohort(self) -> DataFrame:
         return self._once("cohort", lambda: baseline.cohorts(self.stored_scores))
 
+    @property
+    def facts(self) -> Facts:
+        return self._once("facts", lambda: stored_facts(self.stored))
+
     @property
     def stored_profile(self) -> DataFrame:
-        return self._once("stored_profile", lambda: materialize(profile.ip_profile(self.stored), "profile"))
+        return self._once("stored_profile", lambda: materialize_by(self.facts.profile(), "profile", "ip"))
 
     @property
     def stored_scores(self) -> DataFrame:
@@ -116,13 +122,14 @@ class _Tables:
         return self._once(
             "sessions",
             lambda: materialize(
-                analysis.enriched_sessions(self.stored, self.stored_profile, self.stored_scores, self.dims), "sessions"
+                analysis.enriched_sessions(self.stored, self.stored_profile, self.stored_scores, self.dims, facts=self.facts),
+                "sessions",
             ),
         )
 
     @property
     def members(self) -> DataFrame:
-        return self._once("members", lambda: session_members(self.stored, self.stored_profile))
+        return self._once("members", lambda: session_members(self.stored, self.stored_profile, facts=self.facts))
 
     @property
     def chains(self) -> DataFrame:
@@ -274,7 +281,7 @@ def download_bursts(t: _Tables) -> DataFrame:
 
 
 def login_buckets(t: _Tables) -> DataFrame:
-    clients = distributed_login.failures_per_client(t.requests)
+    clients = failures_per_client(t.requests)
     return distributed_login.flagged_buckets(clients)
 
 
@@ -348,7 +355,7 @@ def chains_with_ip(t: _Tables) -> DataFrame:
 
 
 def damage_estimate(t: _Tables) -> DataFrame:
-    return damage.damage(t.sessions, t.stored)
+    return damage.damage(t.sessions, t.facts.paths)
 
 
 def baseline_profile(t: _Tables) -> DataFrame:
@@ -364,7 +371,7 @@ def peak_hours(t: _Tables) -> DataFrame:
 
 
 def top_endpoints(t: _Tables) -> DataFrame:
-    return baseline.top_endpoints(t.stored, t.cohort)
+    return baseline.top_endpoints(t.facts.paths, t.cohort)
 
 
 def top_user_agents(t: _Tables) -> DataFrame:
@@ -372,7 +379,7 @@ def top_user_agents(t: _Tables) -> DataFrame:
 
 
 def ip_vs_normal(t: _Tables) -> DataFrame:
-    return baseline.ip_vs_normal(t.stored_profile, t.stored, t.cohort)
+    return baseline.ip_vs_normal(t.stored_profile, t.facts.paths, t.cohort)
 
 
 # ---------------------------------------------------------------- exploration and reports
@@ -414,7 +421,7 @@ def filtered_sessions(t: _Tables) -> DataFrame:
 
 
 def headline(t: _Tables) -> DataFrame:
-    money = damage.damage(t.sessions, t.stored)
+    money = damage.damage(t.sessions, t.facts.paths)
     return explore.headline(t.stored_profile, t.sessions, t.chains, money)
 
 
@@ -444,7 +451,7 @@ def report_table(t: _Tables) -> DataFrame:
 
 def attack_table(t: _Tables) -> DataFrame:
     current = actions.current_actions(t.action_log)
-    shown = explore.attack_table(t.sessions, evidence_counts(t.requests), current)
+    shown = explore.attack_table(t.sessions, evidence_counts(t.stored, t.facts), current)
     return shown.select("attack_type", "ip", "anonymizer", "duration", "volume", "endpoints", "payload", "action")
 
 

@@ -4,15 +4,19 @@ import datetime as dt
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import START, login, row
+from tracewarden import storage
 from tracewarden.config import CAMPAIGN_SEQUENCES, DEFAULT
+from tracewarden.operators.facts import lazy_facts, path_facts, stored_facts
 from tracewarden.operators.profile import ip_profile
 from tracewarden.plans import actions, analysis, baseline, chains, damage, explore, report, reputation
 from tracewarden.sources import endpoints, lists, tables
+from tracewarden.storage import Kept
 
 SESSION = (
     "attack_type string, ip string, start_time timestamp, end_time timestamp, severity string, total_bytes bigint, "
@@ -93,7 +97,7 @@ def test_damage_arithmetic(spark, requests_of):
     rows = [row(i, "x", "/api/transfer") for i in range(75)] + [row(i, "x", "/api/payment") for i in range(52)]
     rows += [row(i, "x", "/api/v1/transfer") for i in range(9)]
     rows += [row(0, "x", "/api/transfer", status=500), row(0, "y", "/api/transfer"), row(0, "a", "/api/transfer")]
-    got = damage.damage(sessions, requests_of(rows)).first()
+    got = damage.damage(sessions, path_facts(requests_of(rows))).first()
     fraud = 75 * 250 + 52 * 80
     assert (got.estimated_records, got.dark_market_loss_usd, got.compliance_fine_usd) == (195_007, 975_035, 9_750_350)
     assert got.reputation_loss_usd == 21_450_770 and got.exfil_mb == 99.84 and got.suspicious_transfers == 136
@@ -239,3 +243,51 @@ def test_ties_and_text_columns(spark):
     assert [s.ip for s in explore.by_score(df).collect()] == ["c", "a", "b"]
     assert [s.ip for s in explore.top_sessions(df, 2).collect()] == ["c", "a"]
     assert list(itertools.chain(*chains.single_ip_chains(df).collect())) == []
+
+
+def _request_scans(plan):
+    return len(re.findall(r"Relation \[[^\]]*\burl_decoded", plan))
+
+
+def test_an_analysis_reads_requests_eight_times_at_most(spark, requests_of, tmp_path, monkeypatch):
+    """Every stored table's plan and those of the lazy tables, by their scans of the request table."""
+    rows = [login(i * 20, "9.9.9.9") for i in range(40)] + [row(i, "8.8.8.8", "/admin", agent=f"a{i % 5}") for i in range(40)]
+    rows += [row(i, "7.7.7.7", "/api/export", size=9_000_000) for i in range(40)] + [row(9, "7.7.7.7", "/api/transfer")]
+    tables.store_requests(requests_of(rows), f"{tmp_path}/requests")
+    requests, plans = tables.load_requests(spark, f"{tmp_path}/requests"), []
+
+    def plan_of(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    plain = type(requests).write
+    monkeypatch.setattr(type(requests), "write", property(lambda df: plans.append(plan_of(df)) or plain.fget(df)))
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    result = analysis.analyze(requests)
+    lazy = (result.members, result.evidence_counts, result.damage, result.reasons, result.reputation, result.chains, result.baseline)
+    assert 6 <= sum(map(_request_scans, plans + [plan_of(df) for df in lazy])) <= 8
+    found = {r.attack_type for r in result.sessions.collect()}
+    assert {"credential_stuffing", "data_exfiltration", "admin_recon", "anonymizer"} <= found
+    # what is bucketed by address is grouped and joined by it without a shuffle
+    facts = result.facts
+    for df in (facts.paths.groupBy("ip").count(), facts.profile().join(facts.paths.groupBy("ip").count(), "ip"), explore.top_paths_per_ip(facts.paths)):
+        df.collect()
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    before = result.profile.count()
+    assert before == 3
+    result.close()
+    assert not list((tmp_path / "shared" / "tracewarden").glob("*")) and "tracewarden_" not in str(spark.catalog.listTables())
+
+
+def test_lazy_and_stored_facts_agree(spark, requests_of):
+    rows = [login(i * 7, f"9.9.9.{i % 3}", agent=f"a{i % 4}") for i in range(60)]
+    rows += [row(i * 3, f"9.9.9.{i % 3}", url) for i, url in enumerate(["/admin", "/api/export", "/a?q=1%27%20OR%201=1--", "/"] * 15)]
+    requests = requests_of(rows)
+    lazy, kept = lazy_facts(requests), Kept()
+    stored = stored_facts(requests, kept=kept)
+    for name in ("agents", "paths", "slices", "samples", "agent_order", "clients"):
+        got, want = (sorted(map(str, getattr(f, name).select(*getattr(lazy, name).columns).collect())) for f in (stored, lazy))
+        assert got == want and got, name
+    want = {r.ip: r for r in ip_profile(requests).collect()}
+    columns = ip_profile(requests).columns
+    assert {r.ip: r for r in stored.profile().select(*columns).collect()} == want
+    kept.close()

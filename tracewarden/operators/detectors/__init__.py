@@ -17,6 +17,7 @@ from tracewarden.operators.detectors import (
     fingerprint,
     sql_injection,
 )
+from tracewarden.operators.facts import Facts, lazy_facts
 from tracewarden.storage import Kept, materialize_parts
 
 DETECTORS = {
@@ -26,19 +27,23 @@ DETECTORS = {
     )
 }
 
+BUILT_IN = frozenset(DETECTORS.values())
+
 MEMBER_TABLES = {module.ATTACK_TYPE: module.members for module in (distributed_login, fingerprint)}
 
 
-def findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None):
+def findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None, facts: Facts | None = None):
     """Makers of the chosen detectors' findings, the evidence as JSON.
 
     ``detectors`` is a mapping of name to function; a subset or additional
-    functions ``(requests, profile, cfg) -> sessions`` can be passed.
+    functions ``(requests, profile, cfg) -> sessions`` can be passed. The built-in ones
+    work on ``facts`` and read requests only where these leave a question open.
     ``detector_order`` keeps the order the findings are listed in.
     """
 
     def maker(order: int, detect):
-        return lambda: detect(requests, profile, cfg).withColumns(
+        more = {"facts": facts} if detect in BUILT_IN else {}
+        return lambda: detect(requests, profile, cfg, **more).withColumns(
             {"evidence": F.to_json("evidence", {"ignoreNullFields": "false"}), "detector_order": F.lit(order)}
         )
 
@@ -59,30 +64,25 @@ def no_findings(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT)
 
 
 def stored_findings(
-    requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None, kept: Kept | None = None
+    requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, detectors=None, kept: Kept | None = None,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """The same table, each detector run as its own job and stored."""
-    makers = findings(requests, profile, cfg, detectors)
+    makers = findings(requests, profile, cfg, detectors, facts)
     if not makers:
         return no_findings(requests, profile, cfg)
     return materialize_parts(requests.sparkSession, makers, "findings", kept)
 
 
-def session_members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def session_members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
     """All addresses of the sessions that tie several together (attack_type, session_key, ip, seen)."""
-    return reduce(DataFrame.unionByName, [of(requests, profile, cfg) for of in MEMBER_TABLES.values()])
+    return reduce(DataFrame.unionByName, [of(requests, profile, cfg, facts) for of in MEMBER_TABLES.values()])
 
 
-def evidence_counts(requests: DataFrame) -> DataFrame:
+def evidence_counts(requests: DataFrame, facts: Facts | None = None) -> DataFrame:
     """All path counts behind the detectors' evidence, one row per path."""
-    of = {
-        sql_injection.ATTACK_TYPE: F.col("sqli_match"),
-        data_exfiltration.ATTACK_TYPE: F.col("is_exfil_target") & (F.col("status") == 200),
-        admin_recon.ATTACK_TYPE: F.col("is_admin"),
-    }
-    kinds = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in of.items()]))
-    return (
-        requests.select("ip", "url_path", F.explode(kinds).alias("attack_type"))
-        .groupBy("attack_type", "ip", "url_path")
-        .agg(F.count("*").alias("n"))
-    )
+    of = {sql_injection.ATTACK_TYPE: "n_sqli", data_exfiltration.ATTACK_TYPE: "n_downloads", admin_recon.ATTACK_TYPE: "n_admin"}
+    kinds = [F.when(F.col(n) > 0, F.struct(F.lit(name).alias("attack_type"), F.col(n).alias("n"))) for name, n in of.items()]
+    paths = (facts or lazy_facts(requests)).paths
+    found = paths.select("ip", "url_path", F.inline(F.array_compact(F.array(*kinds))))
+    return found.select("attack_type", "ip", "url_path", "n")

@@ -7,25 +7,21 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
-from tracewarden.operators.ranking import first_distinct
+from tracewarden.operators.facts import Facts, lazy_facts
+from tracewarden.operators.ranking import as_list
 
 ATTACK_TYPE = "admin_recon"
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    visits = requests.where("is_admin").select(
-        "ip", "timestamp", "lineno", "bytes", "status", "url_path", "user_agent", "is_deep_admin"
-    )
-    totals = visits.groupBy("ip").agg(
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    facts = facts or lazy_facts(requests, cfg)
+    totals = facts.kind("is_admin").groupBy("ip").agg(
         *basic_totals(
-            F.count_if("is_deep_admin").alias("deep_admin_hits"),
-            F.count_if(F.col("status").isin(*cfg.recon_success_statuses)).alias("successful_admin_access"),
+            F.sum("deep_admin_hits").alias("deep_admin_hits"),
+            F.sum("recon_responses").alias("successful_admin_access"),
         )
     ).where((F.col("request_count") >= cfg.recon_min_hits) | (F.col("deep_admin_hits") >= 1))
-    found = join_on(
-        "ip",
-        totals,
-        first_distinct(visits, ["ip"], "user_agent", 3, "user_agents"),
-    )
+    agents = facts.agent_order.where(F.col("attack_type") == ATTACK_TYPE)
+    found = join_on("ip", totals, as_list(agents, ["ip"], 3, "user_agents"))
     evidence = F.struct("deep_admin_hits", "successful_admin_access", "user_agents")
     return as_sessions(found.withColumns({"layer": F.lit("L2_session"), "evidence": evidence}), ATTACK_TYPE, cfg)

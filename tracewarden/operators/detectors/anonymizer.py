@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, join_on
+from tracewarden.operators.facts import Facts, lazy_facts
 from tracewarden.operators.profile import bot_rhythm
 from tracewarden.operators.ranking import top_counts
 
 ATTACK_TYPE = "anonymizer"
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    facts = facts or lazy_facts(requests, cfg)
     ratio = F.col("bot_requests") / F.col("total_requests")
     signs = profile.where(F.col("total_requests") >= cfg.anonymizer_min_requests).withColumns(
         {
@@ -23,12 +25,11 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
             "rhythm": bot_rhythm(cfg),
         }
     ).where("many_bots OR tor OR rotates OR rhythm")
-    # Counted before the join: sums of a hot address move, its requests do not.
     found = join_on(
         "ip",
         signs,
-        top_counts(requests, ["ip"], "user_agent", 3, "user_agents"),
-        top_counts(requests, ["ip"], "url_path", 5, "endpoints_targeted"),
+        top_counts(facts.agents.withColumnRenamed("total_requests", "n"), ["ip"], "user_agent", 3, "user_agents"),
+        top_counts(facts.paths, ["ip"], "url_path", 5, "endpoints_targeted"),
     )
     percent = F.bround(ratio * 100, 0).cast("bigint")
     signals = F.array(

@@ -26,11 +26,12 @@ SESSION_COLUMNS = (
 
 
 def basic_totals(*more: Column) -> list[Column]:
+    """Totals of a group from its (address, agent) totals."""
     return [
-        F.min("timestamp").alias("start_time"),
-        F.max("timestamp").alias("end_time"),
-        F.count("*").alias("request_count"),
-        F.sum("bytes").alias("total_bytes"),
+        F.min("first_seen").alias("start_time"),
+        F.max("last_seen").alias("end_time"),
+        F.sum("total_requests").alias("request_count"),
+        F.sum("total_bytes").alias("total_bytes"),
         *more,
     ]
 

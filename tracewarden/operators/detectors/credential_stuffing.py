@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals
+from tracewarden.operators.facts import Facts, lazy_facts
 from tracewarden.operators.trailing import trailing_hits
 
 ATTACK_TYPE = "credential_stuffing"
 
 
-def login_bursts(logins: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Addresses with a trailing window of enough logins at the failure ratio."""
+def login_bursts(logins: DataFrame, cfg: Config = DEFAULT, slices: DataFrame | None = None) -> DataFrame:
+    """Addresses with a trailing window of enough logins at the failure ratio; ``slices`` are the facts', if at hand."""
     failed = F.col("is_failed_login").cast("bigint")
     return trailing_hits(
         logins,
@@ -32,6 +33,7 @@ def login_bursts(logins: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         # fewest failures among the most other logins, and the reverse
         surely=lambda low, high: (low["failed"] + low["others"] >= cfg.burst_logins) & _ratio(low, high, cfg),
         possibly=lambda low, high: (high["failed"] + high["others"] >= cfg.burst_logins) & _ratio(high, low, cfg),
+        slices=slices,
     )
 
 
@@ -45,15 +47,13 @@ def _enough(failed_of, others_of, cfg: Config):
     return (count >= cfg.burst_logins) & _ratio(failed_of, others_of, cfg)
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    logins = requests.where("is_login").select(
-        "ip", "timestamp", "bytes", "user_agent", "is_failed_login", "is_success_login", "is_bot_ua"
-    )
-    per_agent = logins.groupBy("ip", "user_agent").agg(
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    facts = facts or lazy_facts(requests, cfg)
+    per_agent = facts.kind("is_login").groupBy("ip", "user_agent").agg(
         *basic_totals(
-            F.count_if("is_failed_login").alias("failed"),
-            F.count_if("is_success_login").alias("succeeded"),
-            F.bool_or("is_bot_ua").alias("bot"),
+            F.sum("failed_logins").alias("failed"),
+            F.sum("successful_logins").alias("succeeded"),
+            F.bool_or(F.col("bot_requests") > 0).alias("bot"),
         )
     )
     totals = per_agent.groupBy("ip").agg(
@@ -66,7 +66,7 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
         F.count("user_agent").alias("unique_user_agents"),
         F.bool_or("bot").alias("bot_ua_used"),
     )
-    bursts = login_bursts(logins, cfg).withColumn("burst", F.lit(True))
+    bursts = login_bursts(requests.where("is_login"), cfg, facts.stored_slices).withColumn("burst", F.lit(True))
     n, ratio = F.col("request_count"), F.col("failed_logins") / F.col("request_count")
     layer = (
         F.when(F.col("burst"), "L1_burst")

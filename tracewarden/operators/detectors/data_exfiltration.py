@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
-from tracewarden.operators.ranking import first_values
+from tracewarden.operators.facts import Facts, lazy_facts
+from tracewarden.operators.ranking import as_list
 from tracewarden.operators.trailing import trailing_hits
 
 ATTACK_TYPE = "data_exfiltration"
 
 
-def download_bursts(downloads: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Addresses with a trailing window of enough bytes and downloads."""
+def download_bursts(downloads: DataFrame, cfg: Config = DEFAULT, slices: DataFrame | None = None) -> DataFrame:
+    """Addresses with a trailing window of enough bytes and downloads; ``slices`` are the facts', if at hand."""
 
     def enough(totals):
         return (totals["volume"] >= cfg.burst_exfil_bytes) & (totals["requests"] >= cfg.burst_exfil_requests)
@@ -28,6 +29,7 @@ def download_bursts(downloads: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         hit=enough,
         surely=lambda low, high: enough(low),
         possibly=lambda low, high: enough(high),
+        slices=slices,
     )
 
 
@@ -39,10 +41,10 @@ def downloads_of(requests: DataFrame) -> DataFrame:
     return requests.where(is_download())
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    downloads = downloads_of(requests).select("ip", "timestamp", "lineno", "bytes", "url_path", "url_full")
-    totals = downloads.groupBy("ip").agg(*basic_totals(F.max("bytes").alias("max_single_response_bytes")))
-    bursts = download_bursts(downloads, cfg).withColumn("burst", F.lit(True))
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    facts = facts or lazy_facts(requests, cfg)
+    totals = facts.kind("is_download").groupBy("ip").agg(*basic_totals(F.max("max_bytes").alias("max_single_response_bytes")))
+    bursts = download_bursts(downloads_of(requests), cfg, facts.stored_slices).withColumn("burst", F.lit(True))
     volume, n = F.col("total_bytes"), F.col("request_count")
     layer = (
         F.when(F.col("burst"), "L1_burst")
@@ -53,7 +55,7 @@ def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> Da
     found = join_on(
         "ip",
         flagged,
-        first_values(downloads, ["ip"], "url_full", 5, "sample_payloads"),
+        as_list(facts.samples.where(F.col("attack_type") == ATTACK_TYPE), ["ip"], 5, "sample_payloads"),
     )
     evidence = F.struct(
         "max_single_response_bytes",

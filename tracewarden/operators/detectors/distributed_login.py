@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
-from tracewarden.functions.net import is_internal_ip
 from tracewarden.operators.detectors.base import as_sessions, join_on
+from tracewarden.operators.facts import Facts, lazy_facts
 
 ATTACK_TYPE = "distributed_credential_stuffing"
 
 
-def is_failure(cfg: Config = DEFAULT) -> Column:
-    return (
-        (F.col("method") == "POST")
-        & F.lower("url_path").contains("/login")
-        & F.col("status").isin(*cfg.distributed_fail_statuses)
-        & ~is_internal_ip(F.col("ip"))
-    )
-
-
-def bucket_start(cfg: Config = DEFAULT):
-    """Epoch-aligned start of the bucket."""
-    seconds = cfg.distributed_window_seconds
-    return F.timestamp_seconds(F.floor(F.unix_micros("timestamp") / (seconds * 1_000_000)) * seconds)
-
-
 def session_key():
     return F.unix_seconds("bucket").cast("string")
 
 
-def client_totals():
-    return [
-        F.count("*").alias("failures"),
-        F.sum("bytes").alias("bytes"),
-        F.min(F.struct("timestamp", "lineno")).alias("seen"),
-    ]
-
-
-def failures_per_client(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Failures per (bucket, address, agent): all later steps start from these sums."""
-    return requests.where(is_failure(cfg)).groupBy(bucket_start(cfg).alias("bucket"), "ip", "user_agent").agg(*client_totals())
-
-
 def flagged_buckets(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     per_ip = clients.groupBy("bucket", "ip").agg(F.sum("failures").alias("failures"), F.sum("bytes").alias("bytes"))
     totals = per_ip.groupBy("bucket").agg(
@@ -55,9 +27,9 @@ def flagged_buckets(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return totals.where((F.col("ip_count") >= cfg.distributed_min_ips) & many)
 
 
-def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
     """Every address of every flagged bucket, one per row, with the time it was first seen there."""
-    clients = failures_per_client(requests, cfg)
+    clients = (facts or lazy_facts(requests, cfg)).clients
     return (
         clients.join(flagged_buckets(clients, cfg).select("bucket"), "bucket", "left_semi")
         .groupBy("bucket", "ip")
@@ -69,8 +41,8 @@ def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> D
     )
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    return sessions_of(failures_per_client(requests, cfg), cfg)
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    return sessions_of((facts or lazy_facts(requests, cfg)).clients, cfg)
 
 
 def sessions_of(clients: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions
+from tracewarden.operators.facts import Facts, lazy_facts
 from tracewarden.operators.ranking import counts, ranked
 
 ATTACK_TYPE = "distributed_fingerprint"
 
 
-def fingerprints(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def fingerprints(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
     """One row per address with its fingerprint. Only addresses with enough requests have one."""
+    facts = facts or lazy_facts(requests, cfg)
     busy = profile.where(F.col("total_requests") >= cfg.fingerprint_min_requests)
-    top = ranked(counts(requests, ["ip"], "url_path"), ["ip"], [F.desc("n"), F.asc("value")], cfg.fingerprint_top_paths)
+    top = ranked(counts(facts.paths, ["ip"], "url_path"), ["ip"], [F.desc("n"), F.asc("value")], cfg.fingerprint_top_paths)
     paths = top.groupBy("ip").agg(F.array_sort(F.collect_list("value")).alias("common_endpoints"))
     fast = F.coalesce(F.col("interval_cv") < cfg.rhythm_cv, F.lit(False))
     parts = ["dominant_user_agent", F.array_join("common_endpoints", "\n"), "rhythm_class"]
@@ -43,16 +45,16 @@ def groups(prints: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     ).where(F.col("ip_count") >= cfg.fingerprint_min_ips)
 
 
-def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def members(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
     """Every address of every shared fingerprint, one per row."""
-    prints = fingerprints(requests, profile, cfg)
+    prints = fingerprints(requests, profile, cfg, facts)
     return prints.join(groups(prints, cfg).select("session_key"), "session_key", "left_semi").select(
         F.lit(ATTACK_TYPE).alias("attack_type"), "session_key", "ip", F.col("first_seen").alias("seen")
     )
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    prints = fingerprints(requests, profile, cfg)
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    prints = fingerprints(requests, profile, cfg, facts)
     found = groups(prints, cfg)
     evidence = F.struct(
         "ip_count",

@@ -7,27 +7,27 @@ from pyspark.sql import functions as F
 
 from tracewarden.config import DEFAULT, Config
 from tracewarden.operators.detectors.base import as_sessions, basic_totals, join_on
+from tracewarden.operators.facts import Facts, lazy_facts
 from tracewarden.operators.profile import span_seconds
-from tracewarden.operators.ranking import first_distinct, first_values
+from tracewarden.operators.ranking import as_list
 
 ATTACK_TYPE = "sql_injection"
 
 
-def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    hits = requests.where("sqli_match").select(
-        "ip", "timestamp", "lineno", "bytes", "status", "url_path", "url_query", "user_agent"
-    )
-    totals = hits.groupBy("ip").agg(
+def detect(requests: DataFrame, profile: DataFrame, cfg: Config = DEFAULT, facts: Facts | None = None) -> DataFrame:
+    facts = facts or lazy_facts(requests, cfg)
+    totals = facts.kind("sqli_match").groupBy("ip").agg(
         *basic_totals(
-            F.count_if(F.col("status") == 200).alias("successful_responses"),
+            F.sum("ok_responses").alias("successful_responses"),
             F.bool_or(F.lower("user_agent").contains("sqlmap")).alias("uses_sqlmap"),
         )
     ).where(F.col("request_count") >= cfg.sqli_min_payloads)
+    own = F.col("attack_type") == ATTACK_TYPE
     found = join_on(
         "ip",
         totals,
-        first_values(hits, ["ip"], "url_query", 5, "sample_payloads"),
-        first_distinct(hits, ["ip"], "user_agent", 5, "user_agents"),
+        as_list(facts.samples.where(own), ["ip"], 5, "sample_payloads"),
+        as_list(facts.agent_order.where(own), ["ip"], 5, "user_agents"),
     )
     duration = span_seconds(F.col("start_time"), F.col("end_time"))
     evidence = F.struct(

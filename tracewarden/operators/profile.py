@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ _SUMS = (
 )
 
 
-_AGENT_TOTALS = """
+AGENT_TOTALS = """
     count(*) AS total_requests
     sum(bytes) AS total_bytes
     min(bytes) AS min_bytes
@@ -31,13 +33,12 @@ _AGENT_TOTALS = """
     count_if(is_bot_ua) AS bot_requests
     count_if(is_tor_ua) AS tor_requests
     count_if(is_off_hours) AS off_hours_requests
-"""
+""".strip().splitlines()
 
 
 def agent_profile(requests: DataFrame) -> DataFrame:
     """Totals per (address, user agent)."""
-    totals = [F.expr(line) for line in _AGENT_TOTALS.strip().splitlines()]
-    return requests.groupBy("ip", "user_agent").agg(*totals)
+    return requests.groupBy("ip", "user_agent").agg(*[F.expr(line) for line in AGENT_TOTALS])
 
 
 def merged_agents(parts: DataFrame) -> DataFrame:
@@ -84,16 +85,17 @@ def interval_cv(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rhythm_of_slices(slice_rhythm(requests, cfg), cfg)
 
 
-def instants(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def instants(requests: DataFrame, cfg: Config = DEFAULT, more: Mapping[str, Column] | None = None) -> DataFrame:
     us = F.unix_micros("timestamp")
-    return requests.select("ip", us.alias("us"), F.floor(us / (cfg.slice_seconds * 1_000_000)).alias("slice"))
+    more = [value.alias(name) for name, value in (more or {}).items()]
+    return requests.select("ip", us.alias("us"), F.floor(us / (cfg.slice_seconds * 1_000_000)).alias("slice"), *more)
 
 
-def slice_rhythm(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Number, ends and gaps of the requests of every (address, slice)."""
+def slice_rhythm(requests: DataFrame, cfg: Config = DEFAULT, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Number, ends and gaps of the requests of every (address, slice), and further ``sums``."""
     inside = F.col("us") - F.lag("us").over(Window.partitionBy("ip", "slice").orderBy("us"))
     return (
-        instants(requests, cfg)
+        instants(requests, cfg, sums)
         .withColumn("gap", inside)
         .groupBy("ip", "slice")
         .agg(
@@ -103,6 +105,7 @@ def slice_rhythm(requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             F.expr("min(gap) AS low"),
             F.expr("max(gap) AS high"),
             F.expr("sum(power(gap / 1e6D, 2)) AS squares"),
+            *[F.sum(name).alias(name) for name in sums or {}],
         )
     )
 

@@ -20,17 +20,23 @@ def ranked(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
 
 def listed(df: DataFrame, keys, order, k: int, value, name: str) -> DataFrame:
     """The first ``k`` values of every group as an array in that order."""
+    return as_list(ranked(df.withColumn("value", value), keys, order, k), keys, k, name)
+
+
+def as_list(ranked_values: DataFrame, keys, k: int, name: str) -> DataFrame:
+    """Ranked values (``rank``, ``value``) as arrays of the first ``k``."""
     items = F.array_sort(F.collect_list(F.struct(F.col("rank"), F.col("value"))))
-    return (
-        ranked(df.withColumn("value", value), keys, order, k)
-        .groupBy(*keys)
-        .agg(F.transform(items, lambda s: s["value"]).alias(name))
-    )
+    first = ranked_values.where(F.col("rank") <= k)
+    return first.groupBy(*keys).agg(F.transform(items, lambda s: s["value"]).alias(name))
 
 
 def counts(rows: DataFrame, keys, column: str) -> DataFrame:
-    """How often every value occurs in every group, in long form (``value``, ``n``)."""
-    return rows.groupBy(*keys, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    """How often every value occurs in every group, in long form (``value``, ``n``).
+
+    Rows that are counted already say in ``n`` how many they stand for.
+    """
+    n = F.sum("n") if "n" in rows.columns else F.count("*")
+    return rows.groupBy(*keys, F.col(column).alias("value")).agg(n.alias("n"))
 
 
 def top_counts(rows: DataFrame, keys, column: str, k: int, name: str) -> DataFrame:
@@ -53,5 +59,9 @@ def first_values(rows: DataFrame, keys, column: str, k: int, name: str) -> DataF
 
 def first_distinct(rows: DataFrame, keys, column: str, k: int, name: str) -> DataFrame:
     """The first ``k`` different values of every group in the order they show up."""
-    seen = rows.groupBy(*keys, column).agg(F.min(F.struct("timestamp", "lineno")).alias("seen"))
-    return listed(seen, keys, [F.asc("seen")], k, F.col(column), name)
+    return listed(first_seen(rows, keys, column), keys, [F.asc("seen")], k, F.col(column), name)
+
+
+def first_seen(rows: DataFrame, keys, column: str) -> DataFrame:
+    """The different values of every group with time and line of their first row."""
+    return rows.groupBy(*keys, column).agg(F.min(F.struct("timestamp", "lineno")).alias("seen"))

@@ -19,11 +19,12 @@ def trailing_hits(
     hit: Callable[[Totals], Column],
     surely: Callable[[Totals, Totals], Column],
     possibly: Callable[[Totals, Totals], Column],
+    slices: DataFrame | None = None,
 ) -> DataFrame:
     """Keys for which ``hit`` holds over ``(t - seconds, t]`` at the time t of some row.
 
     ``measures`` are non-negative whole numbers per row; ``hit`` sees their window
-    sums. A plain window over the key would put all rows of a hot key into one
+    sums. ``slices`` may bring their sums per (key, slice), under the same names. A plain window over the key would put all rows of a hot key into one
     task. Here rows are first summed per (key, time slice), which combines on the
     map side. For every slice the sums of the slices that are wholly or partly
     inside the window bound the true sums from below and above:
@@ -45,7 +46,10 @@ def trailing_hits(
         F.col(key), us.alias("us"), F.floor(us / slice_us).alias("slice"), *[m.alias(n) for n, m in measures.items()]
     )
 
-    slices = narrow.groupBy(key, "slice").agg(*[F.sum(n).alias(n) for n in names])
+    if slices is None:
+        slices = narrow.groupBy(key, "slice").agg(*[F.sum(n).alias(n) for n in names])
+    else:
+        slices = slices.where(" OR ".join(f"{n} > 0" for n in names)).select(key, "slice", *names)
     by_slice = Window.partitionBy(key).orderBy("slice")
 
     def over(first: int, last: int) -> Totals:

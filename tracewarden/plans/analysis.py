@@ -11,10 +11,10 @@ from tracewarden.config import DEFAULT, Config
 from tracewarden.functions.text import first_ip
 from tracewarden.operators.detectors import evidence_counts, session_members, stored_findings
 from tracewarden.operators.dims import with_network_dims
-from tracewarden.operators.profile import ip_profile
+from tracewarden.operators.facts import Facts, stored_facts
 from tracewarden.plans import baseline, chains, damage, reputation
 from tracewarden.schema import COUNTRY_RANGES
-from tracewarden.storage import Kept, materialize
+from tracewarden.storage import Kept, materialize, materialize_by
 
 
 @dataclass
@@ -29,9 +29,10 @@ class Dims:
 
 @dataclass
 class Result:
-    """Lazy result tables over the stored profile and sessions."""
+    """Lazy result tables over the stored facts, profile and sessions."""
 
     requests: DataFrame
+    facts: Facts
     profile: DataFrame
     sessions: DataFrame
     members: DataFrame
@@ -63,13 +64,13 @@ def attach_scores(sessions: DataFrame, scores: DataFrame) -> DataFrame:
 
 def enriched_sessions(
     requests: DataFrame, profile: DataFrame, scores: DataFrame, dims: Dims, cfg: Config = DEFAULT, detectors=None,
-    kept: Kept | None = None,
+    kept: Kept | None = None, facts: Facts | None = None,
 ) -> DataFrame:
     """Findings of all detectors with score, severity, country, Tor and proxy."""
     spark = requests.sparkSession
     no_ips = spark.createDataFrame([], "ip string")
     return with_network_dims(
-        attach_scores(stored_findings(requests, profile, cfg, detectors, kept), scores),
+        attach_scores(stored_findings(requests, profile, cfg, detectors, kept, facts), scores),
         dims.tor if dims.tor is not None else no_ips,
         dims.proxies if dims.proxies is not None else no_ips,
         dims.countries if dims.countries is not None else spark.createDataFrame([], COUNTRY_RANGES),
@@ -80,27 +81,29 @@ def enriched_sessions(
 def analyze(requests: DataFrame, dims: Dims | None = None, cfg: Config = DEFAULT, detectors=None) -> Result:
     """All result tables of a request table.
 
-    ``requests`` is read by every detector, so pass a stored table (see
-    ``sources.tables``), not a text scan. The per-address profile and the sessions
-    are stored once; everything behind them works on those two.
+    ``requests`` are read eight times at most (six facts, and the rows of undecided time
+    slices twice), so pass a stored table (see ``sources.tables``), not a text scan. Facts,
+    profile and sessions are stored once; everything behind them works on these.
     """
     kept = Kept()
-    profile = materialize(ip_profile(requests, cfg), "profile", kept)
+    facts = stored_facts(requests, cfg, kept)
+    profile = materialize_by(facts.profile(cfg), "profile", "ip", kept)
     scores = reputation.ip_reputation(profile, cfg)
     sessions = materialize(
-        enriched_sessions(requests, profile, scores, dims or Dims(), cfg, detectors, kept), "sessions", kept
+        enriched_sessions(requests, profile, scores, dims or Dims(), cfg, detectors, kept, facts), "sessions", kept
     )
     cohort = baseline.cohorts(scores)
     return Result(
         requests=requests,
+        facts=facts,
         profile=profile,
         sessions=sessions,
-        members=session_members(requests, profile, cfg),
-        evidence_counts=evidence_counts(requests),
+        members=session_members(requests, profile, cfg, facts),
+        evidence_counts=evidence_counts(requests, facts),
         reputation=scores,
         reasons=reputation.score_reasons(profile, cfg),
         chains=chains.attack_chains(sessions, cfg, kept),
-        damage=damage.damage(sessions, requests, cfg),
+        damage=damage.damage(sessions, facts.paths, cfg),
         cohorts=cohort,
         baseline=baseline.cohort_profiles(profile, cohort),
         kept=kept,

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from tracewarden.config import DEFAULT, Config
 
 
-def suspicious_transactions(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+def suspicious_transactions(sessions: DataFrame, paths: DataFrame) -> DataFrame:
     """Successful transactions of addresses with a HIGH or CRITICAL single-address session.
 
-    Transactions are counted per address before the join, so it moves one row per
+    ``paths`` are the facts' counts per (address, path), so the join moves one row per
     address however many requests an address made.
     """
-    count_of = lambda path: F.count_if(F.col("url_path") == path)
+    count_of = lambda path: F.sum(F.when(F.col("url_path") == path, F.col("n_transactions")).otherwise(0))
     per_ip = (
-        requests.where(F.col("is_transaction") & (F.col("status") == 200))
+        paths.where("n_transactions > 0")
         .groupBy("ip")
         .agg(
-            F.count("*").alias("transactions"),
+            F.sum("n_transactions").alias("transactions"),
             count_of("/api/transfer").alias("transfers"),
             count_of("/api/payment").alias("payments"),
         )
@@ -28,13 +28,13 @@ def suspicious_transactions(sessions: DataFrame, requests: DataFrame) -> DataFra
     return per_ip.join(suspects, "ip", "left_semi")
 
 
-def damage(sessions: DataFrame, requests: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def damage(sessions: DataFrame, paths: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row of totals. Versioned API transfers count as suspicious but carry no amount."""
     stolen = sessions.where("attack_type = 'data_exfiltration'").select(
         F.col("total_bytes").alias("exfil_bytes"),
         *[F.lit(0).cast("bigint").alias(c) for c in ("transactions", "transfers", "payments")],
     )
-    moved = suspicious_transactions(sessions, requests).select(
+    moved = suspicious_transactions(sessions, paths).select(
         F.lit(0).cast("bigint").alias("exfil_bytes"), "transactions", "transfers", "payments"
     )
     sums = stolen.unionByName(moved).agg(

@@ -212,8 +212,8 @@ def ip_detail(result, ips: DataFrame) -> dict[str, DataFrame]:
         "sessions": result.sessions.join(theirs, ["attack_type", "session_key"]),
         "chain": ranked(in_chain, ["detail_ip"], order, 1).drop("rank"),
         "reasons": only(result.reasons),
-        "paths": top_paths_per_ip(requests),
-        "agents": top_agents_per_ip(requests),
+        "paths": top_paths_per_ip(only(result.facts.paths)),
+        "agents": top_agents_per_ip(only(result.facts.agents).withColumnRenamed("total_requests", "n")),
         "statuses": status_per_ip(requests),
         "hours": hourly_per_ip(requests),
         "mitre": only(mitre_per_ip(result.sessions, result.members)),

@@ -58,6 +58,26 @@ def materialize(df: DataFrame, name: str, kept: Kept | None = None) -> DataFrame
     return _store(df, path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str, kept: Kept | None = None) -> DataFrame:
+    """Keep ``df`` dealt by ``key``, so that grouping or joining by it later moves nothing.
+
+    In the shared folder it is a table in as many buckets as the session has shuffle partitions.
+    """
+    spark, kept = df.sparkSession, kept or Kept()
+    folder, buckets = shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, key)
+    if folder is None:
+        stored = dealt.persist()
+        kept.add(stored.unpersist)
+        return stored
+    table = f"tracewarden_{name}_{uuid.uuid4().hex}"
+    path = f"{folder}/tracewarden/{table}"
+    kept.add(lambda: delete_folder(spark, path))
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    kept.add(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))
+    return spark.table(table)
+
+
 def materialize_parts(
     spark: SparkSession, parts: Sequence[Callable[[], DataFrame]], name: str, kept: Kept | None = None
 ) -> DataFrame:
