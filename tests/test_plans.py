@@ -6,6 +6,7 @@ import json
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,50 @@ def test_lazy_and_stored_facts_agree(spark, requests_of):
     columns = ip_profile(requests).columns
     assert {r.ip: r for r in stored.profile().select(*columns).collect()} == want
     kept.close()
+
+
+def _scanned_rows(df):
+    """Rows that the scans of a collected plan gave away."""
+    df.collect()
+    leaves, rows = df._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        plan = leaves.apply(i)
+        plan = plan.executedPlan() if plan.nodeName().startswith("AdaptiveSparkPlan") else plan
+        rows += plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+    return rows
+
+
+def test_look_ups_skip_row_groups(spark, requests_of, tmp_path):
+    rows = [row(i * 10, f"10.{i % 40}.{i % 7}.9") for i in range(4000)]
+    tables.store_requests(requests_of(rows), f"{tmp_path}/r", row_group_bytes=4096)
+    stored = tables.load_requests(spark, f"{tmp_path}/r")
+    files = [pq.ParquetFile(f) for f in (tmp_path / "r").rglob("*.parquet")]
+    groups = [f.metadata.row_group(g) for f in files for g in range(f.metadata.num_row_groups)]
+    ip = [f.metadata.schema.names.index("ip") for f in files][0]
+    holding = [g for g in groups if g.column(ip).statistics.min <= "10.3.3.9" <= g.column(ip).statistics.max]
+    assert len(groups) > 5 * len(holding) and any(g.column(ip).to_dict().get("bloom_filter_offset", 1) for g in groups)
+    assert stored.count() == 4000 and len({r.ip for r in stored.select("ip").distinct().collect()}) == 280
+    for ips in (["10.3.3.9"], ["10.3.3.9", "10.20.6.9"], ["203.0.113.1"], []):
+        found = tables.of_addresses(stored, ips)
+        want = sum(r[1] in ips for r in rows)
+        assert found.count() == want == tables.of_addresses(stored, spark.createDataFrame([(i,) for i in ips], "ip string")).count()
+        assert _scanned_rows(found.select("ip", "lineno")) <= 4000 / 5
+
+
+def test_files_of_days_are_few_and_bounded(spark, requests_of, tmp_path):
+    """One huge day and many tiny ones."""
+    day, huge = 86_400, 12_000
+    rows = [row(i, f"10.0.{i % 97}.{i % 13}", f"/path/{i * 7919 % 100_003}") for i in range(huge)]
+    rows += [row((d + 1) * day + i, f"10.0.0.{i}") for d in range(20) for i in range(3)]
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "128k")
+    try:
+        tables.store_requests(requests_of(rows).repartition(8), f"{tmp_path}/r")
+    finally:
+        spark.conf.unset(size)
+    files = {d.name: [f.stat().st_size for f in d.glob("*.parquet")] for d in (tmp_path / "r").glob("day=*")}
+    sizes = sorted(files.values(), key=len)
+    assert len(files) == 21 and max(len(s) for s in sizes[:-1]) <= 3 and 2 <= len(sizes[-1]) <= 40
+    assert max(sizes[-1]) < sum(sizes[-1]) / 2 and max(max(s) for s in sizes[:-1]) < 100_000  # a filter takes some 70 KB
+    tables.store_requests(requests_of(rows[-3:]), f"{tmp_path}/r", mode="overwrite")  # the last day alone
+    assert tables.load_requests(spark, f"{tmp_path}/r").count() == len(rows)

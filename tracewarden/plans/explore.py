@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions.text import bytes_text, duration_text, first_ip, severity_rank
 from tracewarden.operators.ranking import counts, listed, ranked
+from tracewarden.sources.tables import of_addresses
 
 ORDERED_KEYS = ("attack_type", "ip")
 
@@ -108,7 +110,7 @@ def session_ips(sessions: DataFrame, members: DataFrame) -> DataFrame:
 
 def sessions_with_ip(sessions: DataFrame, members: DataFrame, ip: str) -> DataFrame:
     """Sessions an address takes part in, at any place of a joint session."""
-    own = session_ips(sessions, members).where(F.col("ip") == ip).select("attack_type", "session_key").distinct()
+    own = of_addresses(session_ips(sessions, members), [ip]).select("attack_type", "session_key").distinct()
     return sessions.join(own, ["attack_type", "session_key"], "left_semi")
 
 
@@ -189,20 +191,19 @@ def attack_table(sessions: DataFrame, evidence: DataFrame, actions: DataFrame |
     )
 
 
-def ip_detail(result, ips: DataFrame) -> dict[str, DataFrame]:
-    """Everything known about a set of addresses, as one table per kind of answer.
+def ip_detail(result, ips: DataFrame | Sequence[str]) -> dict[str, DataFrame]:
+    """Everything known about some addresses, as one table per kind of answer.
 
-    ``ips`` has a column ``ip``. Per-request tables are filtered before they are
-    counted, the other tables are small.
+    ``ips`` is a list of addresses or a table with a column ``ip``. A short list is a test that
+    the scans take over: buckets of the facts and row groups of the requests are skipped by it.
     """
-    wanted = ips.select("ip").distinct()
-    only = lambda df: df.join(wanted, "ip", "left_semi")
+    only = lambda df: of_addresses(df, ips)
     requests = only(result.requests)
     part_of = session_ips(result.sessions, result.members)
     theirs = only(part_of).withColumnRenamed("ip", "detail_ip")
-    in_chain = result.chains.withColumn(
-        "detail_ip", F.explode(F.array_distinct(F.transform("steps", lambda s: s["ip"])))
-    ).join(wanted.withColumnRenamed("ip", "detail_ip"), "detail_ip", "left_semi")
+    in_chain = of_addresses(
+        result.chains.withColumn("detail_ip", F.explode(F.array_distinct(F.transform("steps", lambda s: s["ip"])))), ips, "detail_ip"
+    )
     # the first chain in order of importance is the one shown for an address
     order = [F.desc(severity_rank(F.col("max_severity"))), F.desc("stages_count"), F.asc("first_seen"),
              F.asc("chain_type"), F.asc("ip")]
