@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import fixture
+from tracewarden.operators import dims
 from tracewarden.plans import analysis, explore, report
 from tracewarden.sources import access_log, endpoints, lists, tables
 from tracewarden.storage import shared_folder
@@ -65,11 +66,20 @@ def source_lists(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def geo_networks(spark: SparkSession, folder: str) -> DataFrame:
+    """Countries of IPv4 and IPv6 addresses derived from events, by nested networks read from a file."""
+    path = new_folder(spark, "networks")
+    lines = [("# networks",), ("",), *[(f"{network}, {country}",) for network, _, _, country in fixture.NETWORKS], ("10.0.0.0/40, nowhere",)]
+    spark.createDataFrame(lines, "value string").write.text(path)
+    ips = fixture.events(spark, folder).selectExpr(f"explode(array({', '.join(fixture.DERIVED_IPS)})) AS ip")
+    return dims.countries(ips, fixture.country_ranges(spark), lists.read_networks(spark, path))
+
+
 def _analysis(spark: SparkSession, folder: str) -> analysis.Result:
     path = new_folder(spark, "requests")
     tables.store_requests(fixture.requests(spark, folder), path)
-    dims = analysis.Dims(fixture.tor(spark), fixture.proxy_list(spark), fixture.country_ranges(spark))
-    return analysis.analyze(tables.load_requests(spark, path), dims)
+    known = analysis.Dims(fixture.tor(spark), fixture.proxy_list(spark), fixture.country_ranges(spark))
+    return analysis.analyze(tables.load_requests(spark, path), known)
 
 
 def _counted(named: dict[str, DataFrame]) -> DataFrame:
@@ -112,4 +122,4 @@ def report_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
-QUERIES = (text_scan, source_lists, analysis_tables, ip_detail, report_files)
+QUERIES = (text_scan, source_lists, geo_networks, analysis_tables, ip_detail, report_files)

@@ -114,3 +114,21 @@ COUNTRIES = (
 
 def country_ranges(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, a + n - 1, c) for a, n, c in COUNTRIES], COUNTRY_RANGES)
+
+
+# Invented networks that lie in one another: text, first and last number (IPv6 from its third and last group), country
+NETWORKS = (
+    ("62.0.0.0/8", 62 * 2**24, 63 * 2**24 - 1, "Outer"),
+    ("62.122.55.1-62.122.55.2", 62 * 2**24 + 122 * 2**16 + 55 * 2**8 + 1, 62 * 2**24 + 122 * 2**16 + 55 * 2**8 + 2, "Two hosts"),
+    ("78.140.0.0/16", 78 * 2**24 + 140 * 2**16, 78 * 2**24 + 141 * 2**16 - 1, "Users"),
+    ("78.140.0.7", 78 * 2**24 + 140 * 2**16 + 7, 78 * 2**24 + 140 * 2**16 + 7, "One user"),
+    ("2001:db8::/32", 0, 2**32 - 1, "Wide"),
+    ("2001:db8:3::/48", 3 * 2**16, 4 * 2**16 - 1, "Site"),
+    ("2001:db8:3::10-2001:db8:3::2f", 3 * 2**16 + 16, 3 * 2**16 + 47, "Hosts"),
+)
+# Addresses of an event: two of IPv4 and one of IPv6, by user
+DERIVED_IPS = (
+    "concat('62.122.', user_id % 60, '.', event_id % 5)",
+    "concat('78.140.', user_id div 256, '.', user_id % 256)",
+    "concat('2001:db8:', lower(hex(user_id % 5)), '::', lower(hex(event_id % 64)))",
+)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from registry.fixture import ANDROID, COUNTRIES, FIREFOX, SQLI_URL
+from registry.fixture import ANDROID, COUNTRIES, FIREFOX, NETWORKS, SQLI_URL
 from tracewarden import config as C
 from tracewarden.plans.reputation import REASON_TEXTS
 
@@ -323,6 +323,13 @@ PARTS["ipnum"] = """SELECT ip, split_part(ip, '.', 1)::BIGINT * 16777216 + split
   + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT AS ip_number FROM (SELECT DISTINCT ip FROM req)"""
 PARTS["geo"] = f"""SELECT i.ip, coalesce(g.country, 'Unknown') AS country FROM ipnum i
   LEFT JOIN (VALUES {_GEO}) g(a, b, country) ON i.ip_number BETWEEN g.a AND g.b"""
+_NETWORKS = ", ".join(
+    f"({4 if ':' not in n else 6}, {a}, {b}, {_quoted(c)})" for n, a, b, c in (*NETWORKS, *(("", a, a + n - 1, c) for a, n, c in COUNTRIES))
+)
+PARTS["derived"] = """SELECT DISTINCT unnest([
+    {ip: '62.122.' || (user_id % 60) || '.' || (event_id % 5), v: 4, n: 62 * 16777216 + 122 * 65536 + user_id % 60 * 256 + event_id % 5},
+    {ip: '78.140.' || (user_id // 256) || '.' || (user_id % 256), v: 4, n: 78 * 16777216 + 140 * 65536 + user_id},
+    {ip: '2001:db8:' || (user_id % 5) || '::' || lower(to_hex(event_id % 64)), v: 6, n: user_id % 5 * 65536 + event_id % 64}]) AS a FROM events"""
 PARTS["net"] = """SELECT ip, ip = '185.23.44.12' AS via_tor, ip = '103.44.55.66' AS via_proxy FROM (SELECT DISTINCT ip FROM req)"""
 
 PARTS["sess"] = f"""SELECT f.*, coalesce(r.score, 0) AS score, coalesce(r.severity, 'LOW') AS severity, country, via_tor, via_proxy
@@ -573,6 +580,8 @@ SELECTS |= {
     "source_lists": f"""SELECT 'proxy' AS kind, ip AS value FROM (SELECT DISTINCT ip FROM req) UNION ALL SELECT 'tor', ip FROM (SELECT DISTINCT ip FROM req)
       UNION ALL SELECT 'country', country FROM (VALUES {_GEO}) g(a, b, country)
       UNION ALL SELECT 'endpoint', unnest(['exfil_targets=/dump', 'exfil_targets=/dump2', 'admin_endpoints=/root'])""",
+    "geo_networks": f"""SELECT a.ip AS ip, coalesce((SELECT country FROM (VALUES {_NETWORKS}) g(v, f, t, country) WHERE g.v = a.v AND a.n BETWEEN f AND t
+      ORDER BY f DESC, t LIMIT 1), 'Unknown') AS country FROM derived""",
     "analysis_tables": " UNION ALL ".join(
         _count(name, SELECTS[query])
         for name, query in (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import row
 from tracewarden.config import DEFAULT
+from tracewarden.operators import dims
 from tracewarden.operators.dims import countries, network_flags, overlapping_ranges
 from tracewarden.operators.nearest import next_point
 from tracewarden.operators.profile import interval_cv, ip_profile
@@ -196,3 +197,56 @@ def test_endpoint_tables_of_any_size_are_joined(spark, requests_of, tmp_path):
 def test_defaults_are_the_stated_rules():
     assert (DEFAULT.burst_seconds, DEFAULT.burst_logins, DEFAULT.burst_failure_ratio) == (10_800, 15, 0.5)
     assert (DEFAULT.medium_score, DEFAULT.high_score, DEFAULT.critical_score) == (80, 200, 500)
+
+
+def _bounds(network):
+    if "-" in network:
+        return tuple(_key(a) for a in network.split("-"))
+    net = ipaddress.ip_network(network, strict=False)
+    return _key(net[0]), _key(net[-1])
+
+
+def _key(ip):
+    ip = ipaddress.ip_address(ip)
+    return int(ip) + (1 << 130) * (ip.version == 6)  # the kinds apart
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_the_innermost_network_counts(spark, parts):
+    """Nested and overlapping networks of both kinds, against a plain search."""
+    rng = random.Random(11)
+    networks = ["0.0.0.0/0", "::/0", "10.0.0.0/8", "10.1.0.0/16", "10.1.0.0/16", "10.1.2.0-10.1.9.255", "10.1.5.0-10.1.20.0", "2001:db8::/32"]
+    networks += ["2001:db8:1::/48", "2001:db8::5-2001:db8:1::9", "10.1.2.3", "255.255.255.255", "2001:db8::ffff"]
+    networks += [f"10.{rng.randint(0, 3)}.{rng.randint(0, 255)}.0/{rng.randint(9, 30)}" for _ in range(60)]
+    named = [(n, f"c{i}") for i, n in enumerate(networks)]
+    ips = [f"10.{rng.randint(0, 4)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}" for _ in range(300)] + ["10.1.2.3", "9.9.9.9", "255.255.255.255", "0.0.0.0"]
+    ips += [f"2001:db8:{rng.randint(0, 2):x}::{rng.randint(0, 12):x}" for _ in range(60)] + ["::", "ffff::1", "::ffff:10.1.2.3", "unknown", "10.1.2", None]
+    junk = [("10.0.0.0/33", "x"), ("nothing", "x"), ("10.0.0.9-10.0.0.1", "x"), ("10.0.0.9-::1", "x"), ("::/x", "x"), ("1.2.3.4/8/9", "x"), (None, "x"), ("", "x")]
+    table = spark.createDataFrame(named + junk, "network string, country string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = dims.innermost(spark.createDataFrame([(i,) for i in ips], "ip string").distinct(), dims.network_bounds(table))
+        got = {r.ip: r.country for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, (r.network for r in dims.unreadable_networks(table).collect()))) == sorted(str(n) for n, _ in junk)
+
+    def plain(ip):
+        try:
+            key = _key(ip)
+        except ValueError:
+            return None
+        held = [(-low, high, c) for n, c in named for low, high in [_bounds(n)] if low <= key <= high]
+        return min(held)[2] if held else None
+
+    assert got == {ip: plain(ip) for ip in ips if ip is not None} | {None: None}
+
+
+def test_countries_by_ranges_and_networks(spark):
+    ranges = spark.createDataFrame([(16909056, 16909311, "A")], "ip_from bigint, ip_to bigint, country string")  # 1.2.3.0/24
+    networks = spark.createDataFrame([("1.2.0.0/16", "B"), ("2001:db8::/32", "C")], "network string, country string")
+    ips = spark.createDataFrame([("1.2.3.4",), ("1.2.4.4",), ("2001:db8::1",), ("8.8.8.8",), ("x",), ("1.2.3.4",)], "ip string")
+    got = {r.ip: r.country for r in dims.countries(ips, ranges, networks).collect()}
+    assert got == {"1.2.3.4": "A", "1.2.4.4": "B", "2001:db8::1": "C", "8.8.8.8": "Unknown", "x": "Unknown"}
+    assert dims.countries(ips, ranges.limit(0), networks.limit(0)).where("country <> 'Unknown'").isEmpty()

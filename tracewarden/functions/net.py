@@ -46,6 +46,18 @@ def ipv6_bits(ip: Column) -> Column:
     return F.when(is_valid_ip(ip) & ~is_ipv4(ip), bits)
 
 
+def ip_bits(ip: Column) -> Column:
+    """An address as text: its kind, 4 or 6, and 128 bits (of IPv4 the last 32 count), null for anything else."""
+    four = F.lpad(F.conv(ipv4_number(ip).cast("string"), 10, 2), 128, "0")
+    return F.coalesce(F.concat(F.lit("4"), four), F.concat(F.lit("6"), ipv6_bits(ip)))
+
+
+def key_of_bits(bits: Column) -> Column:
+    """The same with 32 hexadecimal digits for the bits; keys sort as the numbers do."""
+    half = lambda start: F.lpad(F.lower(F.conv(F.substring(bits, start, 64), 2, 16)), 16, "0")
+    return F.concat(F.substring(bits, 1, 1), half(2), half(66))
+
+
 def is_internal_ip(ip: Column) -> Column:
     """Private or loopback IPv4; documentation networks, IPv6 and garbage are external."""
     return F.coalesce(ip.rlike(_INTERNAL), F.lit(False))

@@ -6,10 +6,13 @@ below the session's threshold and shuffles it otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.functions.net import ipv4_number, ipv6_bits
+from tracewarden.functions.net import ip_bits, ipv4_number, is_ipv4, key_of_bits
 from tracewarden.functions.text import first_ip
 
 _BLOCK = 65536  # addresses of one /16
@@ -44,36 +47,98 @@ def _pieces(ranges: DataFrame) -> DataFrame:
     )
 
 
-def ipv6_countries(ips: DataFrame, networks: DataFrame) -> DataFrame:
-    """Country of IPv6 addresses by the longest of ``networks`` (``2001:db8::/32``, country) that holds them.
+def network_bounds(networks: DataFrame) -> DataFrame:
+    """``networks`` (``network``, ``country``) with the first and last key of each, ``low`` and ``high``.
 
-    An address is looked up once for each prefix length that occurs (at most 128) by
-    equality, so a wide network is one row and no range is laid out.
+    A network is a prefix (``2001:db8::/32``, ``10.0.0.0/8``), two addresses with a dash between them, or one
+    address. Keys are the kind of address and 32 hexadecimal digits; both are null where the text can't be
+    read, the last address lies before the first, or the two are of different kinds.
     """
-    parts = F.split("network", "/")
-    bits = F.substr(ipv6_bits(parts[0]), F.lit(1), parts[1].cast("int"))
-    table = networks.select(bits.alias("prefix"), "country").where("prefix IS NOT NULL").groupBy("prefix").agg(F.min("country").alias("country"))
-    lengths = [r[0] for r in table.select(F.length("prefix")).distinct().collect()]
-    probes = ips.select("ip", ipv6_bits(F.col("ip")).alias("bits")).where("bits IS NOT NULL")
-    cut = F.explode(F.array(*[F.substr("bits", F.lit(1), F.lit(n)) for n in sorted(lengths)] or [F.lit(None).cast("string")]))
-    return (
-        probes.select("ip", cut.alias("prefix"))
-        .join(table, "prefix")
-        .groupBy("ip")
-        .agg(F.max_by("country", F.length("prefix")).alias("country"))
+    text = F.trim("network")
+    ends, prefix = F.split(text, r"\s*-\s*"), F.split(text, "/")
+    first, last = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+    bits = ip_bits(F.get(prefix, F.lit(0)))
+    length = F.when(F.get(prefix, F.lit(1)).rlike(r"\A[0-9]{1,3}\z"), F.get(prefix, F.lit(1)).cast("int"))
+    most = F.when(is_ipv4(F.get(prefix, F.lit(0))), 32).otherwise(128)
+    fixed = F.when((length <= most) & (F.size(prefix) == 2), F.substr(bits, F.lit(1), 129 - most + length))
+    by_prefix = F.struct(*[F.rpad(fixed, 129, fill).alias(n) for n, fill in (("low", "0"), ("high", "1"))])
+    by_ends = F.struct(ip_bits(first).alias("low"), F.when(F.size(ends) <= 2, ip_bits(F.coalesce(last, first))).alias("high"))
+    bounds = networks.withColumn("_bounds", F.when(text.contains("/"), by_prefix).otherwise(by_ends))
+    low, high = F.col("_bounds.low"), F.col("_bounds.high")
+    whole = (F.substring(low, 1, 1) == F.substring(high, 1, 1)) & (low <= high)
+    keys = {n: F.when(whole, key_of_bits(F.col(f"_bounds.{n}"))) for n in ("low", "high")}
+    return bounds.withColumns(keys).drop("_bounds")
+
+
+def unreadable_networks(networks: DataFrame) -> DataFrame:
+    """Rows of ``networks`` that no look-up sees."""
+    return network_bounds(networks).where("low IS NULL OR high IS NULL").drop("low", "high")
+
+
+#: Parts that a sweep cuts the addresses into at most.
+SWEEP_PARTS = 256
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of part and key: a range is opened, a point asks for the last opened one that is still open."""
+    part, opened = None, []
+    for batch in batches:
+        ips, found = [], []
+        for own, key, high, country, ip in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "high", "country", "ip"))):
+            if own != part:
+                part, opened = own, []
+            while opened and opened[-1][0] < key:
+                opened.pop()
+            if ip is None:
+                opened.append((high, country))
+            else:
+                ips.append(ip)
+                found.append(opened[-1][1] if opened else None)
+        yield pa.RecordBatch.from_arrays([pa.array(ips, pa.string()), pa.array(found, pa.string())], ["ip", "country"])
+
+
+def innermost(ips: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``ip, country`` of every address in ``ips``, by the innermost of the ranges ``low, high, country`` that hold it.
+
+    Ranges may lie in one another or overlap: of those that hold an address, the one that begins last
+    counts, then the shorter one. Keys are cut into parts of like size; a range is carried into every part that it
+    reaches, and a part is swept once, in order of the keys, with the open ranges on a stack. So a part
+    holds in memory as many ranges as lie in one another.
+    """
+    spark = ips.sparkSession
+    points = ips.select("ip", key_of_bits(ip_bits(F.col("ip"))).alias("key"))
+    ranges = bounds.where("low IS NOT NULL").select("low", "high", "country")
+    parts = min(SWEEP_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = points.select("key").union(ranges.select("low")).where("key IS NOT NULL").repartitionByRange(parts, "key")
+    first = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key")).collect()  # one row for each part
+    borders = F.array(*[F.lit(k) for k in sorted(r["key"] for r in first)]).cast("array<string>")
+    part_of = lambda key: F.size(F.filter(borders, lambda b: b <= key))
+    reached = F.explode(F.sequence(part_of(F.col("low")), part_of(F.col("high"))))
+    opened = ranges.select(reached.alias("part"), F.col("low").alias("key"), "high", "country", F.lit(None).cast("string").alias("ip"))
+    asked = points.where("key IS NOT NULL").select(
+        part_of(F.col("key")).alias("part"), "key", *[F.lit(None).cast("string").alias(c) for c in ("high", "country")], "ip"
     )
+    order = ["part", "key", F.col("ip").asc_nulls_first(), F.desc("high"), F.desc("country")]
+    placed = opened.unionByName(asked).repartition("part").sortWithinPartitions(*order).mapInArrow(_sweep, "ip string, country string")
+    return placed.unionByName(points.where("key IS NULL").select("ip", F.lit(None).cast("string").alias("country")))
 
 
 def countries(ips: DataFrame, ranges: DataFrame, networks: DataFrame | None = None) -> DataFrame:
     """Country of every distinct address, ``Unknown`` outside all ranges.
 
-    ``ranges`` are of IPv4 numbers, ``networks`` of IPv6 in prefix notation.
+    ``ranges`` are of IPv4 numbers and must not overlap; ``networks`` (see ``network_bounds``) are of both
+    kinds and may lie in one another. Where both are given, the innermost of all counts.
 
-    Ranges are cut at /16 borders; addresses and range starts of one /16 share a
+    Without networks, ranges are cut at /16 borders; addresses and range starts of one /16 share a
     time-line-like window where the last start at or below an address is its
     range. A /16 holds at most 65,536 of either, so groups stay small, and no
     address meets more than one range.
     """
+    if networks is not None:
+        key = lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 32, "0"))
+        numbers = ranges.select(key("ip_from").alias("low"), key("ip_to").alias("high"), "country")
+        bounds = network_bounds(networks).select("low", "high", "country").unionByName(numbers)
+        return innermost(ips.select("ip").distinct(), bounds).select("ip", F.coalesce("country", F.lit("Unknown")).alias("country"))
     distinct = ips.select("ip").distinct().withColumn("n", ipv4_number(F.col("ip")))
     pieces = _pieces(ranges).select("block", "n", F.struct("upto", "country").alias("piece"))
     line = pieces.unionByName(
@@ -84,10 +149,7 @@ def countries(ips: DataFrame, ranges: DataFrame, networks: DataFrame | None = No
     hit = line.withColumn("last", F.last("piece", ignorenulls=True).over(upto_here)).where("ip IS NOT NULL")
     known = hit.select("ip", F.when(F.col("last.upto") >= F.col("n"), F.col("last.country")).alias("country"))
     unplaced = distinct.where("n IS NULL").select("ip")
-    if networks is None:
-        unplaced = unplaced.withColumn("country", F.lit(None).cast("string"))
-    else:
-        unplaced = unplaced.join(ipv6_countries(unplaced, networks), "ip", "left")
+    unplaced = unplaced.withColumn("country", F.lit(None).cast("string"))
     return known.unionByName(unplaced).select("ip", F.coalesce("country", F.lit("Unknown")).alias("country"))
 
 

@@ -54,3 +54,16 @@ def read_country_ranges(spark: SparkSession, path: str, fmt: str = "parquet") ->
     """``(ip_from, ip_to, country)`` rows; the ranges must not overlap."""
     reader = spark.read.schema(COUNTRY_RANGES)
     return reader.csv(path, header=True) if fmt == "csv" else reader.format(fmt).load(path)
+
+
+def read_networks(spark: SparkSession, path) -> DataFrame:
+    """``network, country`` from lines ``network,country``; networks are prefixes, ``first-last`` or single addresses.
+
+    Blank lines and lines that begin with ``#`` are skipped. What can't be read as a network is
+    kept here and listed by ``dims.unreadable_networks``.
+    """
+    line = F.trim("value")
+    lines = spark.read.text(path).where((line != "") & ~line.startswith("#"))
+    return lines.select(
+        F.trim(F.substring_index(line, ",", 1)).alias("network"), F.trim(F.regexp_extract(line, ",(.*)$", 1)).alias("country")
+    )
