@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,9 +181,107 @@ def test_an_address_alerts_again_after_a_quiet_window_and_leaves_the_state(spark
     starts = sorted(int(a.second.timestamp() - START.replace(tzinfo=None).timestamp()) for a in got)
     assert starts == [14, day + 14] and {a.ip for a in got} == {"1.1.1.1"}
     state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("operatorId", 0)
-    assert state.option("stateVarName", "recent").load().count() == 0
+    assert state.option("stateVarName", "minutes").load().count() == 0
 
 
 def test_refresh_is_one_to_thirty_seconds(spark, log_folder, tmp_path):
     with pytest.raises(ValueError):
         recompute.follow(_stream(spark, log_folder), str(tmp_path), str(tmp_path / "ck"), refresh_seconds=31)
+
+
+class _Store:
+    """A state variable in memory that counts what is read of it."""
+
+    def __init__(self):
+        self.held, self.reads = {}, []
+
+    def iterator(self):
+        for k, v in list(self.held.items()):
+            self.reads.append(k)
+            yield k, v
+
+    def getValue(self, k):
+        self.reads.append(k)
+        return self.held[k]
+
+    def updateValue(self, k, v):
+        self.held[k] = v
+
+    def removeKey(self, k):
+        del self.held[k]
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, v):
+        self.held[()] = v
+
+
+class _Handle:
+    def __init__(self):
+        self.state = {}
+
+    def getMapState(self, name, *_):
+        return self.state.setdefault(name, _Store())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def _plain_alerts(rows, window, test):
+    out, last = [], None
+    for t in sorted({r[0] for r in rows}):
+        a, b = (sum(r[i] for r in rows if t - window < r[0] <= t) for i in (1, 2))
+        if test(a, b):
+            if last is None or t - last > window:
+                out.append((t, a, b))
+            last = t
+    return out
+
+
+@pytest.mark.parametrize("kind", ["login", "download"])
+def test_the_ring_of_minutes_is_exact_and_seldom_opened(kind):
+    window = 10_800
+    tests = (bursts.login_test if kind == "login" else bursts.download_test)(DEFAULT)
+    some_alerts = 0
+    for seed in range(25):
+        rng = random.Random(seed)
+        t, rows, opened = 1_700_000_000 + rng.randint(0, 59), [], 0
+        for _ in range(rng.randint(60, 250)):
+            t += rng.choice([1, 1, 7, 60, 130, 600, rng.choice([1, 4000, 11_000])])
+            rows.append((t, rng.randint(0, 2), rng.randint(0, 2)) if kind == "login" else (t, rng.randint(0, 400_000), rng.randint(1, 2)))
+        handle = _Handle()
+        ring = bursts.TrailingBurst(window, *tests)
+        ring.init(handle)
+        got, at = [], 0
+        while at < len(rows):
+            n = rng.choice([1, 2, 5, 40])
+            part = pd.DataFrame(rows[at : at + n], columns=["second", "first_sum", "second_sum"])
+            part["second"] = pd.to_datetime(part["second"], unit="s")
+            for found in ring.handleInputRows(("x",), iter([part]), None):
+                got += [(int(r.second.timestamp()), r.first_sum, r.second_sum) for r in found.itertuples()]
+            minutes, detail = handle.state["minutes"], handle.state["detail"]
+            assert len(minutes.reads) <= window // 60 + 1
+            opened += len(detail.reads)
+            minutes.reads, detail.reads, at = [], [], at + n
+        assert got == _plain_alerts(rows, window, tests[0])
+        some_alerts += len(got)
+        assert opened <= 2 * len(rows)
+    assert some_alerts > 10
+
+
+def test_quiet_addresses_read_no_seconds():
+    handle = _Handle()
+    ring = bursts.TrailingBurst(10_800, *bursts.download_test(DEFAULT))
+    ring.init(handle)
+    for i in range(300):  # one small download a minute: no window comes near the limits
+        part = pd.DataFrame([(pd.Timestamp(1_700_000_000 + 60 * i, unit="s"), 10, 1)], columns=["second", "first_sum", "second_sum"])
+        assert list(ring.handleInputRows(("x",), iter([part]), None)) == []
+    assert handle.state["detail"].reads == [] and len(handle.state["minutes"].held) <= 181

@@ -2,8 +2,9 @@
 
 Two stateful steps. The first sums rows per (address, second), which combines
 before the shuffle and leaves a hot address one row per second. The second keeps
-the last window of seconds per address, never more than the window has, and reports
-an address when a test first holds and whenever it holds again after a quiet window.
+the last window of an address as sums per minute with their seconds beside them, reads
+seconds only where minutes leave the answer open, and reports an address when a
+test first holds and whenever it holds again after a quiet window.
 
 The first step gives a second away when the watermark has passed it. So the last seconds
 of a log, as many as the delay, come out once later lines move time on; a log that has
@@ -44,58 +45,104 @@ def seconds_of(requests: DataFrame, condition: Column, first: Column, second: Co
 class TrailingBurst(StatefulProcessor):
     """Sums over ``(t - seconds, t]`` per address, in order of time.
 
-    ``test`` sees the two window sums as numpy arrays and answers with booleans. A second
-    arrives once, after the watermark has passed it, so seconds of later batches are later.
-    An address alerts at its first hit, and again after a whole window without one. Only new
-    seconds are written; a timer one window after the last one clears an idle address.
+    The state is a ring of two levels: a sum for each minute of the window, and the seconds of each
+    minute, which are read for one minute alone, and only while the answer is open. The whole minutes
+    inside a window bound its sums from below, with the minute that its edge runs through
+    from above. ``test`` answers for exact sums, ``surely(low, high)`` and ``possibly(low, high)`` for
+    bounds; all see pairs of numpy arrays. A second arrives once, after the watermark has
+    passed it, so seconds of later batches are later.
+
+    An address alerts at its first hit, and again after a whole window without one. Only
+    new minutes are written; a timer one window after the last one clears an idle address.
     """
 
-    def __init__(self, seconds: int, test):
-        self._seconds, self._test = seconds, test
+    def __init__(self, seconds: int, test, surely, possibly):
+        if seconds % 60:
+            raise ValueError("the window must be whole minutes")
+        self._seconds, self._test, self._surely, self._possibly = seconds, test, surely, possibly
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._recent = handle.getMapState("recent", "second bigint", "first_sum bigint, second_sum bigint")
+        self._minutes = handle.getMapState("minutes", "minute bigint", "first_sum bigint, second_sum bigint")
+        self._detail = handle.getMapState("detail", "minute bigint", "at array<bigint>, first_sum array<bigint>, second_sum array<bigint>")
         self._last_hit = handle.getValueState("last_hit", "at bigint")
         self._timer = handle.getValueState("timer", "at bigint")
 
+    def _seconds_of(self, minute: int, known: bool, new: dict[int, dict[int, tuple[int, int]]]) -> list[tuple[int, int, int]]:
+        """The seconds of one minute, from the state (if it knows the minute) and from this batch."""
+        old = list(zip(*self._detail.getValue((minute,)))) if known else []
+        return [*old, *((at, *sums) for at, sums in sorted(new.get(minute, {}).items()))]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, tuple[int, int]] = {}
+        new: dict[int, dict[int, tuple[int, int]]] = {}
         for chunk in rows:
             seconds = chunk["second"].astype("datetime64[s]").astype("int64")
-            for at, first, second in zip(seconds, chunk["first_sum"], chunk["second_sum"]):
-                a, b = new.get(at, (0, 0))
-                new[int(at)] = (a + int(first), b + int(second))
+            for at, first, second in zip(seconds.tolist(), chunk["first_sum"], chunk["second_sum"]):
+                own = new.setdefault(at // 60, {})
+                a, b = own.get(at, (0, 0))
+                own[at] = (a + int(first), b + int(second))
         if not new:
             return
-        first_new, last = min(new), max(new)
-        line, gone = dict(new), []
-        for (at,), (a, b) in self._recent.iterator():
-            if at > first_new - self._seconds:
-                x, y = line.get(at, (0, 0))
-                line[at] = (a + x, b + y)
-            if at <= last - self._seconds:
-                gone.append(at)
-        times = np.array(sorted(line), np.int64)
-        sums = np.cumsum([(0, 0), *(line[t] for t in times.tolist())], axis=0)
-        begin = np.searchsorted(times, times - self._seconds, "right")
-        windows = sums[1:] - sums[begin]
-        hits = np.flatnonzero(self._test(windows[:, 0], windows[:, 1]) & (times >= first_new))
+        width, last = self._seconds // 60, max(new)
+        old = {minute: sums for (minute,), sums in self._minutes.iterator()}
+        total = {m: np.array(sums, np.int64) for m, sums in old.items() if m >= min(new) - width}
+        before = {m: total.get(m, np.zeros(2, np.int64)) for m in new}
+        for m, own in new.items():
+            total[m] = before[m] + np.sum(list(own.values()), axis=0, dtype=np.int64)
+        minutes = np.array(sorted(total), np.int64)
+        sums = np.cumsum([(0, 0), *(total[m] for m in minutes.tolist())], axis=0, dtype=np.int64)
+
+        def upto(minute: np.ndarray) -> np.ndarray:
+            """Sums of the minutes before some."""
+            return sums[np.searchsorted(minutes, minute)]
+
+        times = np.array(sorted(at for own in new.values() for at in own), np.int64)
+        own = times // 60
+        in_minute = np.array([new[m][at] for m, at in zip(own.tolist(), times.tolist())], np.int64)
+        so_far = np.cumsum(in_minute, axis=0)
+        start = np.searchsorted(own, own)  # the first new second of each one's minute
+        current = so_far - so_far[start] + in_minute[start] + np.array([before[m] for m in own.tolist()])
+        edge = own - width
+        low = upto(own) - upto(edge + 1) + current
+        high = low + upto(edge + 1) - upto(edge)
+        sure = self._surely(low.T, high.T)
+        open_ = self._possibly(low.T, high.T) & ~sure
+        exact: dict[int, np.ndarray] = {}
+        read: dict[int, list] = {}
+
+        def window(i: int) -> np.ndarray:
+            """The exact sums of the window that ends at a new second."""
+            if i not in exact:
+                m = int(edge[i])
+                if m in total and m not in read:
+                    read[m] = self._seconds_of(m, m in old, new)
+                inside = [(a, b) for at, a, b in read.get(m, ()) if at > times[i] - self._seconds]
+                exact[i] = low[i] + np.sum(inside or [(0, 0)], axis=0, dtype=np.int64)
+            return exact[i]
+
         last_hit = self._last_hit.get()[0] if self._last_hit.exists() else None
-        alerts = []
-        for i in hits.tolist():
-            at = int(times[i])
+        alerts, hit = [], False
+        for i in np.flatnonzero(sure | open_).tolist():
+            if not sure[i]:
+                a, b = window(i)
+                if not bool(self._test(a, b)):
+                    continue
+            at, hit = int(times[i]), True
             if last_hit is None or at - last_hit > self._seconds:
-                alerts.append((key[0], pd.Timestamp(at, unit="s"), int(windows[i, 0]), int(windows[i, 1])))
+                alerts.append((key[0], pd.Timestamp(at, unit="s"), *map(int, window(i))))
             last_hit = at
-        if len(hits):
+        if hit:
             self._last_hit.update((last_hit,))
-        for at in gone:
-            self._recent.removeKey((at,))
-        for at in new:
-            if at > last - self._seconds:
-                self._recent.updateValue((at,), line[at])
-        self._wake(last)
+        for m in old:
+            if m < last - width:
+                self._minutes.removeKey((m,))
+                self._detail.removeKey((m,))
+        for m in sorted(new):
+            if m >= last - width:
+                whole = self._seconds_of(m, m in old, new)
+                self._minutes.updateValue((m,), tuple(map(int, total[m])))
+                self._detail.updateValue((m,), tuple(list(map(int, c)) for c in zip(*whole)))
+        self._wake(int(times[-1]))
         if alerts:
             yield pd.DataFrame(alerts, columns=["ip", "second", "first_sum", "second_sum"])
 
@@ -108,7 +155,8 @@ class TrailingBurst(StatefulProcessor):
         self._timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._recent.clear()
+        self._minutes.clear()
+        self._detail.clear()
         self._last_hit.clear()
         self._timer.clear()
         return iter(())
@@ -117,31 +165,47 @@ class TrailingBurst(StatefulProcessor):
         pass
 
 
-def _alerts(seconds: DataFrame, window: int, test) -> DataFrame:
+def login_test(cfg: Config = DEFAULT) -> tuple:
+    """Enough logins with a high share of failures: for exact sums, surely and possibly for bounds."""
+    least, ratio = cfg.burst_logins, cfg.burst_failure_ratio
+
+    def test(failed, others):
+        return (failed + others >= least) & (failed >= ratio * (failed + others))
+
+    def surely(low, high):  # fewest failures among the most other logins
+        return (low[0] + low[1] >= least) & (low[0] >= ratio * (low[0] + high[1]))
+
+    def possibly(low, high):
+        return (high[0] + high[1] >= least) & (high[0] >= ratio * (high[0] + low[1]))
+
+    return test, surely, possibly
+
+
+def download_test(cfg: Config = DEFAULT) -> tuple:
+    """Enough bytes and downloads."""
+
+    def test(volume, n):
+        return (volume >= cfg.burst_exfil_bytes) & (n >= cfg.burst_exfil_requests)
+
+    return test, lambda low, high: test(*low), lambda low, high: test(*high)
+
+
+def _alerts(seconds: DataFrame, window: int, tests: tuple) -> DataFrame:
     return seconds.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=TrailingBurst(window, test), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=TrailingBurst(window, *tests), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
     )
 
 
 def login_burst_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str = "10 minutes") -> DataFrame:
     """``first_sum`` are failed, ``second_sum`` other logins."""
-    least, ratio = cfg.burst_logins, cfg.burst_failure_ratio
     failed = F.col("is_failed_login").cast("bigint")
-    return _alerts(
-        seconds_of(requests, F.col("is_login"), failed, 1 - failed, delay),
-        cfg.burst_seconds,
-        lambda f, o: (f + o >= least) & (f >= ratio * (f + o)),
-    )
+    return _alerts(seconds_of(requests, F.col("is_login"), failed, 1 - failed, delay), cfg.burst_seconds, login_test(cfg))
 
 
 def download_burst_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str = "10 minutes") -> DataFrame:
     """``first_sum`` are bytes, ``second_sum`` downloads."""
-    volume, least = cfg.burst_exfil_bytes, cfg.burst_exfil_requests
-    return _alerts(
-        seconds_of(requests, is_download(), F.col("bytes"), F.lit(1).cast("bigint"), delay),
-        cfg.burst_seconds,
-        lambda b, n: (b >= volume) & (n >= least),
-    )
+    seconds = seconds_of(requests, is_download(), F.col("bytes"), F.lit(1).cast("bigint"), delay)
+    return _alerts(seconds, cfg.burst_seconds, download_test(cfg))
 
 
 @contextmanager
