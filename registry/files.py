@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import fixture
+from registry.digests import digests
 from tracewarden.operators import dims
 from tracewarden.plans import analysis, explore, report
 from tracewarden.sources import access_log, endpoints, lists, tables
@@ -82,44 +83,41 @@ def _analysis(spark: SparkSession, folder: str) -> analysis.Result:
     return analysis.analyze(tables.load_requests(spark, path), known)
 
 
-def _counted(named: dict[str, DataFrame]) -> DataFrame:
-    rows = None
-    for name, df in named.items():
-        part = df.select(F.lit(name).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-        rows = part if rows is None else rows.union(part)
-    return rows
+def _told(table: DataFrame) -> DataFrame:
+    """A table with its lists and maps as text."""
+    out = {}
+    for field in table.schema.fields:
+        if field.dataType.simpleString() == "array<string>":
+            out[field.name] = F.array_join(field.name, ", ")
+        elif field.dataType.typeName() == "map":
+            pairs = F.array_sort(F.transform(F.map_entries(field.name), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+            out[field.name] = F.array_join(pairs, ", ")
+    return table.withColumns(out) if out else table
 
 
 def analysis_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """How many rows each table of the whole analysis has."""
+    """Every table of the whole analysis, as digests of its columns and rows."""
     result = _analysis(spark, folder)
-    names = ("profile", "sessions", "members", "evidence_counts", "reputation", "reasons", "chains", "damage")
-    return _counted({name: getattr(result, name) for name in names})
+    names = ("profile", "sessions", "members", "evidence_counts", "reputation", "reasons", "chains", "damage", "cohorts", "baseline")
+    return digests({name: _told(getattr(result, name)) for name in names})
 
 
 def ip_detail(spark: SparkSession, folder: str) -> DataFrame:
-    """How many rows each part of one address's details has."""
-    result = _analysis(spark, folder)
-    detail = explore.ip_detail(result, spark.createDataFrame([(SUSPECT,)], "ip string"))
-    return _counted({name: detail[name] for name in ("totals", "reputation", "sessions", "reasons", "paths", "agents", "hours", "mitre")})
+    """Every part of one address's details, likewise."""
+    detail = explore.ip_detail(_analysis(spark, folder), [SUSPECT])
+    names = {"totals": "profile"}
+    return digests({names.get(name, name): _told(table) for name, table in detail.items()})
 
 
 def report_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The report's CSV and JSON files, read back."""
+    """The report's CSV, JSON and text files, read back."""
     paths = report.write_report(_analysis(spark, folder), new_folder(spark, "report"))
-    csv = spark.read.csv(paths["attacks_csv"], header=True)
-    scores = spark.read.csv(paths["ip_reputation_csv"], header=True)
-    sessions = spark.read.json(paths["attacks_json"])
-    parts = (
-        ("attacks_csv", csv, "attack_type", "ip", "requests"),
-        ("attacks_json", sessions, "attack_type", "ip", "request_count"),
-        ("ip_reputation_csv", scores, "severity", "ip", "score"),
-    )
-    rows = None
-    for name, df, kind, ip, n in parts:
-        part = df.select(F.lit(name).alias("file"), F.col(kind).alias("kind"), F.col(ip).alias("ip"), F.col(n).cast("bigint").alias("n"))
-        rows = part if rows is None else rows.union(part)
-    return rows
+    read = {name: spark.read.csv(paths[name], header=True) for name in ("attacks_csv", "ip_reputation_csv")}
+    read |= {name: spark.read.json(paths[name]) for name in ("attacks_json", "attack_chains_json", "economic_damage_json")}
+    scores = read["ip_reputation_csv"]
+    read["ip_reputation_csv"] = scores.withColumn("breakdown", F.from_json("breakdown", "map<string,bigint>"))
+    read["narrative_text"] = spark.read.text(paths["narrative_text"])
+    return digests({name: _told(table) for name, table in read.items()})
 
 
 QUERIES = (text_scan, source_lists, geo_networks, analysis_tables, ip_detail, report_files)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from registry.digests import digests_sql
 from registry.fixture import ANDROID, COUNTRIES, FIREFOX, NETWORKS, SQLI_URL
 from tracewarden import config as C
 from tracewarden.plans.reputation import REASON_TEXTS
@@ -87,7 +88,7 @@ def _single(name: str, start: str, end: str, n: str, size: str, layer: str, more
       FALSE AS ip_rotation_detected, FALSE AS coordinated, NULL::VARCHAR AS shared_user_agent{more} FROM {source}"""
 
 
-def _counted(part: str, column: str, keys: str = "ip", k: int = 1000) -> str:
+def _counted(part: str, column: str, keys: str = "ip", k: int = 10) -> str:
     return f"""SELECT {keys}, string_agg(v || '=' || n, ', ' ORDER BY n DESC, v) AS t FROM (
       SELECT {keys}, {column} AS v, count(*) AS n, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, {column}) AS r
       FROM {part} GROUP BY {keys}, {column}) WHERE r <= {k} GROUP BY {keys}"""
@@ -567,10 +568,6 @@ SELECTS = {
 }
 
 
-def _count(name: str, select: str, where: str = "") -> str:
-    return f"SELECT '{name}' AS name, count(*) AS n FROM ({select}) {where} HAVING count(*) > 0"
-
-
 _SUSPECT = "WHERE ip = '103.44.55.66'"
 SELECTS |= {
     "text_scan": """SELECT ip AS what, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM raw GROUP BY ip
@@ -582,33 +579,52 @@ SELECTS |= {
       UNION ALL SELECT 'endpoint', unnest(['exfil_targets=/dump', 'exfil_targets=/dump2', 'admin_endpoints=/root'])""",
     "geo_networks": f"""SELECT a.ip AS ip, coalesce((SELECT country FROM (VALUES {_NETWORKS}) g(v, f, t, country) WHERE g.v = a.v AND a.n BETWEEN f AND t
       ORDER BY f DESC, t LIMIT 1), 'Unknown') AS country FROM derived""",
-    "analysis_tables": " UNION ALL ".join(
-        _count(name, SELECTS[query])
-        for name, query in (
-            ("profile", "ip_profile"), ("sessions", "sessions_enriched"), ("members", "members"),
-            ("evidence_counts", "evidence_paths"), ("reputation", "ip_reputation"), ("reasons", "score_reasons"),
-            ("damage", "damage_estimate"),
-        )
-    ) + " UNION ALL " + _count("chains", "SELECT * FROM chains"),
-    "ip_detail": " UNION ALL ".join(
-        _count(name, SELECTS[query], _SUSPECT)
-        for name, query in (
-            ("totals", "ip_profile"), ("reputation", "ip_reputation"), ("sessions", "sessions_enriched"), ("reasons", "score_reasons"),
-            ("paths", "top_paths_per_ip"), ("agents", "top_agents_per_ip"), ("hours", "hourly_per_ip"), ("mitre", "mitre_per_ip"),
-        )
+}
+
+_TABLES = {
+    "profile": SELECTS["ip_profile"], "sessions": SELECTS["sessions_enriched"], "members": SELECTS["members"],
+    "evidence_counts": SELECTS["evidence_paths"], "reputation": SELECTS["ip_reputation"], "reasons": SELECTS["score_reasons"],
+    "chains": "SELECT * FROM chains", "damage": SELECTS["damage_estimate"], "cohorts": "SELECT * FROM cohort", "baseline": SELECTS["baseline_profile"],
+}
+_DETAIL = {
+    "profile": "ip_profile", "reputation": "ip_reputation", "sessions": "sessions_enriched", "reasons": "score_reasons", "paths": "top_paths_per_ip",
+    "agents": "top_agents_per_ip", "statuses": "status_distribution", "hours": "hourly_per_ip", "mitre": "mitre_per_ip",
+}
+SELECTS |= {
+    "analysis_tables": digests_sql(_TABLES),
+    "ip_detail": digests_sql(
+        {name: f"SELECT * FROM ({SELECTS[query]}) {_SUSPECT}" for name, query in _DETAIL.items()}
+        | {"chain": f"""SELECT * FROM chains WHERE ip = '103.44.55.66' OR list_contains(string_split(ip, ' → '), '103.44.55.66')
+          ORDER BY {_rank('max_severity')} DESC, stages_count DESC, first_seen, chain_type, ip LIMIT 1"""}
     ),
-    "report_files": """SELECT 'attacks_csv' AS file, attack_type AS kind, ip, request_count::BIGINT AS n FROM sess
-      UNION ALL SELECT 'attacks_json', attack_type, ip, request_count::BIGINT FROM sess
-      UNION ALL SELECT 'ip_reputation_csv', severity, ip, score::BIGINT FROM rep""",
+    "report_files": digests_sql({
+        "attacks_csv": SELECTS["report_table"], "attacks_json": SELECTS["sessions_enriched"], "ip_reputation_csv": SELECTS["ip_reputation"],
+        "attack_chains_json": "SELECT * FROM chains", "economic_damage_json": SELECTS["damage_estimate"],
+        "narrative_text": f"""SELECT line AS value FROM ({SELECTS["narrative"]}) UNION ALL SELECT '  -> ' || arrow_step FROM ({SELECTS["narrative"]})
+          UNION ALL SELECT unnest([repeat('=', 70), '  ATTACK CHAIN', repeat('=', 70), '', '  Chain:'])""",
+    }),
 }
 
 
+def _live(source: str, first: str, second: str, test: str) -> str:
+    """Alerts of a live burst: hits of the trailing window by second, without those within a window of another."""
+    return f"""SELECT ip, second, first_sum, second_sum FROM (
+      SELECT *, lag(second) OVER (PARTITION BY ip ORDER BY second) AS earlier FROM (
+        SELECT ip, timestamp AS second, (sum(a) OVER w)::BIGINT AS first_sum, (sum(b) OVER w)::BIGINT AS second_sum FROM (
+          SELECT ip, timestamp, sum({first}) AS a, sum({second}) AS b FROM {source} GROUP BY ip, timestamp)
+        WINDOW w AS (PARTITION BY ip ORDER BY timestamp RANGE BETWEEN INTERVAL 10799 SECONDS PRECEDING AND CURRENT ROW))
+      WHERE {test}) WHERE earlier IS NULL OR epoch(second) - epoch(earlier) > 10800"""
+
+
 # Over the rows parsed from text, whose times carry whole seconds
 STREAMS = {
     "stream_parse": SELECTS["parse_enrich"],
     "stream_distributed_login": """SELECT ip, ip_count, start_time, end_time, request_count, total_bytes, coordinated, shared_user_agent FROM d2""",
-    "stream_burst": "SELECT ip FROM burst4",
-    "stream_login_burst": "SELECT ip FROM burst1",
+    "stream_burst": _live("downloads", "bytes", "1", "first_sum >= 5000000 AND second_sum >= 30"),
+    "stream_login_burst": _live(
+        "logins", "is_failed_login::INTEGER", "1 - is_failed_login::INTEGER",
+        "first_sum + second_sum >= 15 AND first_sum >= 0.5 * (first_sum + second_sum)",
+    ),
     "stream_recompute": "SELECT ip, score, severity, is_internal, total_requests FROM rep",
 }
 

@@ -65,18 +65,25 @@ def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
     return recompute.current_scores(spark, out).drop("breakdown")
 
 
+#: Hours of the log at which a new file begins. Bursts lie across some of them.
+FILE_HOURS = (9.5, 10.5, 13.2, 14.5, 24)
+
+
 def _log_folder(spark: SparkSession, folder: str, out: str) -> str:
-    """The derived log as text in six files that mix all times, then a file with the end of the log."""
-    lines = fixture.log_lines(spark, folder)
-    for part in range(6):
-        lines.where(F.col("lineno") % 6 == part).select("value").write.mode("append").text(f"{out}/log")
+    """The derived log as text in six files in order of time, each mixed in itself, then a file with the end of the log."""
+    rows = fixture.raw_requests(spark, folder)
+    hour = (F.unix_seconds("timestamp") - int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())) / 3600
+    number = sum((F.when(hour >= h, 1).otherwise(0) for h in FILE_HOURS), F.lit(0))
+    for part in range(len(FILE_HOURS) + 1):
+        lines = fixture.lines_of(rows.where(number == part)).select("value")
+        lines.orderBy(F.xxhash64("value")).coalesce(1).write.mode("append").text(f"{out}/log")
     end = bursts.END_OF_LOG.format(dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc))
     spark.createDataFrame([(end,)], "value string").coalesce(1).write.mode("append").text(f"{out}/log")
     return f"{out}/log"
 
 
 def _alerted(spark: SparkSession, folder: str, alerts_of) -> DataFrame:
-    """Addresses that alert while the log arrives file by file."""
+    """Alerts with their second and sums while the log arrives file by file, ten minutes of delay allowed."""
     out = _new_folder(spark)
 
     def store(batch: DataFrame, batch_id: int) -> None:
@@ -84,9 +91,9 @@ def _alerted(spark: SparkSession, folder: str, alerts_of) -> DataFrame:
 
     lines = source.stream_lines(spark, _log_folder(spark, folder, out), files_per_batch=1).select("value")
     with bursts.rocksdb_state(spark):
-        query = tables.start(alerts_of(source.stream_requests(lines), delay=DELAY), f"{out}/checkpoint", store, "append", None)
+        query = tables.start(alerts_of(source.stream_requests(lines), delay="10 minutes"), f"{out}/checkpoint", store, "append", None)
     query.awaitTermination()
-    return tables.read_batches(spark, f"{out}/alerts").select("ip").distinct()
+    return tables.read_batches(spark, f"{out}/alerts").select("ip", "second", "first_sum", "second_sum")
 
 
 def stream_burst(spark: SparkSession, folder: str) -> DataFrame:

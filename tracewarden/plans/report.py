@@ -91,6 +91,8 @@ def write_report(result, folder: str, table_format: str = "parquet", mode: str =
 
     def save(name: str, df: DataFrame, fmt: str, **options) -> None:
         paths[name] = f"{folder}/{name}"
+        if fmt in ("csv", "json"):
+            options["timestampFormat"] = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # without it, milliseconds are all that is written
         df.write.mode(mode).format(fmt).options(**options).save(paths[name])
 
     ordered = report_table(sessions).orderBy(F.desc("score"), "start", "attack_type", "ip")
