@@ -6,7 +6,9 @@ LONG = " ".join(f"w{i % 977}x" for i in range(60_000)) + "\n" + "line " * 30
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, fp string, hash string, at string, size string, "
     "score string, spans string, digest string, rank string, rate string, target string, place string, part string, "
-    "run string, block string, a string, b string, node string, root string, toxic string, line string, copies string"
+    "run string, block string, a string, b string, node string, root string, toxic string, line string, copies string, "
+    "_kept_id string, _nth string, _bitmap string, _source string, _toxicity string, _copy string, _rate string, _n_dropped string, "
+    "_id string, __id string, text_hash string"
 )
 TEXTS = [
     (1, "one two three four five"), (2, None), (3, ""), (4, " \t\n "), (5, "one two three four five"), (5, "one two three four five"),
@@ -17,7 +19,7 @@ TEXTS = [
 
 def rows():
     return [
-        (i, t, None if n % 4 == 0 else "en", None if n % 5 == 0 else f"s{n % 3}", None, *["clash"] * 21)
+        (i, t, None if n % 4 == 0 else "en", None if n % 5 == 0 else f"s{n % 3}", None, *["clash"] * 32)
         for n, (i, t) in enumerate(TEXTS)
     ]
 

@@ -52,6 +52,14 @@ def remembered(key: object, make: Callable[[], T]) -> T:
     return _REMEMBERED[key]
 
 
+def free_prefix(*tables: DataFrame) -> str:
+    """Underscores that no column of the tables begins with: names that helpers may take."""
+    names, prefix = [c for t in tables for c in t.columns], "_"
+    while any(c.startswith(prefix) for c in names):
+        prefix += "_"
+    return prefix
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import BLANK_CHARS, ascii_lower, checkpointed, text_of
+from tracewarden.llm.common import BLANK_CHARS, ascii_lower, checkpointed, free_prefix, text_of
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -101,22 +101,20 @@ def kept_lines(lines: Column, bitmap: Column) -> Column:
     return F.when(bitmap.isNull(), lines).otherwise(F.filter(lines, stays))
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``_bitmap`` and ``_n_dropped``, null where all lines stay."""
-    named = bitmaps.select(*[F.col(c).alias(f"_{c}") for c in bitmaps.columns]).hint("shuffle_hash")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (_text_hash() == F.col("_text_hash"))
-    return docs.join(named, same, "left").drop("_doc_id", "_text_hash")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, prefix: str = "_") -> DataFrame:
+    """``docs`` with ``_bitmap`` and ``_n_dropped`` (or another prefix), null where all lines stay."""
+    named = bitmaps.select(*[F.col(c).alias(prefix + c) for c in bitmaps.columns]).hint("shuffle_hash")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{prefix}doc_id")) & (_text_hash() == F.col(f"{prefix}text_hash"))
+    return docs.join(named, same, "left").drop(f"{prefix}doc_id", f"{prefix}text_hash")
 
 
 def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with repeated lines gone from ``text`` and all other columns as they were.
 
     A text that loses nothing stays as it is, a null one null; a text that loses every
-    line is empty. A column ``n_chars`` keeps its old value. ``_bitmap`` and the other
-    underscored helper names must not clash with columns of ``docs``.
+    line is empty. A column ``n_chars`` keeps its old value. Columns may have any name.
     """
-    marked = with_bitmaps(docs, keep_bitmaps(docs, **settings))
-    text = F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(
-        F.array_join(kept_lines(lines_of(text_of()), F.col("_bitmap")), "\n")
-    )
+    prefix = free_prefix(docs)
+    marked, bitmap = with_bitmaps(docs, keep_bitmaps(docs, **settings), prefix), F.col(f"{prefix}bitmap")
+    text = F.when(bitmap.isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines_of(text_of()), bitmap), "\n"))
     return marked.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import BLANKS, checkpointed, text_of, with_position
+from tracewarden.llm.common import BLANKS, checkpointed, free_prefix, text_of, with_position
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -67,10 +67,10 @@ def copies(rate: Column, ids: Column, seed: str = SEED) -> Column:
     return whole + F.when(draw(ids, seed) < rate - whole, 1).otherwise(0)
 
 
-def _rated(docs: DataFrame, rates: DataFrame) -> DataFrame:
+def _rated(docs: DataFrame, rates: DataFrame, prefix: str = "_") -> DataFrame:
     """``docs`` beside their source's row of ``rates``; a hot source stays spread, Spark splits its rows."""
-    named = rates.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in rates.columns if c != "source"])
-    return docs.join(named, F.col("source").eqNullSafe(F.col("_source")))
+    named = rates.select(*[F.col(c).alias(prefix + c) for c in rates.columns])
+    return docs.join(named, F.col("source").eqNullSafe(F.col(f"{prefix}source")))
 
 
 def plan(docs: DataFrame, **settings) -> DataFrame:
@@ -95,10 +95,10 @@ def plan(docs: DataFrame, **settings) -> DataFrame:
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the plan says, with the columns of ``docs``.
 
-    Columns whose names begin with ``_source``, ``_target``, ``_rate`` or ``_copy`` must not
-    clash; all else may. Cases are defined as in :func:`plan`.
+    Columns may have any name. Cases are defined as in :func:`plan`.
     """
+    prefix = free_prefix(docs)
     sizes = docs.select("source", n_words(text_of()).alias("size"))
-    rated = _rated(docs, targets(sizes, **settings))
-    times = copies(F.col("_rate"), F.col("doc_id")).cast("int")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rated = _rated(docs, targets(sizes, **settings), prefix)
+    times = copies(F.col(f"{prefix}rate"), F.col("doc_id")).cast("int")
+    return rated.withColumn(f"{prefix}copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"`{c}`") for c in docs.columns])

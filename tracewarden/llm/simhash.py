@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import checkpointed
+from tracewarden.llm.common import checkpointed, free_prefix, text_of
 from tracewarden.llm.components import connected
 
 SHINGLE_WORDS = 3
@@ -59,14 +59,21 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the 64 bits) of every row."""
+    """``doc_id, text_hash, fp`` (a signed long with the 64 bits) of every row."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py() or "", shingle_words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))})
+            out = {"doc_id": batch.column(0), "text_hash": batch.column(2), "fp": pa.array(found.view(np.int64))}
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text").mapInArrow(compute, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_hash())
+    return rows.mapInArrow(compute, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash() -> Column:
+    """Tells rows with the same id and different texts apart; null and empty texts are alike."""
+    return F.xxhash64(text_of()).alias("text_hash")
 
 
 class BKTree:
@@ -196,6 +203,15 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -
     )
 
 
+def _grouped(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+    """``doc_id, text_hash, fp`` of every row, and ``root``, one fingerprint of its group."""
+    marked = checkpointed(fingerprints(docs, shingle_words))
+    prints = checkpointed(marked.select("fp").distinct())
+    roots = connected(links(prints, radius, tree_size)).select(F.col("node").alias("fp"), "root")
+    placed = prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return marked.join(placed, "fp")
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tree_size: int = TREE_SIZE
 ) -> DataFrame:
@@ -206,27 +222,28 @@ def near_duplicates(
     group's smallest (a group of null ids only has a null ``component_id``); repeated rows all
     come out; an empty table gives no rows. Other columns are not read.
     """
-    marked = checkpointed(fingerprints(docs, shingle_words))
-    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    roots = connected(links(prints.select("fp"), radius, tree_size))
-    placed = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fp"))
-    groups = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    of_print = placed.join(groups, "root").select("fp", "component_id")
-    return marked.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    placed = _grouped(docs, shingle_words, radius, tree_size)
+    smallest = placed.groupBy("fp", "root").agg(F.min("doc_id").alias("id")).groupBy("root").agg(F.min("id").alias("component_id"))
+    return placed.join(smallest, "root").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all their columns.
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id.
 
-    Rows that repeat an id are copies: the one with the smallest text hash stays. A row
-    without an id can't be named as anyone's copy and stays. Columns may have any name.
+    Rows are told apart by id and text: of rows with one id in one group, that with the smallest text
+    hash stays; in different groups each stays. Exact repeats are one row. A row without an id can't be
+    named as anyone's copy and stays. Columns may have any name.
     """
-    found = near_duplicates(docs, **settings)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.join(stays, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    prefix = free_prefix(docs)
+    id_, hash_, nth = (prefix + n for n in ("id", "hash", "nth"))
+    placed = _grouped(docs, **settings).where("doc_id IS NOT NULL")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    stays = placed.groupBy("fp", "root").agg(first.alias("first")).groupBy("root").agg(F.min("first").alias("first"))
+    stays = stays.select(F.col("first.doc_id").alias(id_), F.col("first.text_hash").alias(hash_))
+    same = (docs["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(hash_))
+    named = docs.join(stays, same, "left_semi")
+    again = Window.partitionBy("doc_id", F.xxhash64(text_of())).orderBy(F.xxhash64("text"))
+    named = named.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).drop(nth)
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewarden.llm.chunks import slices
-from tracewarden.llm.common import checkpointed, remembered
+from tracewarden.llm.common import checkpointed, free_prefix, remembered
 
 #: Labelled rows that lexicon and regression are fitted on, and entries of the lexicon, at most.
 TRAIN_ROWS = 10_000
@@ -372,5 +372,5 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    model = train(docs.select("doc_id", "text"), labels)
-    return with_score(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    model, score = train(docs.select("doc_id", "text"), labels), free_prefix(docs) + "toxicity"
+    return with_score(docs, model, score).where(F.col(score) < threshold).drop(score)
