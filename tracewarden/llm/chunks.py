@@ -83,10 +83,16 @@ class LibraryEncoder(ChunkEncoder):
         return self.whole.encode(chunk, add_special_tokens=False).ids
 
 
-def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ``ids`` one after the other, and where each begins (with the total at the end)."""
+def runs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of an array one after the other, and where each begins among them (with the total at the end)."""
     ends = np.concatenate(([0], np.cumsum(sizes)))
-    return ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+    return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]), ends
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``ids`` one after the other, and where each begins."""
+    places, ends = runs(starts, sizes)
+    return ids[places], ends
 
 
 class ChunkTable:

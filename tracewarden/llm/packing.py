@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm.chunks import LibraryEncoder, gathered, load_vocabulary, slices, table_of
+from tracewarden.llm.chunks import LibraryEncoder, load_vocabulary, runs, slices, table_of
 from tracewarden.llm.common import checkpoint_folder, text_of
 
 WINDOW = 4096
@@ -73,9 +73,10 @@ def signs(size: int) -> np.ndarray:
 
 def distinct(ids: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct ids of every text in order, their numbers, and where each text's begin (with the total at the end)."""
-    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    keys, counts = np.unique(owner * size + ids, return_counts=True)
-    return keys % size, counts, np.searchsorted(keys, np.arange(len(ends)) * size)
+    kind = np.uint32 if len(ends) * size < 1 << 32 else np.int64  # short keys are sorted much faster
+    firsts = np.arange(len(ends)).astype(kind) * kind(size)
+    keys, counts = np.unique(np.repeat(firsts[:-1], np.diff(ends)) + ids.astype(kind), return_counts=True)
+    return (keys % kind(size)).astype(np.int64), counts, np.searchsorted(keys, firsts)
 
 
 def codes(terms: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -143,7 +144,7 @@ class Shard:
         owner = np.repeat(np.arange(len(units)), np.diff(self.starts))
         weight = stats.idf[self.terms] * (counts * (K1 + 1) / (counts + K1 * (1 - B + B * self.lengths[owner] / stats.average)))
         order = np.argsort(self.terms, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
+        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
         self.begin = np.searchsorted(self.terms[order], np.arange(size + 1))
         self.unused = np.ones(len(units), bool)
 
@@ -151,7 +152,7 @@ class Shard:
         """BM25 of every unit for the distinct ids of one."""
         asked = self.terms[self.starts[unit] : self.starts[unit + 1]]
         first, n = self.begin[asked], self.begin[asked + 1] - self.begin[asked]
-        postings, _ = gathered(np.arange(len(self.owner)), first, n)
+        postings, _ = runs(first, n)
         return np.bincount(self.owner[postings], self.weight[postings], len(self.units))
 
     def neighbours(self, unit: int) -> np.ndarray:
