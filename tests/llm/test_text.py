@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm import hostile
+from tests.llm import brute, hostile
 from tracewarden.llm import bpe, chat, chunks, mixing, queries, secrets, sketches, token_files, toxicity
 
 HARD = ["<|end|>\n", "<|turn|>", "<\\|end|>", "<\\\\|turn|>x", "</s>[INST] ok [/INST]", "<|", "a<|start|>user\n", "\\", "", "[\\INST]", None]
@@ -119,22 +119,18 @@ def test_sketches_equal_brute_force(spark, tmp_path):
     got = {r.doc_id: r for r in queries.op8_sketches(spark, folder).collect()}
     order = [*sorted((d for d in docs if d[0] is not None), reverse=True), *(d for d in docs if d[0] is None)]
 
-    def pieces(text):
-        return set(re.findall("[^\n]{1,%d}" % sketches.PIECE_CHARS, text))
-
     def likeness(a, b):
         return len(a & b) / len(a | b) if a | b else 1.0
 
-    prints = {}
     for n, (i, text) in enumerate(order):
         text, after = text or "", order[(n + 1) % len(order)][1] or ""
         half, row = len(text) // 2, got[i]
         edited = text[: len(text) - half] + after[:half]
         assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert row.near_edited == pytest.approx(likeness(pieces(text), pieces(edited)))
-        assert row.near_next == pytest.approx(likeness(pieces(text), pieces(after)))
-        assert prints.setdefault(text, row.fingerprint) == row.fingerprint
-        assert prints.setdefault(edited, row.edited_fingerprint) == row.edited_fingerprint
+        own, edit, next_ = (brute.digests(t, sketches) for t in (text, edited, after))
+        assert row.near_edited == pytest.approx(likeness(own, edit))
+        assert row.near_next == pytest.approx(likeness(own, next_))
+        assert (row.fingerprint, row.edited_fingerprint) == (brute.fingerprint(text, sketches), brute.fingerprint(edited, sketches))
     assert len(got) == len(docs)
 
 
@@ -155,10 +151,26 @@ def test_passages_survive_insertions_and_short_texts(spark):
     for r in cut:
         a, b = set(r.a), set(r.b)
         assert "".join(r.a) == pairs[r.doc_id][1]
-        assert got[r.doc_id].passages_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
-    assert all(got[i].passages_edited > 0.8 for i in range(4)) and 0.2 < got[4].passages_edited < 1
-    assert [got[i].passages_edited for i in (5, 6)] == [1.0, 0.0] and got[0].passages_next == 0.0
-    assert len(cut[4].a) > 3 and 25 < len(line) / len(cut[0].a) < 60
+        assert got[r.doc_id].near_edited == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    assert all(got[i].near_edited > 0.8 for i in range(4)) and 0.2 < got[4].near_edited < 1
+    assert [got[i].near_edited for i in (5, 6)] == [1.0, 0.0] and got[0].near_next == 0.0
+    assert len(cut[4].a) > 3 and 60 < len(line) / len(cut[0].a) < 200
+
+
+def test_stored_fingerprints_are_compared_without_texts(spark):
+    """Sketches of unlike sizes, brought to one number of groups."""
+    rng = random.Random(28)
+    lines = ["".join(rng.choice("abcdefghij") for _ in range(20)) for _ in range(1400)]
+    n_groups = [int(brute.fingerprint("\n".join(lines[:n]), sketches).split(":")[0], 16) for n in range(300)]
+    grows = [(n, n - 1) for n in range(1, 300) if n_groups[n] != n_groups[n - 1]]
+    assert len(grows) >= 4
+    pairs = [(1400, 1395), (30, 31), (9, 8), (100, 90), (0, 0), (1, 0), *grows]
+    df = spark.createDataFrame([(a, b, "\n".join(lines[:a]), "\n".join(lines[:b])) for a, b in pairs], "a int, b int, x string, y string")
+    prints = df.select("a", "b", *[sketches.fingerprint(sketches.sketch(sketches.passage_digests(F.col(c)))).alias(c) for c in "xy"])
+    sizes = prints.select("a", "b", "x", "y", sketches.n_digests(sketches.stored(F.col("x"))).alias("n"))
+    for r in sizes.select("*", sketches.likeness(F.col("x"), F.col("y")).alias("near")).collect():
+        x, y = (brute.digests("\n".join(lines[:n]), sketches) for n in (r.a, r.b))
+        assert r.n == len(x) and r.near == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0), (r.a, r.b)
 
 
 def test_sketches_of_hostile_rows_without_python(spark):
@@ -166,6 +178,8 @@ def test_sketches_of_hostile_rows_without_python(spark):
     assert rows.count() == len(hostile.TEXTS)
     found = sketches.compare_versions(rows.select("doc_id", "text", "next_text", F.col("text").alias("edited")))
     assert {r.near_edited for r in found.collect()} == {1.0}
+    nulls = spark.createDataFrame([(1, None, "a", None), (2, "b", None, "b")], "doc_id long, text string, edited string, next_text string")
+    assert [(r.n_chars, r.near_edited, r.near_next) for r in sketches.compare_versions(nulls).orderBy("doc_id").collect()] == [(0, 0.0, 1.0), (1, 0.0, 1.0)]
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
     assert sketches.with_next(hostile.no_docs(spark)).count() == 0
 

@@ -1,14 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A text is cut into passages: lines, cut further before words that a hash of the word and the one
-before it picks, about every 40 characters. So a cut depends on the words next to it alone, an
-insertion moves no other cut, and short texts have several passages. Passages are hashed; the
-distinct digests are dealt by their lowest bits into groups of about ``GROUP_LOAD``, and each
-group is a small table of cells with three places for a digest. A cell holds the number of
-its digests and the XOR of them and of their check hashes. Tables of two versions subtract
-cell by cell; what both hold is gone, and peeling recovers the digests in which they differ:
-a cell with one digest gives it away, and taking it out of its other places uncovers more.
-Where peeling gets stuck, the group is retried with twice the cells.
+before it picks, one in ``WORDS_A_CUT`` of the first ``DENSE_WORDS`` and fewer behind them. So a cut depends on
+the words next to it alone, an insertion moves a bounded number of cuts, and short texts have several
+passages. Passages are hashed; the distinct digests are dealt by their lowest bits into groups of
+about ``GROUP_LOAD``, and each group is a small table of cells with three places for a digest. A cell
+holds the XOR of its digests and the sum of their marks, which count them in the lowest bits
+and check them in the others. That is the fingerprint. Two of them are brought to one number of
+groups by adding up cells, and subtracted cell by cell; what both hold is gone, and peeling recovers the
+digests in which the texts differ: a cell with one digest gives it away, and taking it out of
+its other places uncovers more. Where peeling gets stuck, the texts are sketched anew, larger.
 
 All of it is column functions within a row: no shuffle, and work in proportion to the text.
 """
@@ -20,23 +21,26 @@ from pyspark.sql import functions as F
 
 from tracewarden.llm.common import checkpointed, text_of
 
-PIECE_CHARS = 150
-#: One word in so many starts a passage. Tokens of more bytes than ``LONG_TOKEN`` (texts without blanks) are
-#: cut at one character in ``CHARS_A_CUT``, by a hash of four characters. Without any cut, as in a text that
-#: repeats one word, a passage ends at the last blank within ``PASSAGE_CHARS`` code points.
+#: One word in so many starts a passage, of the words behind the first ones only one in ``SPARSER`` of these. Tokens
+#: of more bytes than ``LONG_TOKEN`` (texts without blanks) are cut at one character in ``CHARS_A_CUT``, by a hash of
+#: four characters. Without any cut, as in a text that repeats one word, a passage ends at the last
+#: blank within ``PASSAGE_CHARS`` code points.
 WORDS_A_CUT = 6
+DENSE_WORDS, SPARSER = 30, 5
 LONG_TOKEN = 60
-CHARS_A_CUT = 40
-PASSAGE_CHARS = 300
+CHARS_A_CUT = 80
+PASSAGE_CHARS = 1200
 _PASSAGE = "[^\\n]{1,%d}(?:(?<= )|(?=\\n)|\\z)|[^\\n]{1,%d}" % (PASSAGE_CHARS, PASSAGE_CHARS)
 GROUP_LOAD = 8
-#: Cells in each of a group's three sub-tables: of a fingerprint, and when comparing, from the first attempt on.
+#: Digests of both texts in a group, where they are sketched anew.
+LOAD_ANEW = 12
+#: Cells in each of a group's three sub-tables: of a fingerprint, and when texts are sketched anew, with more groups.
 WIDTH = 8
-WIDTHS = (8, 24, 96)
+WIDTHS = (8, 24)
 #: Rounds of peeling; a difference that needs more is retried.
 ROUNDS = 8
 _CHECK_SEED = 77
-_CELL = "array<struct<n:int,k:bigint,h:bigint>>"
+_CELL = "array<struct<k:bigint,m:bigint>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -44,12 +48,6 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def digests(text: Column) -> Column:
-    """The distinct digests of a text's lines, cut every ``PIECE_CHARS`` code points, in no order. An insertion moves all later cuts of its line."""
-    pieces = F.regexp_extract_all(text, F.lit("[^\\n]{1,%d}" % PIECE_CHARS), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
-
-
 def passages(text: Column) -> Column:
     """The passages of a text in order: lines, cut further where the neighbouring words say so."""
 
@@ -68,7 +66,8 @@ def passages(text: Column) -> Column:
     def marked(tokens: Column) -> Column:
         def token(w: Column, i: Column) -> Column:
             whole = F.when(F.octet_length(w) > LONG_TOKEN, inside(w)).otherwise(w)
-            starts = F.pmod(F.xxhash64(F.get(tokens, i - 1), w), F.lit(WORDS_A_CUT)) == 0
+            one_in = F.when(i < DENSE_WORDS, WORDS_A_CUT).otherwise(WORDS_A_CUT * SPARSER)
+            starts = F.pmod(F.xxhash64(F.get(tokens, i - 1), w), one_in) == 0
             return F.when(starts, F.concat(F.lit("\n"), whole)).otherwise(whole)
 
         return F.array_join(F.transform(tokens, token), " ")
@@ -81,33 +80,44 @@ def passage_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(passages(text), lambda p: F.xxhash64(p)))
 
 
-def n_groups(n: Column) -> Column:
+def n_groups(n: Column, load: int = GROUP_LOAD) -> Column:
     """The power of two that brings ``n`` digests down to the load of a group."""
-    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(GROUP_LOAD)) / GROUP_LOAD))).cast("int")
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(load)) / load))).cast("int")
 
 
 def grouped(items: Column, groups: Column) -> Column:
-    """Digests by group: first into at most 64 by their lowest bits, then each of these further, so no digest is met more than 64 times a step."""
-    coarse = F.least(groups, F.lit(64))
+    """Digests by their lowest bits, in the order of these.
 
-    def fine(c: Column) -> Column:
-        own = F.filter(items, lambda d: d.bitwiseAND((coarse - 1).cast("long")) == c)
-        rest = (groups / coarse).cast("int")
-        return _let(
-            own,
-            lambda own: F.transform(
-                F.sequence(F.lit(0), rest - 1),
-                lambda f: F.filter(own, lambda d: F.shiftrightunsigned(d, 6).bitwiseAND((rest - 1).cast("long")) == f),
-            ),
-        )
+    They are dealt by the upper half of the bits first, then each part by the lower half, so a digest is
+    met about twice the root of the number of groups.
+    """
+    bits = F.floor(F.log2(groups) / 2).cast("int")
+
+    def parts(s: Column) -> Column:
+        def part(h: Column) -> Column:
+            own = F.filter(items, lambda d: F.call_function("shiftrightunsigned", d, s["bits"]).bitwiseAND(s["upper"] - 1) == h)
+            return _let(
+                own,
+                lambda own: F.transform(
+                    F.sequence(F.lit(0).cast("long"), s["lower"] - 1), lambda l: F.filter(own, lambda d: d.bitwiseAND(s["lower"] - 1) == l)
+                ),
+            )
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), coarse - 1), fine))
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), s["upper"] - 1), part))
+
+    lower = F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+    return _let(F.struct(bits.alias("bits"), lower.alias("lower"), (groups / lower).cast("long").alias("upper")), parts)
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(_CHECK_SEED))
 
 
+def _mark(check: Column) -> Column:
+    """32 bits of the check above 16 bits for the number of digests, here one; sums of 32,767 marks fit a long."""
+    return F.shiftleft(check.bitwiseAND(F.lit((1 << 32) - 1)), 16) + 1
+
+
 def _place(check: Column, table: int, width: int) -> Column:
     """The cell of a digest in one of the three sub-tables."""
     return F.shiftrightunsigned(check, 20 * table).bitwiseAND(F.lit((1 << 20) - 1)) % width
@@ -115,23 +125,22 @@ def _place(check: Column, table: int, width: int) -> Column:
 
 def cells(items: Column, width: int) -> Column:
     """The table of a group: three times ``width`` cells."""
-
-    def cell(own: Column) -> Column:
-        return F.struct(
-            F.size(own).alias("n"),
-            F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["k"])).alias("k"),
-            F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x["h"])).alias("h"),
-        )
+    nothing = F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("m"))
 
     def placed(digest: Column) -> Column:
         def entry(h: Column) -> Column:
-            return F.struct(digest.alias("k"), h.alias("h"), *[_place(h, t, width).alias(f"c{t}") for t in range(3)])
+            return F.struct(digest.alias("k"), _mark(h).alias("m"), *[_place(h, t, width).alias(f"c{t}") for t in range(3)])
 
         return _let(_check(digest), entry)
 
     def table(entries: Column, t: int) -> Column:
+        def taken(cell: Column, e: Column) -> Column:
+            return F.struct(cell["k"].bitwiseXOR(e["k"]).alias("k"), (cell["m"] + e["m"]).alias("m"))
+
         own = F.sequence(F.lit(0), F.lit(width - 1))
-        return F.transform(own, lambda j: _let(F.filter(entries, lambda e: e[f"c{t}"] == j), cell))
+        return F.transform(
+            own, lambda j: F.aggregate(entries, nothing, lambda cell, e: F.when(e[f"c{t}"] == j, taken(cell, e)).otherwise(cell))
+        )
 
     def tables(entries: Column) -> Column:
         return F.concat(*[table(entries, t) for t in range(3)])
@@ -139,44 +148,47 @@ def cells(items: Column, width: int) -> Column:
     return _let(F.transform(items, placed), tables)
 
 
-def subtract(left: Column, right: Column) -> Column:
+def _cellwise(left: Column, right: Column, marks) -> Column:
     return F.zip_with(
-        left,
-        right,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h")
-        ),
+        left, right, lambda a, b: F.struct(a["k"].bitwiseXOR(b["k"]).alias("k"), marks(a["m"], b["m"]).alias("m"))
     )
 
 
+def subtract(left: Column, right: Column) -> Column:
+    return _cellwise(left, right, lambda a, b: a - b)
+
+
+def _empty(cell: Column) -> Column:
+    return (cell["k"] == 0) & (cell["m"] == 0)
+
+
 def peel(difference: Column, width: int) -> Column:
     """The digests in which two tables differ, or null if peeling got stuck."""
 
     def pure(table: Column) -> Column:
-        found = F.filter(table, lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        return F.array_distinct(
-            F.transform(
-                found,
-                lambda c: F.struct(
-                    c["n"].alias("n"), c["k"].alias("k"), c["h"].alias("h"),
-                    *[(_place(c["h"], t, width) + t * width).cast("int").alias(f"c{t}") for t in range(3)],
-                ),
-            )
-        )
+        def entry(c: Column) -> Column:
+            def found(h: Column) -> Column:
+                places = [_place(h, t, width).cast("int").alias(f"c{t}") for t in range(3)]
+                return F.when(F.abs(c["m"]) == _mark(h), F.struct(c["k"].alias("k"), c["m"].alias("m"), *places))
+
+            return _let(_check(c["k"]), found)
+
+        # one digest, on one side: its number is 1 or -1
+        single = F.filter(table, lambda c: F.abs(c["m"]).bitwiseAND(F.lit(0xFFFF)) == 1)
+        return F.array_distinct(F.array_compact(F.transform(single, entry)))
 
     def without(found: Column, table: Column) -> Column:
-        def take(c: Column, j: Column) -> Column:
-            mine = F.filter(found, lambda p: (p["c0"] == j) | (p["c1"] == j) | (p["c2"] == j))
-            rest = F.aggregate(
-                mine,
-                c,
-                lambda a, p: F.struct(
-                    (a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["h"].bitwiseXOR(p["h"]).alias("h")
-                ),
-            )
-            return F.when((c["n"] == 0) & (c["k"] == 0), c).otherwise(rest)  # nothing left in it
+        def less(cell: Column, p: Column) -> Column:
+            return F.struct(cell["k"].bitwiseXOR(p["k"]).alias("k"), (cell["m"] - p["m"]).alias("m"))
 
-        return F.transform(table, take).cast(_CELL)
+        def part(t: int) -> Column:
+            def take(c: Column, j: Column) -> Column:
+                rest = F.aggregate(found, c, lambda cell, p: F.when(p[f"c{t}"] == j, less(cell, p)).otherwise(cell))
+                return F.when(_empty(c), c).otherwise(rest)
+
+            return F.transform(F.slice(table, t * width + 1, width), take)
+
+        return F.concat(*map(part, range(3))).cast(_CELL)
 
     def peeled(state: Column) -> Column:
         return _let(
@@ -192,12 +204,14 @@ def peel(difference: Column, width: int) -> Column:
         return F.when(state["more"], peeled(state)).otherwise(state)
 
     none = F.array().cast("array<bigint>")
-    start = F.struct(difference.cast(_CELL).alias("cells"), none.alias("out"), F.lit(True).alias("more"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
-    return _let(
-        done,
-        lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)), s["out"]),
-    )
+
+    def whole(cells_: Column) -> Column:
+        start = F.struct(cells_.cast(_CELL).alias("cells"), none.alias("out"), F.lit(True).alias("more"))
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+        peeled_ = _let(done, lambda s: F.when(F.forall(s["cells"], _empty), s["out"]))
+        return F.when(F.forall(cells_, _empty), none).otherwise(peeled_)
+
+    return _let(difference, whole)
 
 
 def differing(left: Column, right: Column) -> Column:
@@ -206,28 +220,99 @@ def differing(left: Column, right: Column) -> Column:
     return F.coalesce(*attempts, F.concat(F.array_except(left, right), F.array_except(right, left)))
 
 
-def fingerprint(items: Column) -> Column:
-    """The sketch of a text as hexadecimal text: the number of groups, then number, digests and checks of each cell."""
+def sketch(items: Column) -> Column:
+    """The fingerprint of a text's digests: an array of groups, each a table of cells."""
+    groups = n_groups(F.size(items))
+    return F.transform(_let(groups, lambda g: grouped(items, g)), lambda group: cells(group, WIDTH))
+
+
+def fingerprint(tables: Column) -> Column:
+    """A sketch as hexadecimal text: the number of groups, then digests and marks of each cell."""
 
     def shown(c: Column) -> Column:
-        return F.concat(*[F.lpad(F.hex(c[x]), n, "0") for x, n in (("n", 2), ("k", 16), ("h", 16))])
+        return F.concat(F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["m"]), 16, "0"))
+
+    told = F.array_join(F.transform(F.flatten(tables), shown), "")
+    return F.lower(F.concat(F.hex(F.size(tables)), F.lit(":"), told))
+
+
+def stored(print_: Column) -> Column:
+    """The sketch behind a fingerprint's text."""
+    number = lambda text: F.conv(text, 16, -10).cast("bigint")
+
+    def table(group: Column) -> Column:
+        words = F.regexp_extract_all(group, F.lit(".{32}"), F.lit(0))
+        return F.transform(words, lambda w: F.struct(number(F.substring(w, 1, 16)).alias("k"), number(F.substring(w, 17, 16)).alias("m")))
+
+    groups = F.regexp_extract_all(F.substring_index(print_, ":", -1), F.lit(".{%d}" % (3 * WIDTH * 32)), F.lit(0))
+    return F.transform(groups, table)
+
+
+def folded(tables: Column, groups: Column) -> Column:
+    """A sketch brought to fewer groups (a smaller power of two), as if it had been made with these."""
+    none = F.array_repeat(F.struct(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("m")), 3 * WIDTH)
+
+    def sum_of(g: Column) -> Column:
+        own = F.filter(tables, lambda _, i: i % groups == g)
+        return F.aggregate(own, none, lambda a, b: _cellwise(a, b, lambda x, y: x + y))
+
+    return F.when(F.size(tables) == groups, tables).otherwise(F.transform(F.sequence(F.lit(0), groups - 1), sum_of))
+
+
+def n_digests(tables: Column) -> Column:
+    """How many digests a sketch holds: each counts in three cells."""
+    per_cell = F.transform(F.flatten(tables), lambda c: c["m"].bitwiseAND(F.lit(0xFFFF)))
+    return F.aggregate(per_cell, F.lit(0).cast("long"), lambda a, n: a + n) / 3
+
 
-    def of(groups: Column) -> Column:
-        tables = F.flatten(F.transform(grouped(items, groups), lambda g: cells(g, WIDTH)))
-        return F.concat(F.hex(groups), F.lit(":"), F.array_join(F.transform(tables, shown), ""))
+def n_differing(left: Column, right: Column) -> Column:
+    """How many digests two sketches do not share; null where peeling gets stuck, or a size says that it would."""
 
-    return F.lower(_let(n_groups(F.size(items)), of))
+    def at(groups: Column) -> Column:
+        parts = F.zip_with(
+            folded(left, groups), folded(right, groups), lambda a, b: F.size(_found(peel(subtract(a, b), WIDTH)))
+        )
+        return F.aggregate(parts, F.lit(0), lambda total, n: total + n)
+
+    alike = F.greatest(F.size(left), F.size(right)) < 4 * F.least(F.size(left), F.size(right))
+    return F.when(alike, _let(F.least(F.size(left), F.size(right)), at))
+
+
+def _found(peeled: Column) -> Column:
+    """Keeps the size of a null list null."""
+    return F.when(peeled.isNotNull(), peeled)
+
+
+def n_differing_anew(left: Column, right: Column) -> Column:
+    """The same from digests: sketches with as many groups as both texts' digests need."""
+
+    def at(groups: Column) -> Column:
+        parts = F.zip_with(grouped(left, groups), grouped(right, groups), lambda a, b: F.size(differing(a, b)))
+        return F.aggregate(parts, F.lit(0), lambda total, n: total + n)
+
+    return _let(n_groups(F.size(left) + F.size(right), LOAD_ANEW), at)
 
 
-def likeness(left: Column, right: Column, groups: Column) -> Column:
-    """Shared digests over all digests, from what subtracting and peeling recovers. Two empty texts are alike."""
+def _likeness(all_: Column, differ: Column) -> Column:
+    """Shared digests over all digests, from the number in both texts and the number of differing ones."""
 
-    def shared(differ: Column) -> Column:
-        both = (F.size(left) + F.size(right) - differ) / 2
-        return F.when(both + differ == 0, F.lit(1.0)).otherwise(both / (both + differ))
+    def shared(n: Column) -> Column:
+        both = (all_ - n) / 2
+        return F.when(all_ + n == 0, F.lit(1.0)).otherwise(both / (both + n))
 
-    parts = F.zip_with(grouped(left, groups), grouped(right, groups), lambda a, b: F.size(differing(a, b)))
-    return _let(F.aggregate(parts, F.lit(0), lambda total, n: total + n), shared)
+    return _let(differ, shared)
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """Shared digests over all digests of two stored fingerprints (text), without their documents.
+
+    Two empty texts are alike. Null where peeling gets stuck, as it does when the texts
+    differ in most of their passages; ``compare_versions`` then sketches them anew.
+    """
+    return _let(
+        F.struct(stored(left).alias("l"), stored(right).alias("r")),
+        lambda p: _likeness(n_digests(p["l"]) + n_digests(p["r"]), n_differing(p["l"], p["r"])),
+    )
 
 
 #: Rows of a run of neighbours, and ranges that ids are first cut into.
@@ -272,48 +357,35 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def compare_versions(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, passages_edited, passages_next,
-    near_edited, near_next`` from ``doc_id, text, edited, next_text``.
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` from
+    ``doc_id, text, edited, next_text``.
 
-    Fingerprints and ``passages_…`` are over passages. ``near_…`` are over lines with fixed cuts,
-    which lose the likeness of short texts and of everything in a line behind an insertion.
-
-    Defined cases: an empty text has a fingerprint of empty cells; two empty texts have
-    likeness 1; repeated passages count once; a text's fingerprint depends on nothing else.
+    ``near_…`` are the likeness of the fingerprints. Defined cases: a null text, edited or next text is empty;
+    an empty text has a fingerprint of empty cells; two empty texts have likeness 1; repeated
+    passages count once; a text's fingerprint depends on nothing else.
     """
-    # Digests are stored before they are compared, so that the long expressions are planned once and not after each shuffle.
+    texts = {"own": "text", "edit": "edited", "next": "next_text"}
+    # Digests, then sketches are stored before they are used, so that the long expressions are planned once.
     hashed = rows.select(
         "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("own"),
-        digests(F.col("edited")).alias("edit"),
-        digests(F.col("next_text")).alias("next"),
-        passage_digests(F.col("text")).alias("own_p"),
-        passage_digests(F.col("edited")).alias("edit_p"),
-        passage_digests(F.col("next_text")).alias("next_p"),
+        F.length(text_of()).cast("long").alias("n_chars"),
+        F.sha2(text_of("edited"), 256).alias("edited_sha256"),
+        *[passage_digests(text_of(column)).alias(name) for name, column in texts.items()],
     )
+    sketched = checkpointed(hashed).withColumns({f"{name}_print": sketch(F.col(name)) for name in ("own", "edit")})
 
-    def groups_of(*names: str) -> Column:
-        return n_groups(F.greatest(*map(F.size, names)))
+    def near(name: str, differ: Column) -> Column:
+        return _likeness((F.size("own") + F.size(name)).cast("double"), differ)
 
-    staged = checkpointed(hashed).withColumns(
-        {
-            "groups": groups_of("own", "edit", "next"),
-            "groups_e": groups_of("own_p", "edit_p"),
-            "groups_n": groups_of("own_p", "next_p"),
-        }
-    )
-    own, edit, next_, groups = map(F.col, ("own", "edit", "next", "groups"))
-    own_p, edit_p, next_p = map(F.col, ("own_p", "edit_p", "next_p"))
-    return staged.select(
+    # Versions of a text share most, so their fingerprints are subtracted first. The next document mostly shares
+    # nothing: no table of a fingerprint's size would peel, so both are sketched as large as both need.
+    edited = F.coalesce(n_differing(F.col("own_print"), F.col("edit_print")), n_differing_anew(F.col("own"), F.col("edit")))
+    return sketched.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(own_p).alias("fingerprint"),
-        fingerprint(edit_p).alias("edited_fingerprint"),
-        likeness(own_p, edit_p, F.col("groups_e")).alias("passages_edited"),
-        likeness(own_p, next_p, F.col("groups_n")).alias("passages_next"),
-        likeness(own, edit, groups).alias("near_edited"),
-        likeness(own, next_, groups).alias("near_next"),
+        fingerprint(F.col("own_print")).alias("fingerprint"),
+        fingerprint(F.col("edit_print")).alias("edited_fingerprint"),
+        near("edit", edited).alias("near_edited"),
+        near("next", n_differing_anew(F.col("own"), F.col("next"))).alias("near_next"),
     )
