@@ -65,31 +65,37 @@ def stream_recompute(spark: SparkSession, folder: str) -> DataFrame:
     return recompute.current_scores(spark, out).drop("breakdown")
 
 
-#: Hours of the log at which a new file begins. Bursts lie across some of them.
-FILE_HOURS = (9.5, 10.5, 13.2, 14.5, 24)
+#: Hours of the log at which a new part begins. Bursts lie across some of them.
+PART_HOURS = (9.5, 10.5, 13.2, 14.5, 24)
 
 
-def _log_folder(spark: SparkSession, folder: str, out: str) -> str:
-    """The derived log as text in six files in order of time, each mixed in itself, then a file with the end of the log."""
+def _log_folder(spark: SparkSession, folder: str, out: str, files: int) -> str:
+    """The derived log as text in six parts in order of time, each mixed in itself, then a file with the end of the log.
+
+    A part is written by as many tasks as it has files. Each file has a comment of its own, so none is left out for
+    want of lines, and ``files`` files at a time are one part.
+    """
     rows = fixture.raw_requests(spark, folder)
     hour = (F.unix_seconds("timestamp") - int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())) / 3600
-    number = sum((F.when(hour >= h, 1).otherwise(0) for h in FILE_HOURS), F.lit(0))
-    for part in range(len(FILE_HOURS) + 1):
-        lines = fixture.lines_of(rows.where(number == part)).select("value")
-        lines.orderBy(F.xxhash64("value")).coalesce(1).write.mode("append").text(f"{out}/log")
+    number = sum((F.when(hour >= h, 1).otherwise(0) for h in PART_HOURS), F.lit(0))
+    for part in range(len(PART_HOURS) + 1):
+        lines = fixture.lines_of(rows.where(number == part)).select("value", F.xxhash64("lineno", "value").alias("place"))
+        comments = spark.range(files).select(F.format_string("# file %d", "id").alias("value"), F.col("id").alias("place"))
+        dealt = lines.union(comments).repartitionById(files, F.pmod("place", F.lit(files)).cast("int"))
+        dealt.sortWithinPartitions("place").select("value").write.mode("append").text(f"{out}/log")
     end = bursts.END_OF_LOG.format(dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc))
     spark.createDataFrame([(end,)], "value string").coalesce(1).write.mode("append").text(f"{out}/log")
     return f"{out}/log"
 
 
 def _alerted(spark: SparkSession, folder: str, alerts_of) -> DataFrame:
-    """Alerts with their second and sums while the log arrives file by file, ten minutes of delay allowed."""
-    out = _new_folder(spark)
+    """Alerts with their second and sums while the log arrives part by part, ten minutes of delay allowed."""
+    out, files = _new_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         tables.write_batch(batch, f"{out}/alerts", batch_id)
 
-    lines = source.stream_lines(spark, _log_folder(spark, folder, out), files_per_batch=1).select("value")
+    lines = source.stream_lines(spark, _log_folder(spark, folder, out, files), files_per_batch=files).select("value")
     with bursts.rocksdb_state(spark):
         query = tables.start(alerts_of(source.stream_requests(lines), delay="10 minutes"), f"{out}/checkpoint", store, "append", None)
     query.awaitTermination()

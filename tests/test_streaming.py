@@ -6,8 +6,10 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from registry import fixture, streams
 from tests.conftest import START, login, row
 from tracewarden.operators.detectors import data_exfiltration, distributed_login
 from tracewarden.config import DEFAULT
@@ -285,3 +287,112 @@ def test_quiet_addresses_read_no_seconds():
         part = pd.DataFrame([(pd.Timestamp(1_700_000_000 + 60 * i, unit="s"), 10, 1)], columns=["second", "first_sum", "second_sum"])
         assert list(ring.handleInputRows(("x",), iter([part]), None)) == []
     assert handle.state["detail"].reads == [] and len(handle.state["minutes"].held) <= 181
+
+
+class _Clearable(_Store):
+    def __init__(self):
+        super().__init__()
+        self.written = 0
+
+    def updateValue(self, k, v):
+        super().updateValue(k, v)
+        self.written += 1
+
+    def clear(self):
+        self.held = {}
+
+
+class _Timed(_Handle):
+    """A handle that notes timers; also what a processor is told of the watermark."""
+
+    def __init__(self):
+        super().__init__()
+        self.timers, self.watermark = [], 0
+
+    def getMapState(self, name, *_):
+        return self.state.setdefault(name, _Clearable())
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        raise AssertionError("a timer that is still to come stays")
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_a_minute_costs_one_write_and_an_address_one_timer():
+    start, handle = 1_699_999_980, _Timed()
+    ring = bursts.TrailingBurstRows(10_800, *bursts.download_test(DEFAULT))
+    ring.init(handle)
+    for i in range(200):  # one small download a minute
+        assert list(ring.handleInputRows(("x",), iter([Row(second=start + 60 * i + 7, first_sum=10, second_sum=1)]), handle)) == []
+    minutes, detail = handle.state["minutes"], handle.state["detail"]
+    assert minutes.written == 200 and detail.written == 0 and set(handle.state) == {"minutes", "detail"}
+    assert handle.timers == [(start + 60 + 10_800) * 1000]
+    # the timer finds later minutes and is set anew; then the address is idle
+    handle.watermark = handle.timers.pop()
+    assert list(ring.handleExpiredTimer(("x",), handle, None)) == [] and minutes.held
+    assert handle.timers == [(start + 60 * 200 + 10_800) * 1000]
+    handle.watermark = handle.timers.pop()
+    assert list(ring.handleExpiredTimer(("x",), handle, None)) == [] and not minutes.held and not handle.timers
+
+
+@pytest.mark.parametrize("kind", ["login", "download"])
+def test_rows_and_their_timers_give_the_plain_alerts(kind):
+    """Quiet times longer than the window, so that timers clear and set anew between bursts."""
+    window, some_alerts, cleared = 10_800, 0, 0
+    tests = (bursts.login_test if kind == "login" else bursts.download_test)(DEFAULT)
+    for seed in range(20):
+        rng = random.Random(seed)
+        t, rows = 1_700_000_000 + rng.randint(0, 59), []
+        for _ in range(rng.randint(60, 200)):
+            t += rng.choice([1, 1, 1, 7, 60, 130, rng.choice([4000, 10_800, 10_801, 30_000])])
+            rows.append((t, rng.randint(0, 4), rng.randint(0, 2)) if kind == "login" else (t, rng.randint(0, 900_000), rng.randint(1, 9)))
+        handle = _Timed()
+        ring = bursts.TrailingBurstRows(window, *tests)
+        ring.init(handle)
+        got, at = [], 0
+        while at < len(rows):
+            n = rng.choice([1, 2, 5])
+            part = [Row(second=s, first_sum=a, second_sum=b) for s, a, b in rows[at : at + n]]
+            got += [(r.second, r.first_sum, r.second_sum) for r in ring.handleInputRows(("x",), iter(part), handle)]
+            at += n
+            # time passes as far as the next second allows
+            handle.watermark = (rows[at] if at < len(rows) else rows[-1])[0] * 1000
+            due = [x for x in handle.timers if x <= handle.watermark]
+            handle.timers = [x for x in handle.timers if x > handle.watermark]
+            for _ in due:
+                list(ring.handleExpiredTimer(("x",), handle, None))
+            cleared += not handle.state["minutes"].held
+            assert bool(handle.state["minutes"].held) == (len(handle.timers) == 1)
+        assert got == _plain_alerts(rows, window, tests[0])
+        some_alerts += len(got)
+    assert some_alerts > 10 and cleared > 10
+
+
+@pytest.mark.parametrize("days", [[0] * 40, [0] * 30 + [29] * 30])
+def test_the_log_arrives_in_parts_of_as_many_files(spark, tmp_path, days):
+    """Parts without a line, too, so that a batch never takes files of the next part."""
+    first = dt.datetime(2024, 1, 1)
+    rows = [(i, first + dt.timedelta(days=d, seconds=i), i % 7, float(i)) for i, d in enumerate(days)]
+    rows += [(len(days), None, 1, 2.0), (len(days) + 1, None, None, None)]
+    folder = tmp_path / "tables"
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, value double").write.parquet(f"{folder}/events.parquet")
+    log = streams._log_folder(spark, str(folder), str(tmp_path), 3)
+    files = sorted((p for p in (tmp_path / "log").iterdir() if p.name.startswith("part-")), key=lambda p: p.stat().st_mtime_ns)
+    assert log == str(tmp_path / "log") and len(files) == 3 * 6 + 1
+    lines = [p.read_text().splitlines() for p in files]
+    parts = [sum(lines[3 * i : 3 * i + 3], []) for i in range(7)]
+    hours = []
+    for part in parts[:6]:
+        stamped = spark.createDataFrame([(x,) for x in part], "value string")
+        hours.append([(r.timestamp - first).total_seconds() / 3600 for r in parse_lines(stamped).collect()])
+    edges = [float("-inf"), *streams.PART_HOURS, float("inf")]
+    assert all(edges[i] <= h < edges[i + 1] for i, own in enumerate(hours) for h in own) and sum(map(len, hours)) == len(days)
+    want = sorted(r.value for r in fixture.log_lines(spark, str(folder)).collect())
+    assert sorted(x for part in parts[:6] for x in part if not x.startswith("# file ")) == want
+    assert sum(len(own) > 1 for own in lines[:18]) >= 6 and len(parts[6]) == 1

@@ -13,12 +13,12 @@ ended needs one such line (``END_OF_LOG``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +28,7 @@ from tracewarden.streaming.source import watched
 
 #: A line, to be dated after the log's end by more than the delay, that no test counts.
 END_OF_LOG = "{:%Y-%m-%dT%H:%M:%SZ} 0.0.0.0 GET / 200 0 end-of-log"
-ALERT = "ip string, second timestamp, first_sum bigint, second_sum bigint"
+ALERT = "ip string, second bigint, first_sum bigint, second_sum bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,14 +46,16 @@ class TrailingBurst(StatefulProcessor):
     """Sums over ``(t - seconds, t]`` per address, in order of time.
 
     The state is a ring of two levels: a sum for each minute of the window, and the seconds of each
-    minute, which are read for one minute alone, and only while the answer is open. The whole minutes
+    minute, which are read for one minute alone, and only while the answer is open. A minute with one
+    second holds that second beside its sum, and each minute its last hit. The whole minutes
     inside a window bound its sums from below, with the minute that its edge runs through
     from above. ``test`` answers for exact sums, ``surely(low, high)`` and ``possibly(low, high)`` for
-    bounds; all see pairs of numpy arrays. A second arrives once, after the watermark has
+    bounds; all see pairs of numpy arrays or numbers. A second arrives once, after the watermark has
     passed it, so seconds of later batches are later.
 
-    An address alerts at its first hit, and again after a whole window without one. Only
-    new minutes are written; a timer one window after the last one clears an idle address.
+    An address alerts at its first hit, and again after a whole window without one. Every call to the state
+    goes to another process, so only new minutes are written, and an address has one timer, which is
+    set anew when it finds later minutes and clears an idle address one window after its last minute.
     """
 
     def __init__(self, seconds: int, test, surely, possibly):
@@ -63,32 +65,67 @@ class TrailingBurst(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._minutes = handle.getMapState("minutes", "minute bigint", "first_sum bigint, second_sum bigint")
+        self._minutes = handle.getMapState("minutes", "minute bigint", "first_sum bigint, second_sum bigint, only bigint, hit bigint")
         self._detail = handle.getMapState("detail", "minute bigint", "at array<bigint>, first_sum array<bigint>, second_sum array<bigint>")
-        self._last_hit = handle.getValueState("last_hit", "at bigint")
-        self._timer = handle.getValueState("timer", "at bigint")
 
-    def _seconds_of(self, minute: int, known: bool, new: dict[int, dict[int, tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    def _seconds_of(self, minute: int, old: dict[int, tuple], new: dict[int, dict[int, tuple[int, int]]]) -> list[tuple[int, int, int]]:
         """The seconds of one minute, from the state (if it knows the minute) and from this batch."""
-        old = list(zip(*self._detail.getValue((minute,)))) if known else []
-        return [*old, *((at, *sums) for at, sums in sorted(new.get(minute, {}).items()))]
+        known: list = []
+        if minute in old:
+            first, second, only, _ = old[minute]
+            known = list(zip(*self._detail.getValue((minute,)))) if only is None else [(only, first, second)]
+        return [*known, *((at, *sums) for at, sums in sorted(new.get(minute, {}).items()))]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def seconds() -> Iterator[tuple]:
+            for chunk in rows:
+                at = chunk["second"].to_numpy().astype("datetime64[s]").astype("int64")
+                yield from zip(at.tolist(), chunk["first_sum"].tolist(), chunk["second_sum"].tolist())
+
+        alerts = [(ip, pd.Timestamp(at, unit="s"), *sums) for ip, at, *sums in self.alerts_of(key[0], seconds())]
+        if alerts:
+            yield pd.DataFrame(alerts, columns=["ip", "second", "first_sum", "second_sum"])
+
+    def alerts_of(self, ip: str, seconds: Iterable[tuple]) -> list[tuple]:
+        """Take new seconds with their sums into the state; the alerts they raise, by epoch second."""
         new: dict[int, dict[int, tuple[int, int]]] = {}
-        for chunk in rows:
-            seconds = chunk["second"].astype("datetime64[s]").astype("int64")
-            for at, first, second in zip(seconds.tolist(), chunk["first_sum"], chunk["second_sum"]):
-                own = new.setdefault(at // 60, {})
-                a, b = own.get(at, (0, 0))
-                own[at] = (a + int(first), b + int(second))
+        for at, first, second in seconds:
+            own = new.setdefault(at // 60, {})
+            a, b = own.get(at, (0, 0))
+            own[at] = (a + int(first), b + int(second))
         if not new:
-            return
+            return []
         width, last = self._seconds // 60, max(new)
-        old = {minute: sums for (minute,), sums in self._minutes.iterator()}
-        total = {m: np.array(sums, np.int64) for m, sums in old.items() if m >= min(new) - width}
-        before = {m: total.get(m, np.zeros(2, np.int64)) for m in new}
+        old = {minute: tuple(sums) for (minute,), sums in self._minutes.iterator()}
+        total = {m: sums[:2] for m, sums in old.items() if m >= min(new) - width}
+        before = {m: total.get(m, (0, 0)) for m in new}
         for m, own in new.items():
-            total[m] = before[m] + np.sum(list(own.values()), axis=0, dtype=np.int64)
+            total[m] = tuple(map(sum, zip(before[m], *own.values())))
+        # no window holds more than all minutes together
+        most = tuple(map(sum, zip(*total.values())))
+        alerts, hits = self._hits(ip, new, old, before, total) if self._possibly((0, 0), most) else ([], {})
+        for m, (_, _, only, _) in old.items():
+            if m < last - width:
+                self._minutes.removeKey((m,))
+                if only is None:
+                    self._detail.removeKey((m,))
+        for m in sorted(new):
+            if m >= last - width:
+                whole = self._seconds_of(m, old, new)
+                hit = hits.get(m, old[m][3] if m in old else None)
+                self._minutes.updateValue((m,), (*total[m], whole[0][0] if len(whole) == 1 else None, hit))
+                if len(whole) > 1:
+                    self._detail.updateValue((m,), tuple(list(map(int, c)) for c in zip(*whole)))
+        if not old:
+            self._handle.registerTimer(self._idle_at(last))
+        return alerts
+
+    def _hits(self, ip: str, new: dict, old: dict, before: dict, total: dict) -> tuple[list[tuple], dict[int, int]]:
+        """Alerts at the new seconds, and the last hit of each minute with one.
+
+        ``total`` are sums of minutes with the new seconds, ``before`` without.
+        """
+        width = self._seconds // 60
         minutes = np.array(sorted(total), np.int64)
         sums = np.cumsum([(0, 0), *(total[m] for m in minutes.tolist())], axis=0, dtype=np.int64)
 
@@ -115,56 +152,52 @@ class TrailingBurst(StatefulProcessor):
             if i not in exact:
                 m = int(edge[i])
                 if m in total and m not in read:
-                    read[m] = self._seconds_of(m, m in old, new)
+                    read[m] = self._seconds_of(m, old, new)
                 inside = [(a, b) for at, a, b in read.get(m, ()) if at > times[i] - self._seconds]
                 exact[i] = low[i] + np.sum(inside or [(0, 0)], axis=0, dtype=np.int64)
             return exact[i]
 
-        last_hit = self._last_hit.get()[0] if self._last_hit.exists() else None
-        alerts, hit = [], False
+        # a hit whose minute has left the state is more than a window ago
+        last_hit = max((hit for *_, hit in old.values() if hit is not None), default=None)
+        alerts, hits = [], {}
         for i in np.flatnonzero(sure | open_).tolist():
             if not sure[i]:
                 a, b = window(i)
                 if not bool(self._test(a, b)):
                     continue
-            at, hit = int(times[i]), True
+            at = int(times[i])
             if last_hit is None or at - last_hit > self._seconds:
-                alerts.append((key[0], pd.Timestamp(at, unit="s"), *map(int, window(i))))
-            last_hit = at
-        if hit:
-            self._last_hit.update((last_hit,))
-        for m in old:
-            if m < last - width:
-                self._minutes.removeKey((m,))
-                self._detail.removeKey((m,))
-        for m in sorted(new):
-            if m >= last - width:
-                whole = self._seconds_of(m, m in old, new)
-                self._minutes.updateValue((m,), tuple(map(int, total[m])))
-                self._detail.updateValue((m,), tuple(list(map(int, c)) for c in zip(*whole)))
-        self._wake(int(times[-1]))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=["ip", "second", "first_sum", "second_sum"])
+                alerts.append((ip, at, *map(int, window(i))))
+            last_hit = hits[at // 60] = at
+        return alerts, hits
 
-    def _wake(self, last: int) -> None:
-        """Have the state cleared once the watermark is a window past ``last``."""
-        at = (last + self._seconds + 1) * 1000
-        if self._timer.exists():
-            self._handle.deleteTimer(self._timer.get()[0])
-        self._handle.registerTimer(at)
-        self._timer.update((at,))
+    def _idle_at(self, minute: int) -> int:
+        """The watermark in milliseconds at which no window that is still to come holds a second of a minute."""
+        return ((minute + 1) * 60 + self._seconds) * 1000
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._minutes.clear()
-        self._detail.clear()
-        self._last_hit.clear()
-        self._timer.clear()
+        held = {minute: only for (minute,), (_, _, only, _) in self._minutes.iterator()}
+        at = self._idle_at(max(held))
+        if at > timerValues.getCurrentWatermarkInMs():
+            self._handle.registerTimer(at)
+        else:
+            self._minutes.clear()
+            if None in held.values():
+                self._detail.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+class TrailingBurstRows(TrailingBurst):
+    """The same over rows, without a data frame per address; ``second`` is an epoch second."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for alert in self.alerts_of(key[0], ((r.second, r.first_sum, r.second_sum) for r in rows)):
+            yield Row(**dict(zip(("ip", "second", "first_sum", "second_sum"), alert)))
+
+
 def login_test(cfg: Config = DEFAULT) -> tuple:
     """Enough logins with a high share of failures: for exact sums, surely and possibly for bounds."""
     least, ratio = cfg.burst_logins, cfg.burst_failure_ratio
@@ -191,9 +224,14 @@ def download_test(cfg: Config = DEFAULT) -> tuple:
 
 
 def _alerts(seconds: DataFrame, window: int, tests: tuple) -> DataFrame:
-    return seconds.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=TrailingBurst(window, *tests), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
+    alerts = (
+        seconds.withColumn("second", F.unix_seconds("second"))
+        .groupBy("ip")
+        .transformWithState(
+            statefulProcessor=TrailingBurstRows(window, *tests), outputStructType=ALERT, outputMode="Append", timeMode="EventTime"
+        )
     )
+    return alerts.withColumn("second", F.timestamp_seconds("second"))
 
 
 def login_burst_stream(requests: DataFrame, cfg: Config = DEFAULT, delay: str = "10 minutes") -> DataFrame:
